@@ -96,3 +96,99 @@ def routing_ctes(n: int = 4) -> str:
             "SELECT edge_partition, src_id AS vertex_id, true AS is_src, false AS is_dst FROM e "
             "UNION ALL SELECT edge_partition, dst_id AS vertex_id, false AS is_src, true AS is_dst "
             "FROM e) x GROUP BY edge_partition, vertex_id)")
+
+
+# ---- the oracle text per registered query -------------------------------------
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ", ".join(ctes) + " "
+
+
+def _e(graph: str) -> str:
+    return f"e AS ({GRAPH_SQL[graph]})"
+
+
+_R1_TG1 = ("r1 AS (SELECT e.dst_id AS id, 0.15::DOUBLE + 0.85::DOUBLE * SUM(e.weight * 1.0::DOUBLE) "
+           "AS rank FROM e GROUP BY e.dst_id)")
+_R8_TG1 = ("r8 AS (SELECT v.id, 0.15::DOUBLE + 0.85::DOUBLE * COALESCE(t.s, 0.0::DOUBLE) AS rank "
+           f"FROM ({VERTICES}) v LEFT JOIN (SELECT dst_id AS id, SUM(weight * 1.0::DOUBLE) AS s "
+           "FROM e GROUP BY dst_id) t ON v.id = t.id)")
+_CONTRIB_TG1 = ("c AS (SELECT e.dst_id AS id, e.weight * r.rank AS contrib, "
+                f"{ep()} AS edge_partition FROM e JOIN r1 r ON e.src_id = r.id)")
+_SHIP = ("s AS (SELECT rt.edge_partition, r.id, r.rank FROM rt JOIN r8 r ON rt.vertex_id = r.id "
+         "WHERE rt.is_src)")
+_KEYED = "SELECT user_id AS key, {agg} AS value FROM events GROUP BY user_id"
+_POS = "(CASE WHEN is_src THEN 1 ELSE 0 END + CASE WHEN is_dst THEN 2 ELSE 0 END)"
+
+ORACLE: dict[str, str] = {
+    "edge_parse": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
+    "edge_file_roundtrip": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
+    "edge_endpoints": _with(_e("TG3")) + ENDPOINTS,
+    "vertex_set": _with(_e("TG1")) + f"SELECT id, 1.0::DOUBLE AS rank FROM ({VERTICES}) v",
+    "vertex_incidence": _with(_e("TG3")) + (
+        f"SELECT id, count(*) AS n FROM (SELECT DISTINCT * FROM ({ENDPOINTS}) x) y GROUP BY id"),
+    "edge_rank_join": _with(_e("TG1"), _R1_TG1, _CONTRIB_TG1) + (
+        "SELECT id, round(contrib, 6) AS contrib FROM c"),
+    "contrib_sum": _with(_e("TG1"), _R1_TG1, _CONTRIB_TG1) + (
+        "SELECT id, round(SUM(contrib), 6) AS total_contrib FROM c GROUP BY id"),
+    "contrib_partial": _with(_e("TG1"), _R1_TG1, _CONTRIB_TG1) + (
+        "SELECT edge_partition, id, round(SUM(contrib), 6) AS partial FROM c "
+        "GROUP BY edge_partition, id"),
+    "contrib_final": _with(_e("TG1"), _R1_TG1, _CONTRIB_TG1) + (
+        "SELECT id, round(SUM(p), 6) AS total_contrib FROM (SELECT edge_partition, id, "
+        "SUM(contrib) AS p FROM c GROUP BY edge_partition, id) x GROUP BY id"),
+    "rank_damping": rank_sql("TG1", 2),
+    "rank_step_drop": rank_sql("TG3", 1),
+    "rank_step_retain": rank_sql("TG1", 1, missing="retain"),
+    "source_id_mass": rank_sql("TG1", 1, missing="retain", contribution="source_id"),
+    "rank_incidence_drop": rank_sql("TG3", 3, init="incidence"),
+    "rank_unique_drop": rank_sql("TG1", 3),
+    "rank_source_id": rank_sql("TG1", 3, missing="retain", contribution="source_id"),
+    "rank_unique_retain": rank_sql("TG1", 3, missing="retain"),
+    "rank_dag_drop": rank_sql("TG4", 2),
+    "rank_dag_retain": rank_sql("TG4", 3, missing="retain"),
+    "rank_zero_rounds": rank_sql("TG3", 0),
+    "rank_dense_drop": rank_sql("TG2", 2),
+    "routing_table": _with(routing_ctes()) + "SELECT * FROM rt",
+    "routing_pack": _with(routing_ctes()) + (
+        "SELECT vertex_id, CAST(CASE " + _POS + " WHEN 3 THEN -1073741824 + edge_partition "
+        "WHEN 2 THEN -2147483648 + edge_partition WHEN 1 THEN 1073741824 + edge_partition "
+        "ELSE edge_partition END AS INTEGER) AS message, edge_partition, "
+        "CAST(CASE " + _POS + " WHEN 3 THEN -1 WHEN 2 THEN -2 ELSE " + _POS + " END AS INTEGER) "
+        "AS position FROM rt"),
+    "routing_vertices": _with(routing_ctes()) + (
+        "SELECT vertex_id, count(*) AS n FROM rt GROUP BY vertex_id"),
+    "routing_filter_src": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE is_src",
+    "routing_filter_dst": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE is_dst",
+    "routing_filter_both": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt",
+    "routing_filter_none": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE false",
+    "routing_reverse": _with(routing_ctes()) + (
+        "SELECT edge_partition, vertex_id, is_dst AS is_src, is_src AS is_dst FROM rt"),
+    "routing_sizes": _with(routing_ctes()) + (
+        "SELECT g.edge_partition, COALESCE(c.n, 0) AS n FROM "
+        "(SELECT CAST(range AS INTEGER) AS edge_partition FROM range(6)) g LEFT JOIN "
+        "(SELECT edge_partition, count(*) AS n FROM rt GROUP BY edge_partition) c "
+        "ON g.edge_partition = c.edge_partition"),
+    "routing_ship": _with(routing_ctes(), _R8_TG1, _SHIP) + (
+        "SELECT edge_partition, id, round(rank, 6) AS rank FROM s"),
+    "routing_triplets": _with(routing_ctes(), _R8_TG1, _SHIP) + (
+        "SELECT e.edge_partition, e.src_id, e.dst_id, round(e.weight * s.rank, 6) AS contrib "
+        "FROM e JOIN s ON e.edge_partition = s.edge_partition AND e.src_id = s.id"),
+    "rank_routed": rank_sql("TG1", 3, missing="retain"),
+    "id_union": _with(_e("TG1")) + VERTICES,
+    "id_membership": _with(_e("TG1")) + (
+        "SELECT DISTINCT src_id AS id FROM e WHERE src_id IN (SELECT dst_id FROM e)"),
+    "lookup_default": _with(_e("TG1"), _R1_TG1, _CONTRIB_TG1) + (
+        f"SELECT v.id, round(COALESCE(t.value, 0.0::DOUBLE), 6) AS value FROM ({VERTICES}) v "
+        "LEFT JOIN (SELECT id, SUM(contrib) AS value FROM c GROUP BY id) t ON v.id = t.id"),
+    "keyed_merge_sum": _KEYED.format(agg="CAST(SUM(event_id % 16) AS BIGINT)"),
+    "keyed_merge_max": _KEYED.format(agg="MAX(event_id % 16)"),
+    "keyed_merge_min": _KEYED.format(agg="MIN(event_id % 16)"),
+    "keyed_merge_bit_or": _KEYED.format(agg="BIT_OR(event_id % 16)"),
+    "keyed_merge_last": _KEYED.format(agg="ARG_MAX(event_id % 16, event_id)"),
+    "layout_edges": _with(_e("TG1")) + (
+        "SELECT src_id, dst_id, count(*) AS n_rows FROM e GROUP BY src_id, dst_id"),
+    "rank_loop_retain": rank_sql("TG1", 3, missing="retain"),
+    "rank_loop_split": rank_sql("TG2", 2),
+    "rank_loop_incidence": rank_sql("TG3", 3, init="incidence"),
+}
