@@ -42,8 +42,15 @@ CONTRIBUTIONS = ("rank", "source_id")
 
 
 def join_ranks(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Inner equi-join ``src_id = id``; an edge fans out if ``id`` repeats."""
-    return edges.join(ranks, edges["src_id"] == ranks["id"], "inner")
+    """Inner equi-join ``src_id = id``; an edge fans out if ``id`` repeats.
+
+    A shuffled hash join built on the rank side: the edge table (the big side)
+    is never broadcast on a file-size estimate, its exchange by ``src_id`` is
+    reused by every round of one plan, and ranks leaving an aggregation by
+    ``id`` are already placed for it. Adaptive execution can still split a
+    skewed edge partition (a hot source).
+    """
+    return edges.join(ranks.hint("shuffle_hash"), edges["src_id"] == ranks["id"], "inner")
 
 
 def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
