@@ -19,10 +19,23 @@ from pyspark.sql import functions as F
 
 from graphtables.functions.columns import modulo_partition
 from graphtables.operators import keyed, layout, rank as rk, routing as rt
-from graphtables.operators.graph import endpoints, incidences, vertex_ids, vertices
+from graphtables.operators.graph import (
+    collapse_edges,
+    endpoints,
+    incidences,
+    reverse_edges,
+    vertex_ids,
+    vertices,
+)
 from graphtables.plans.loop import RankLoop
 from graphtables.session import shared_path
-from graphtables.sources.edges import edges_from, parse_edges, read_edges, write_edges
+from graphtables.sources.edges import (
+    edges_from,
+    parse_edges,
+    read_edges,
+    rejected_lines,
+    write_edges,
+)
 from graphtables.sources.tables import (
     customer_geo_edges,
     nation_trade_edges,
@@ -78,6 +91,42 @@ def edge_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_edges(spark, path)
 
 
+def _mixed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """TG1 edge lines plus one malformed (space-separated) line per order."""
+    li = table(spark, d, "lineitem")
+    good = li.select(F.concat_ws("\t", F.col("l_partkey").cast("string"),
+                                 F.col("l_suppkey").cast("string")).alias("value"))
+    bad = table(spark, d, "orders").select(
+        F.concat_ws(" ", F.col("o_orderkey").cast("string"),
+                    F.col("o_custkey").cast("string")).alias("value"))
+    return good.unionByName(bad)
+
+
+def edge_parse_permissive(spark: SparkSession, d: str) -> DataFrame:
+    """Permissive parse (extension): malformed lines dropped, the edges kept."""
+    return parse_edges(_mixed_lines(spark, d), mode="permissive")
+
+
+def edge_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The lines a permissive parse rejects (extension)."""
+    return rejected_lines(_mixed_lines(spark, d))
+
+
+def successor_edges(spark: SparkSession, d: str) -> DataFrame:
+    """TG3 itself: user -> next user within an event type, by range slices."""
+    return user_succession_edges(spark, d)
+
+
+def edge_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated edges merged, weights summed (the loop's edge layout) on TG2."""
+    return collapse_edges(nation_trade_edges(spark, d)).select("src_id", "dst_id", _r6("weight"))
+
+
+def edge_reverse(spark: SparkSession, d: str) -> DataFrame:
+    """TG4 with source and destination exchanged."""
+    return reverse_edges(customer_geo_edges(spark, d))
+
+
 # ---- vertices ------------------------------------------------------------------
 
 def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -189,6 +238,11 @@ def rank_zero_rounds(spark: SparkSession, d: str) -> DataFrame:
     return _ranks_out(rk.rank(user_succession_edges(spark, d), 0))
 
 
+def rank_incidence_zero(spark: SparkSession, d: str) -> DataFrame:
+    """G2 / R5 with 0 rounds on TG4: the incidence multiset, one row per incidence."""
+    return _ranks_out(rk.rank(customer_geo_edges(spark, d), 0, init="incidence"))
+
+
 def rank_dense_drop(spark: SparkSession, d: str) -> DataFrame:
     """R6 on the heavy multigraph TG2, 2 rounds."""
     return _ranks_out(rk.rank(nation_trade_edges(spark, d), 2, missing="drop"))
@@ -304,8 +358,14 @@ def _keyed_merge(how: str) -> Query:
 # ---- layout -------------------------------------------------------------------------------
 
 def layout_edges(spark: SparkSession, d: str) -> DataFrame:
-    """TG1 placed by edge partition and sorted; content unchanged (counted per edge)."""
-    placed = layout.place_edges(_tg1_ep(spark, d), NUM_EP)
+    """TG1 placed by edge partition and sorted; content unchanged (counted per edge).
+
+    The edge-partition count follows the session's shuffle partitions, so the
+    placement spreads over as many tasks as the cluster is configured for.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = part_supplier_edges(spark, d).withColumn("edge_partition", modulo_partition("src_id", n))
+    placed = layout.place_edges(e, n)
     return placed.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -329,6 +389,18 @@ def rank_loop_incidence(spark: SparkSession, d: str) -> DataFrame:
     return _ranks_out(loop.run(3))
 
 
+def rank_loop_checkpointed(spark: SparkSession, d: str) -> DataFrame:
+    """R8 on TG1 for 3 rounds, checkpointing every round to the shared folder."""
+    loop = RankLoop(part_supplier_edges(spark, d), missing="retain", checkpoint_every=1)
+    return _ranks_out(loop.run(3))
+
+
+def rank_loop_source_id(spark: SparkSession, d: str) -> DataFrame:
+    """R7 on TG1 through the loop (= rank_source_id)."""
+    loop = RankLoop(part_supplier_edges(spark, d), contribution="source_id", missing="retain")
+    return _ranks_out(loop.run(3))
+
+
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Stage report of a 3-round R6 loop on TG1 (timings: no oracle)."""
     loop = RankLoop(part_supplier_edges(spark, d), missing="drop")
@@ -340,6 +412,11 @@ def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "edge_parse": edge_parse,
     "edge_file_roundtrip": edge_file_roundtrip,
+    "edge_parse_permissive": edge_parse_permissive,
+    "edge_rejects": edge_rejects,
+    "successor_edges": successor_edges,
+    "edge_collapse": edge_collapse,
+    "edge_reverse": edge_reverse,
     "edge_endpoints": edge_endpoints,
     "vertex_set": vertex_set,
     "vertex_incidence": vertex_incidence,
@@ -358,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "rank_dag_drop": rank_dag_drop,
     "rank_dag_retain": rank_dag_retain,
     "rank_zero_rounds": rank_zero_rounds,
+    "rank_incidence_zero": rank_incidence_zero,
     "rank_dense_drop": rank_dense_drop,
     "routing_table": routing_table,
     "routing_pack": routing_pack,
@@ -383,6 +461,8 @@ QUERIES: dict[str, Query] = {
     "rank_loop_retain": rank_loop_retain,
     "rank_loop_split": rank_loop_split,
     "rank_loop_incidence": rank_loop_incidence,
+    "rank_loop_checkpointed": rank_loop_checkpointed,
+    "rank_loop_source_id": rank_loop_source_id,
     "stage_metrics": stage_metrics,
 }
 

@@ -123,6 +123,13 @@ _POS = "(CASE WHEN is_src THEN 1 ELSE 0 END + CASE WHEN is_dst THEN 2 ELSE 0 END
 ORACLE: dict[str, str] = {
     "edge_parse": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
     "edge_file_roundtrip": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
+    "edge_parse_permissive": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
+    "edge_rejects": ("SELECT CAST(o_orderkey AS VARCHAR) || ' ' || CAST(o_custkey AS VARCHAR) "
+                     "AS line FROM orders"),
+    "successor_edges": TG3,
+    "edge_collapse": _with(_e("TG2")) + (
+        "SELECT src_id, dst_id, round(SUM(weight), 6) AS weight FROM e GROUP BY src_id, dst_id"),
+    "edge_reverse": _with(_e("TG4")) + "SELECT dst_id AS src_id, src_id AS dst_id, weight FROM e",
     "edge_endpoints": _with(_e("TG3")) + ENDPOINTS,
     "vertex_set": _with(_e("TG1")) + f"SELECT id, 1.0::DOUBLE AS rank FROM ({VERTICES}) v",
     "vertex_incidence": _with(_e("TG3")) + (
@@ -148,6 +155,7 @@ ORACLE: dict[str, str] = {
     "rank_dag_drop": rank_sql("TG4", 2),
     "rank_dag_retain": rank_sql("TG4", 3, missing="retain"),
     "rank_zero_rounds": rank_sql("TG3", 0),
+    "rank_incidence_zero": rank_sql("TG4", 0, init="incidence"),
     "rank_dense_drop": rank_sql("TG2", 2),
     "routing_table": _with(routing_ctes()) + "SELECT * FROM rt",
     "routing_pack": _with(routing_ctes()) + (
@@ -191,4 +199,6 @@ ORACLE: dict[str, str] = {
     "rank_loop_retain": rank_sql("TG1", 3, missing="retain"),
     "rank_loop_split": rank_sql("TG2", 2),
     "rank_loop_incidence": rank_sql("TG3", 3, init="incidence"),
+    "rank_loop_checkpointed": rank_sql("TG1", 3, missing="retain"),
+    "rank_loop_source_id": rank_sql("TG1", 3, missing="retain", contribution="source_id"),
 }
