@@ -132,8 +132,11 @@ class RankLoop:
         self.timer.record("build routing tables", self.num_hot, (time.perf_counter() - start) * 1000)
         self._hot = hot
         self._kept.append(hot)
-
-        hot_b = F.broadcast(hot)
+        # With the default threshold fewer than P sources are hot. A smaller
+        # threshold given by the caller can make the table vertex-sized: then it
+        # is joined by shuffle instead of being broadcast.
+        self._broadcast_hot = self.num_hot <= 2 * p
+        hot_b = self._hot_side()
         normal = collapsed.join(hot_b, "src_id", "left_anti")
         normal = normal.repartition(p, "src_id").sortWithinPartitions("src_id")
         self._edges_normal = self._keep("build edges", normal)
@@ -153,6 +156,9 @@ class RankLoop:
             self._vertices = None
         collapsed.unpersist(blocking=False)
 
+    def _hot_side(self) -> DataFrame:
+        return F.broadcast(self._hot) if self._broadcast_hot else self._hot
+
     # ---- one round ------------------------------------------------------------
 
     def _totals(self, ranks: DataFrame) -> DataFrame:
@@ -169,7 +175,8 @@ class RankLoop:
                              edge_contribution("weight", "rank").alias("contrib"))]
             if self._edges_hot is not None:
                 h = self._edges_hot
-                copies = (ranks.join(F.broadcast(self._hot), ranks["id"] == self._hot["src_id"])
+                hot = self._hot_side()
+                copies = (ranks.join(hot, ranks["id"] == hot["src_id"])
                           .select("id", "rank",
                                   F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("r_salt"))
                           .repartition(self.partitions, "id", "r_salt"))

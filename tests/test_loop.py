@@ -51,3 +51,14 @@ def test_metrics_and_conf_restored(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     stages = [r["stage"] for r in loop.metrics().collect()]
     assert "build edges" in stages and "iteration 2" in stages
+
+
+def test_many_hot_sources_are_not_broadcast(spark):
+    # threshold 1 makes nearly every source hot: more than 2P rows, so no broadcast
+    e = part_supplier_edges(spark, SF_SMALL)
+    loop = RankLoop(e, missing="drop", partitions=4, hot_threshold=1, checkpoint_every=0)
+    out = loop.run(2)
+    assert loop.num_hot > 8
+    assert not loop._broadcast_hot
+    assert _ranks(out) == _ranks(rank(e, 2))
+    out.unpersist()
