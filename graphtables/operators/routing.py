@@ -94,14 +94,15 @@ def ship_ranks(routing: DataFrame, ranks: DataFrame) -> DataFrame:
     partition that uses it.
     """
     src = routing.filter("is_src").select("edge_partition", "vertex_id")
-    return (src.join(ranks, src["vertex_id"] == ranks["id"], "inner")
+    return (src.join(ranks.hint("shuffle_hash"), src["vertex_id"] == ranks["id"], "inner")
             .select("edge_partition", "id", "rank"))
 
 
 def triplets(edges: DataFrame, shipped: DataFrame) -> DataFrame:
     """Edges joined with the shipped ranks inside their edge partition:
     ``edge_partition, src_id, dst_id, weight, rank, contrib``."""
-    s = shipped.select(F.col("edge_partition").alias("s_ep"), "id", "rank")
+    # built on the shipped side: the edge table is the big side and is never broadcast
+    s = shipped.select(F.col("edge_partition").alias("s_ep"), "id", "rank").hint("shuffle_hash")
     j = edges.join(s, (edges["edge_partition"] == s["s_ep"]) & (edges["src_id"] == s["id"]), "inner")
     return j.select("edge_partition", "src_id", "dst_id", "weight", "rank",
                     edge_contribution("weight", "rank").alias("contrib"))

@@ -27,6 +27,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # broadcast only what was measured: no broadcast on a planning-time
+        # estimate (compressed file sizes understate), but adaptive execution may
+        # still broadcast a side whose shuffle output it measured below 10 MB
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
