@@ -34,28 +34,46 @@ from graphtables.functions.columns import (
     edge_contribution,
     source_id_contribution,
 )
-from graphtables.operators.graph import incidence_counts, incidence_vertices, vertices
+from graphtables.operators.graph import (
+    incidence_counts,
+    incidence_vertices,
+    vertex_ids,
+    vertices,
+)
+from graphtables.operators.skew import (
+    SourceSplit,
+    join_split,
+    salt_graph,
+    salted_totals,
+    split_sources,
+    with_salts,
+)
 
 INITS = ("unique", "incidence")
 MISSING = ("drop", "retain")
 CONTRIBUTIONS = ("rank", "source_id")
 
 
-def join_ranks(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def join_ranks(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = None,
+               unique_ranks: bool = True) -> DataFrame:
     """Inner equi-join ``src_id = id``; an edge fans out if ``id`` repeats.
 
-    A shuffled hash join built on the rank side: the edge table (the big side)
-    is never broadcast on a file-size estimate, its exchange by ``src_id`` is
-    reused by every round of one plan, and ranks leaving an aggregation by
-    ``id`` are already placed for it. Adaptive execution can still split a
-    skewed edge partition (a hot source).
+    Skew-safe: sources with more than ``|E| / P`` out-edges are split off and
+    meet their rank rows through a broadcast join (see
+    :mod:`graphtables.operators.skew`); all other edges use a shuffled hash
+    join built on the rank side, so the edge table (the big side) is never
+    broadcast and its exchange by ``src_id`` is reused by every round of one
+    plan. Pass ``split`` to reuse one split over several rounds;
+    ``unique_ranks=False`` (a rank multiset) keeps the hot side off broadcast.
     """
-    return edges.join(ranks.hint("shuffle_hash"), edges["src_id"] == ranks["id"], "inner")
+    split = split if split is not None else split_sources(edges)
+    return join_split(split, ranks, unique_ranks)
 
 
-def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def contributions(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = None,
+                  unique_ranks: bool = True) -> DataFrame:
     """J1 + P1 + P3: one row per (edge, matching rank row): ``id (= dst_id), contrib``."""
-    return join_ranks(edges, ranks).select(
+    return join_ranks(edges, ranks, split, unique_ranks).select(
         F.col("dst_id").alias("id"), edge_contribution("weight", "rank").alias("contrib"))
 
 
@@ -98,15 +116,16 @@ def retain_all(vertex_table: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def rank_step_drop(edges: DataFrame, ranks: DataFrame, reset: float = RESET,
-                   damping: float = DAMPING) -> DataFrame:
+                   damping: float = DAMPING, split: SourceSplit | None = None) -> DataFrame:
     """J1 -> P1/P3 -> A1 -> P5. Destinations without contribution vanish."""
-    return apply_damping(contrib_sum(contributions(edges, ranks)), reset, damping)
+    return apply_damping(contrib_sum(contributions(edges, ranks, split)), reset, damping)
 
 
 def rank_step_retain(vertex_table: DataFrame, edges: DataFrame, ranks: DataFrame,
-                     reset: float = RESET, damping: float = DAMPING) -> DataFrame:
+                     reset: float = RESET, damping: float = DAMPING,
+                     split: SourceSplit | None = None) -> DataFrame:
     """R2 (plain form): J1 -> A1 -> J4 -> P5. Every vertex is kept."""
-    totals = contrib_sum(contributions(edges, ranks))
+    totals = contrib_sum(contributions(edges, ranks, split))
     return apply_damping(retain_all(vertex_table, totals), reset, damping)
 
 
@@ -168,11 +187,16 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
     if contribution == "source_id":
         # independent of the previous ranks: every round >= 1 gives the same table
         return source_id_mass(vertices(edges), edges, reset, damping, missing)
-    vertex_table = vertices(edges) if missing == "retain" else None
-    ranks = summed_initial_ranks(edges, init, initial)
+    # hot sources salted once; every round references the previous ranks once
+    # and leaves them placed for the next join (one shuffle per round)
+    graph = salt_graph(edges)
+    ranks = with_salts(graph, summed_initial_ranks(edges, init, initial))
+    vertex_table = with_salts(graph, vertex_ids(edges)) if missing == "retain" else None
     for _ in range(rounds):
+        totals = salted_totals(graph, ranks)
         if missing == "retain":
-            ranks = rank_step_retain(vertex_table, edges, ranks, reset, damping)
-        else:
-            ranks = rank_step_drop(edges, ranks, reset, damping)
-    return ranks
+            totals = (vertex_table.join(totals, ["id", "salt"], "left")
+                      .select("id", "salt", F.coalesce(F.col("total_contrib"), F.lit(0.0))
+                              .alias("total_contrib")))
+        ranks = totals.select("id", "salt", damp("total_contrib", reset, damping).alias("rank"))
+    return ranks.filter(F.col("salt") == 0).select("id", "rank")

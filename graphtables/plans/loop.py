@@ -1,4 +1,4 @@
-"""The materialising round loop (R4 with L1-L6, J5): one large shuffle per round.
+"""The materialising round loop (R4 with L1-L6, J5): one key shuffle per round.
 
 Layout, built once and kept:
 
@@ -7,19 +7,18 @@ Layout, built once and kept:
   of copies holding a large share of the rows turns into one row; partial
   aggregation combines copies before the shuffle.
 * **hot sources**, those with more than ``T = ceil(|E| / P)`` out-edges, are
-  split: their edges get a salt ``pmod(xxhash64(dst_id), ceil(deg / T))`` and
-  are placed by ``(src_id, salt)``; the rank of a hot source is copied once
-  per salt. There are fewer than ``|E| / T <= P`` hot sources and at most
-  ``2 P`` salted copies, so the table of hot sources has a proven size bound
-  and is the only thing broadcast.
+  split off (:mod:`graphtables.operators.skew`). Fewer than ``P`` sources
+  can be hot, so their ids, and their rank rows in each round, are tables with
+  a proven bound and are broadcast to the hot edges, which stay spread evenly
+  by ``(src_id, dst_id)`` (unique after collapsing).
 * **all other edges** are placed by ``src_id`` into ``P`` partitions, exactly
-  like the rank table, so their join with the ranks needs no shuffle.
+  like the rank table and the vertex table, so their joins need no shuffle.
 
 One round: ranks (placed by ``id``) join the co-placed edges without a
-shuffle; hot ranks (<= 2P rows) are copied to their salts; contributions are
-partially summed per task, shuffled once by destination and summed; the
-retaining variant joins the co-placed vertex table. The result is placed by
-``id`` again, ready for the next round.
+shuffle; the rank rows of hot sources (< P rows) are broadcast to the hot
+edges; contributions are partially summed per task, shuffled once by
+destination and summed; the retaining variant joins the co-placed vertex
+table. The result is placed by ``id`` again, ready for the next round.
 
 Each round is persisted and the previous one released; every
 ``checkpoint_every`` rounds the ranks are checkpointed to the session's
@@ -50,6 +49,7 @@ from graphtables.functions.columns import (
 )
 from graphtables.operators.graph import collapse_edges, out_degrees, vertex_ids
 from graphtables.operators.rank import _check, initial_ranks, summed_initial_ranks
+from graphtables.operators.skew import SourceSplit, join_split
 from graphtables.plans.inspect import shuffle_exchanges
 from graphtables.plans.metrics import StageTimer
 from graphtables.session import checkpoint_dir
@@ -123,31 +123,28 @@ class RankLoop:
         collapsed = self.edges.transform(collapse_edges).persist(self.level)
         n_edges = collapsed.count()
         threshold = self.hot_threshold or max(1, math.ceil(n_edges / p))
-        # fewer than n_edges / threshold sources can exceed the threshold
-        hot = (out_degrees(collapsed).filter(F.col("out_degree") > threshold)
-               .select("src_id", F.ceil(F.col("out_degree") / F.lit(threshold))
-                       .cast("int").alias("salts")))
-        hot = hot.persist(self.level)
-        self.num_hot = hot.count()
+        # the out-degrees sum to n_edges: fewer than n_edges / threshold sources are hot
+        hot_ids = (out_degrees(collapsed).filter(F.col("out_degree") > threshold)
+                   .select("src_id"))
+        hot_ids = hot_ids.persist(self.level)
+        self.num_hot = hot_ids.count()
         self.timer.record("build routing tables", self.num_hot, (time.perf_counter() - start) * 1000)
-        self._hot = hot
-        self._kept.append(hot)
+        self._kept.append(hot_ids)
         # With the default threshold fewer than P sources are hot. A smaller
         # threshold given by the caller can make the table vertex-sized: then it
         # is joined by shuffle instead of being broadcast.
-        self._broadcast_hot = self.num_hot <= 2 * p
-        hot_b = self._hot_side()
-        normal = collapsed.join(hot_b, "src_id", "left_anti")
-        normal = normal.repartition(p, "src_id").sortWithinPartitions("src_id")
-        self._edges_normal = self._keep("build edges", normal)
+        bounded = self.num_hot <= 2 * p
+        ids = F.broadcast(hot_ids) if bounded else hot_ids
+        normal = collapsed.join(ids, "src_id", "left_anti")
+        normal = self._keep("build edges",
+                            normal.repartition(p, "src_id").sortWithinPartitions("src_id"))
         if self.num_hot:
-            salted = (collapsed.join(hot_b, "src_id")
-                      .withColumn("salt", F.pmod(F.xxhash64("dst_id"), F.col("salts")).cast("int"))
-                      .drop("salts"))
-            salted = salted.repartition(p, "src_id", "salt").sortWithinPartitions("src_id", "salt")
-            self._edges_hot = self._keep("build edges (split sources)", salted)
+            # (src, dst) is unique after collapsing: hashing both spreads a hot source evenly
+            hot = collapsed.join(ids, "src_id", "left_semi").repartition(p, "src_id", "dst_id")
+            hot = self._keep("build edges (hot sources)", hot)
         else:
-            self._edges_hot = None
+            hot = collapsed.limit(0)
+        self.split = SourceSplit(normal, hot, hot_ids, bounded)
 
         if self.missing == "retain":
             verts = vertex_ids(collapsed).repartition(p, "id").sortWithinPartitions("id")
@@ -156,37 +153,25 @@ class RankLoop:
             self._vertices = None
         collapsed.unpersist(blocking=False)
 
-    def _hot_side(self) -> DataFrame:
-        return F.broadcast(self._hot) if self._broadcast_hot else self._hot
-
     # ---- one round ------------------------------------------------------------
 
     def _totals(self, ranks: DataFrame) -> DataFrame:
-        e = self._edges_normal
+        split = self.split
         if self.contribution == "source_id":
-            parts = [e.select(F.col("dst_id").alias("id"),
-                              source_id_contribution().alias("contrib"))]
-            if self._edges_hot is not None:
-                parts.append(self._edges_hot.select(F.col("dst_id").alias("id"),
-                                                    source_id_contribution().alias("contrib")))
+            parts = [split.normal, split.hot] if self.num_hot else [split.normal]
+            contribs = parts[0].select(F.col("dst_id").alias("id"),
+                                       source_id_contribution().alias("contrib"))
+            for extra in parts[1:]:
+                contribs = contribs.unionByName(extra.select(
+                    F.col("dst_id").alias("id"), source_id_contribution().alias("contrib")))
+        elif self.num_hot:
+            contribs = join_split(split, ranks).select(
+                F.col("dst_id").alias("id"), edge_contribution("weight", "rank").alias("contrib"))
         else:
-            parts = [e.join(ranks, e["src_id"] == ranks["id"])
-                     .select(F.col("dst_id").alias("id"),
-                             edge_contribution("weight", "rank").alias("contrib"))]
-            if self._edges_hot is not None:
-                h = self._edges_hot
-                hot = self._hot_side()
-                copies = (ranks.join(hot, ranks["id"] == hot["src_id"])
-                          .select("id", "rank",
-                                  F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("r_salt"))
-                          .repartition(self.partitions, "id", "r_salt"))
-                parts.append(h.join(copies, (h["src_id"] == copies["id"])
-                                    & (h["salt"] == copies["r_salt"]))
-                             .select(F.col("dst_id").alias("id"),
-                                     edge_contribution("weight", "rank").alias("contrib")))
-        contribs = parts[0]
-        for extra in parts[1:]:
-            contribs = contribs.unionByName(extra)
+            e = split.normal
+            contribs = (e.join(ranks.hint("shuffle_hash"), e["src_id"] == ranks["id"])
+                        .select(F.col("dst_id").alias("id"),
+                                edge_contribution("weight", "rank").alias("contrib")))
         totals = contribs.groupBy("id").agg(F.sum("contrib").alias("total_contrib"))
         if self._vertices is not None:
             totals = (self._vertices.join(totals, "id", "left")

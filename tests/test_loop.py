@@ -22,13 +22,13 @@ def test_one_shuffle_per_round(spark):
         out.unpersist()
 
 
-def test_split_sources_add_one_small_shuffle(spark):
+def test_hot_sources_add_no_shuffle(spark):
+    # every TG2 source is hot at threshold 2: their rank rows are broadcast, no extra shuffle
     e = nation_trade_edges(spark, SF_SMALL)
-    loop = RankLoop(e, missing="retain", hot_threshold=2, checkpoint_every=0)
+    loop = RankLoop(e, missing="retain", hot_threshold=2, partitions=16, checkpoint_every=0)
     out = loop.run(2)
-    assert loop.num_hot > 0
-    assert [len(x) for x in loop.round_exchanges] == [2, 2]
-    assert any("salt" in x for x in loop.round_exchanges[0])
+    assert loop.num_hot > 0 and loop.split.broadcast
+    assert [len(x) for x in loop.round_exchanges] == [1, 1]
     assert _ranks(out) == _ranks(rank(e, 2, missing="retain"))
     out.unpersist()
 
@@ -59,6 +59,35 @@ def test_many_hot_sources_are_not_broadcast(spark):
     loop = RankLoop(e, missing="drop", partitions=4, hot_threshold=1, checkpoint_every=0)
     out = loop.run(2)
     assert loop.num_hot > 8
-    assert not loop._broadcast_hot
+    assert not loop.split.broadcast
     assert _ranks(out) == _ranks(rank(e, 2))
     out.unpersist()
+
+
+def test_lazy_plan_splits_a_hot_source(spark):
+    # a third of all edges leave vertex 0: the lazy plan joins them by broadcast
+    from pyspark.sql import functions as F
+
+    from graphtables.operators.skew import split_sources
+    from graphtables.plans.inspect import plan_text
+
+    n = 30000
+    e = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000).cast("long").alias("src_id"),
+        F.pmod(F.xxhash64("id"), F.lit(5000)).cast("long").alias("dst_id"), F.lit(1.0).alias("weight"))
+    split = split_sources(e, partitions=8)
+    assert [r["src_id"] for r in split.hot_ids.collect()] == [0]
+    from graphtables.operators.skew import salt_graph
+    g = salt_graph(e, partitions=8)
+    hot = [(r["src_id"], r["salts"]) for r in g.hot.collect()]
+    assert hot == [(0, 3)]  # 10000 out-edges, T = 30000 / 8 -> 3 salts
+    per_salt = g.edges.filter("src_id = 0").groupBy("src_salt").count().collect()
+    assert len(per_salt) == 3 and max(r["count"] for r in per_salt) < 2 * 10000 / 3
+    got = rank(e, 2, missing="retain")
+    rows = got.collect()
+    assert "BroadcastHashJoin" in plan_text(got)
+    e_local = [(r["src_id"], r["dst_id"]) for r in e.collect()]
+    from tests.brute import rank as brute
+    want = brute(e_local, 2, missing="retain")
+    assert all(abs(r["rank"] - want[r["id"]]) <= 1e-9 * max(1, want[r["id"]]) for r in rows)
+    assert len(rows) == len(want)
