@@ -106,6 +106,7 @@ class SaltedGraph:
 
     edges: DataFrame
     hot: DataFrame
+    lookup: DataFrame  # ``_hot_id, salts``: the broadcast side shared by every round
 
 
 def salt_graph(edges: DataFrame, partitions: int | None = None) -> SaltedGraph:
@@ -129,12 +130,13 @@ def salt_graph(edges: DataFrame, partitions: int | None = None) -> SaltedGraph:
                  .join(hb, "src_id")
                  .select("src_id", "dst_id", "weight",
                          F.pmod(F.xxhash64("dst_id"), F.col("salts")).cast("int").alias("src_salt")))
-    return SaltedGraph(normal.unionByName(hot_edges), hot)
+    lookup = F.broadcast(hot.select(F.col("src_id").alias("_hot_id"), "salts"))
+    return SaltedGraph(normal.unionByName(hot_edges), hot, lookup)
 
 
 def with_salts(graph: SaltedGraph, df: DataFrame, key: str = "id") -> DataFrame:
     """``df`` with a ``salt`` column: one row per salt of ``key`` (one row, salt 0, if not hot)."""
-    hot = F.broadcast(graph.hot.select(F.col("src_id").alias("_hot_id"), "salts"))
+    hot = graph.lookup
     j = df.join(hot, df[key] == hot["_hot_id"], "left")
     n = F.coalesce(F.col("salts"), F.lit(1))
     return j.select(*[F.col(c) for c in df.columns],
