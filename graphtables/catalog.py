@@ -7,7 +7,8 @@ every value has at most 6 decimals, so rounding is tie-free).
 
 Graphs (see :mod:`graphtables.sources.tables`): TG1 part -> supplier,
 TG2 nation -> nation, TG3 user succession, TG4 customer -> nation -> region.
-``ep`` = ``pmod(src_id, 4)``, a reproducible edge-partition id.
+``ep`` = ``pmod(src_id + dst_id, 4)``, a reproducible edge-partition id that
+spreads the edges of one source like input splits do.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.functions.columns import modulo_partition
+from graphtables.functions.columns import edge_partition_of
 from graphtables.operators import keyed, layout, rank as rk, routing as rt
 from graphtables.operators.graph import (
     collapse_edges,
@@ -59,7 +60,8 @@ def _ranks_out(df: DataFrame) -> DataFrame:
 
 
 def _tg1_ep(spark: SparkSession, d: str) -> DataFrame:
-    return part_supplier_edges(spark, d).withColumn("edge_partition", modulo_partition("src_id", NUM_EP))
+    return part_supplier_edges(spark, d).withColumn(
+        "edge_partition", edge_partition_of("src_id", "dst_id", NUM_EP))
 
 
 def _tg1_routing(spark: SparkSession, d: str) -> DataFrame:
@@ -162,14 +164,14 @@ def contrib_sum(spark: SparkSession, d: str) -> DataFrame:
 def contrib_partial(spark: SparkSession, d: str) -> DataFrame:
     """A2, S6 on TG1: partial sums per (ep, destination)."""
     e, r1 = _tg1_r6_k1(spark, d)
-    e = e.withColumn("edge_partition", modulo_partition("src_id", NUM_EP))
+    e = e.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", NUM_EP))
     return rk.contrib_partial(e, r1).select("edge_partition", "id", _r6("partial"))
 
 
 def contrib_final(spark: SparkSession, d: str) -> DataFrame:
     """A3 on TG1: the partials summed per vertex."""
     e, r1 = _tg1_r6_k1(spark, d)
-    e = e.withColumn("edge_partition", modulo_partition("src_id", NUM_EP))
+    e = e.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", NUM_EP))
     return rk.contrib_final(rk.contrib_partial(e, r1)).select("id", _r6("total_contrib"))
 
 
@@ -364,7 +366,8 @@ def layout_edges(spark: SparkSession, d: str) -> DataFrame:
     placement spreads over as many tasks as the cluster is configured for.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = part_supplier_edges(spark, d).withColumn("edge_partition", modulo_partition("src_id", n))
+    e = part_supplier_edges(spark, d).withColumn("edge_partition",
+                                                 edge_partition_of("src_id", "dst_id", n))
     placed = layout.place_edges(e, n)
     return placed.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n_rows"))
 

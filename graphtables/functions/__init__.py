@@ -7,6 +7,7 @@ from graphtables.functions.columns import (  # noqa: F401
     RESET,
     damp,
     edge_contribution,
+    edge_partition_of,
     message_partition,
     message_position,
     modulo_partition,

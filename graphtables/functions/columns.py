@@ -87,3 +87,14 @@ def position_is_dst(pos: str | Column) -> Column:
 def modulo_partition(key: str | Column, n: int) -> Column:
     """Reproducible edge-partition id ``pmod(key, n)`` as INT."""
     return F.pmod(_col(key), F.lit(int(n))).cast("int")
+
+
+def edge_partition_of(src: str | Column = "src_id", dst: str | Column = "dst_id",
+                      n: int = 1) -> Column:
+    """Reproducible edge-partition id ``pmod(src + dst, n)`` as INT.
+
+    Like the input split of a text file, it spreads the edges of one source over
+    the partitions (by destination), so a hot source does not become one
+    (partition, source) group.
+    """
+    return F.pmod(_col(src) + _col(dst), F.lit(int(n))).cast("int")

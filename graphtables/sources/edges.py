@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.functions.columns import EDGE_WEIGHT, modulo_partition
+from graphtables.functions.columns import EDGE_WEIGHT, edge_partition_of, modulo_partition
 
 EDGE_COLUMNS = ("src_id", "dst_id", "weight")
 
@@ -120,6 +120,16 @@ def with_split_partition(lines: DataFrame) -> DataFrame:
     return lines.withColumn("edge_partition", F.spark_partition_id())
 
 
-def with_edge_partition(edges: DataFrame, n: int, key: str = "src_id") -> DataFrame:
-    """S6, reproducible: ``edge_partition = pmod(key, n)`` (INT)."""
-    return edges.withColumn("edge_partition", modulo_partition(key, n))
+def with_edge_partition(edges: DataFrame, n: int, by: str = "edge") -> DataFrame:
+    """S6, reproducible: ``edge_partition`` (INT) in ``0 .. n-1``.
+
+    ``by="edge"``: ``pmod(src_id + dst_id, n)``, spreads the edges of one source
+    over the partitions as input splits do; ``by="src"``: ``pmod(src_id, n)``,
+    keeps all edges of a source together (a hot source then makes one large
+    partition).
+    """
+    if by == "edge":
+        return edges.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", n))
+    if by == "src":
+        return edges.withColumn("edge_partition", modulo_partition("src_id", n))
+    raise ValueError("by must be 'edge' or 'src'")

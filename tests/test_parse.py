@@ -74,7 +74,9 @@ def test_extra_field_file(spark, scratch):
 
 def test_edge_partition_columns(spark):
     lines = _lines(spark, ["1\t2", "5\t6", "-3\t1"])
-    e = with_edge_partition(parse_edges(lines), 4)
+    e = with_edge_partition(parse_edges(lines), 4, by="src")
     assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 1), (1, 1), (5, 1)]
+    e = with_edge_partition(parse_edges(lines), 4)
+    assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 2), (1, 3), (5, 3)]
     split = with_split_partition(lines.repartition(2))
     assert {r["edge_partition"] for r in split.collect()} <= {0, 1}
