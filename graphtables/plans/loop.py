@@ -86,7 +86,8 @@ class RankLoop:
     """Run the rank recurrence for many rounds, materialising each round.
 
     Parameters mirror :func:`graphtables.operators.rank.rank`; in addition
-    ``partitions`` (P, default ``spark.sql.shuffle.partitions``),
+    ``partitions`` (P; default: the session's shuffle partitions, raised so a
+    partition holds at most ``target_partition_rows`` edges),
     ``checkpoint_every`` (0 = never) and ``hot_threshold`` (out-edges above
     which a source is split; default ``ceil(|E| / P)``).
     """
@@ -95,13 +96,16 @@ class RankLoop:
                  contribution: str = "rank", reset: float = RESET, damping: float = DAMPING,
                  initial: float = INITIAL_RANK, partitions: int | None = None,
                  checkpoint_every: int = 10, hot_threshold: int | None = None,
-                 level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+                 level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                 target_partition_rows: int = 10_000_000):
         _check(init, missing, contribution)
         self.spark = edges.sparkSession
         self.edges = edges.select("src_id", "dst_id", "weight")
         self.init, self.missing, self.contribution = init, missing, contribution
         self.reset, self.damping, self.initial = reset, damping, initial
+        self.requested_partitions = partitions
         self.partitions = int(partitions or self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.target_partition_rows = target_partition_rows
         self.checkpoint_every = checkpoint_every
         self.hot_threshold = hot_threshold
         self.level = level
@@ -117,11 +121,20 @@ class RankLoop:
         self._kept.append(df)
         return df
 
-    def _build(self) -> None:
-        p = self.partitions
+    def _collapse(self) -> tuple[DataFrame, int]:
+        """Collapsed edges, counted (planned with the session's own settings)."""
         start = time.perf_counter()
         collapsed = self.edges.transform(collapse_edges).persist(self.level)
         n_edges = collapsed.count()
+        self.timer.record("collapse edges", n_edges, (time.perf_counter() - start) * 1000)
+        if not self.requested_partitions:
+            # spill-aware: no partition holds more than target_partition_rows edges
+            self.partitions = max(self.partitions, math.ceil(n_edges / self.target_partition_rows))
+        return collapsed, n_edges
+
+    def _build(self, collapsed: DataFrame, n_edges: int) -> None:
+        p = self.partitions
+        start = time.perf_counter()
         threshold = self.hot_threshold or max(1, math.ceil(n_edges / p))
         # the out-degrees sum to n_edges: fewer than n_edges / threshold sources are hot
         hot_ids = (out_degrees(collapsed).filter(F.col("out_degree") > threshold)
@@ -187,14 +200,14 @@ class RankLoop:
 
     def run(self, rounds: int) -> DataFrame:
         """Materialise ``rounds`` rounds and return the final ``id, rank`` table (persisted)."""
+        if rounds <= 0:
+            return self._keep("build vertices", initial_ranks(self.edges, self.init, self.initial))
+        collapsed, n_edges = self._collapse()
         p = self.partitions
         settings = dict(_LOOP_CONF)
         settings["spark.sql.shuffle.partitions"] = str(p)
         with _session_conf(self.spark, settings):
-            if rounds <= 0:
-                return self._keep("build vertices",
-                                  initial_ranks(self.edges, self.init, self.initial))
-            self._build()
+            self._build(collapsed, n_edges)
             ranks = summed_initial_ranks(self.edges, self.init, self.initial)
             ranks = self.timer.materialise(
                 "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),

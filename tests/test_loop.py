@@ -91,3 +91,37 @@ def test_lazy_plan_splits_a_hot_source(spark):
     want = brute(e_local, 2, missing="retain")
     assert all(abs(r["rank"] - want[r["id"]]) <= 1e-9 * max(1, want[r["id"]]) for r in rows)
     assert len(rows) == len(want)
+
+
+def test_repeated_edge_with_a_third_of_the_rows(spark):
+    # one (src, dst) pair repeated: a third of all rows; both forms stay exact
+    from pyspark.sql import functions as F
+
+    from graphtables.operators.skew import salt_graph
+
+    n = 9000
+    e = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900).cast("long").alias("src_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(8)).otherwise(F.col("id") % 451).cast("long").alias("dst_id"),
+        F.lit(1.0).alias("weight"))
+    g = salt_graph(e, partitions=8)
+    assert [r["src_id"] for r in g.hot.collect()] == [7]
+    # the copies became one edge of weight 3000 (plus 7's ordinary edges)
+    heavy = g.edges.filter("src_id = 7 AND dst_id = 8").collect()
+    assert len(heavy) == 1 and heavy[0]["weight"] >= 3000
+    want = _ranks(rank(e, 3, missing="retain"))
+    from tests.brute import rank as brute
+    b = brute([(r["src_id"], r["dst_id"]) for r in e.collect()], 3, missing="retain")
+    assert want == {k: round(v, 6) for k, v in b.items()}
+    loop = RankLoop(e, missing="retain", partitions=8)
+    out = loop.run(3)
+    assert _ranks(out) == want
+    out.unpersist()
+
+
+def test_partition_count_follows_the_data(spark):
+    e = part_supplier_edges(spark, SF_SMALL)
+    loop = RankLoop(e, target_partition_rows=500, checkpoint_every=0)
+    loop.run(1).unpersist()
+    n = e.select("src_id", "dst_id").distinct().count()
+    assert loop.partitions == max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 500))
