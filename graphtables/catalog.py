@@ -31,7 +31,6 @@ from graphtables.operators.graph import (
 from graphtables.plans.loop import RankLoop
 from graphtables.session import shared_path
 from graphtables.sources.edges import (
-    edges_from,
     parse_edges,
     read_edges,
     rejected_lines,
@@ -468,5 +467,3 @@ QUERIES: dict[str, Query] = {
     "rank_loop_source_id": rank_loop_source_id,
     "stage_metrics": stage_metrics,
 }
-
-__all__ = ["QUERIES", "edges_from"]

@@ -159,7 +159,7 @@ def summed_initial_ranks(edges: DataFrame, init: str = "unique",
     raise ValueError(f"unknown init {init!r}")
 
 
-def _check(init: str, missing: str, contribution: str) -> None:
+def check_variant(init: str, missing: str, contribution: str) -> None:
     if init not in INITS:
         raise ValueError(f"init must be one of {INITS}")
     if missing not in MISSING:
@@ -180,7 +180,7 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
     * R7 = ``rank(e, k, contribution="source_id", missing="retain")``
     * R8 = ``rank(e, k, init="unique", missing="retain")``
     """
-    _check(init, missing, contribution)
+    check_variant(init, missing, contribution)
     edges = edges.select("src_id", "dst_id", "weight")
     if rounds <= 0:
         return initial_ranks(edges, init, initial)

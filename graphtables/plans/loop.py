@@ -48,7 +48,7 @@ from graphtables.functions.columns import (
     source_id_contribution,
 )
 from graphtables.operators.graph import collapse_edges, out_degrees, vertex_ids
-from graphtables.operators.rank import _check, initial_ranks, summed_initial_ranks
+from graphtables.operators.rank import check_variant, initial_ranks, summed_initial_ranks
 from graphtables.operators.skew import SourceSplit, join_split
 from graphtables.plans.inspect import shuffle_exchanges
 from graphtables.plans.metrics import StageTimer
@@ -98,7 +98,7 @@ class RankLoop:
                  checkpoint_every: int = 10, hot_threshold: int | None = None,
                  level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
                  target_partition_rows: int = 10_000_000):
-        _check(init, missing, contribution)
+        check_variant(init, missing, contribution)
         self.spark = edges.sparkSession
         self.edges = edges.select("src_id", "dst_id", "weight")
         self.init, self.missing, self.contribution = init, missing, contribution
@@ -125,6 +125,7 @@ class RankLoop:
         """Collapsed edges, counted (planned with the session's own settings)."""
         start = time.perf_counter()
         collapsed = self.edges.transform(collapse_edges).persist(self.level)
+        self._kept.append(collapsed)
         n_edges = collapsed.count()
         self.timer.record("collapse edges", n_edges, (time.perf_counter() - start) * 1000)
         if not self.requested_partitions:
@@ -207,30 +208,38 @@ class RankLoop:
         settings = dict(_LOOP_CONF)
         settings["spark.sql.shuffle.partitions"] = str(p)
         with _session_conf(self.spark, settings):
-            self._build(collapsed, n_edges)
-            ranks = summed_initial_ranks(self.edges, self.init, self.initial)
-            ranks = self.timer.materialise(
-                "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),
-                self.level)
-            fixed = None
-            for i in range(1, rounds + 1):
-                if self.contribution == "source_id" and fixed is not None:
-                    # independent of the previous ranks: every later round is the same table
-                    self.timer.record(f"iteration {i}", self.timer.records[-1][1], 0.0)
-                    continue
-                new = self.timer.materialise(f"iteration {i}", self._step(ranks), self.level)
-                self.round_exchanges.append(shuffle_exchanges(new))
-                if self.checkpoint_every and i % self.checkpoint_every == 0 and i < rounds:
-                    checkpoint_dir(self.spark)
-                    cp = new.checkpoint(eager=True)
-                    new.unpersist(blocking=False)
-                    new = cp
-                ranks.unpersist(blocking=False)
-                ranks = new
-                if self.contribution == "source_id":
-                    fixed = new
-            self.release_layout()
-            return ranks
+            try:
+                return self._rounds(collapsed, n_edges, rounds)
+            except BaseException:
+                self.release_layout()
+                raise
+
+    def _rounds(self, collapsed: DataFrame, n_edges: int, rounds: int) -> DataFrame:
+        p = self.partitions
+        self._build(collapsed, n_edges)
+        ranks = summed_initial_ranks(self.edges, self.init, self.initial)
+        ranks = self.timer.materialise(
+            "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),
+            self.level)
+        fixed = None
+        for i in range(1, rounds + 1):
+            if self.contribution == "source_id" and fixed is not None:
+                # independent of the previous ranks: every later round is the same table
+                self.timer.record(f"iteration {i}", self.timer.records[-1][1], 0.0)
+                continue
+            new = self.timer.materialise(f"iteration {i}", self._step(ranks), self.level)
+            self.round_exchanges.append(shuffle_exchanges(new))
+            if self.checkpoint_every and i % self.checkpoint_every == 0 and i < rounds:
+                checkpoint_dir(self.spark)
+                cp = new.checkpoint(eager=True)
+                new.unpersist(blocking=False)
+                new = cp
+            ranks.unpersist(blocking=False)
+            ranks = new
+            if self.contribution == "source_id":
+                fixed = new
+        self.release_layout()
+        return ranks
 
     def release_layout(self) -> None:
         """Drop the kept edge, vertex and hot-source tables."""
