@@ -40,7 +40,8 @@ INCIDENCE_ROWS = f"SELECT id, 1.0::DOUBLE AS rank FROM (SELECT DISTINCT * FROM (
 
 def ep(n: int = 4) -> str:
     """The reproducible edge partition ``pmod(src_id + dst_id, n)``."""
-    return f"CAST((((src_id + dst_id) % {n}) + {n}) % {n} AS INTEGER)"
+    return (f"CAST(((((src_id % {n}) + {n}) % {n} + ((dst_id % {n}) + {n}) % {n}) % {n}) "
+            f"AS INTEGER)")
 
 
 # ---- rank rounds ------------------------------------------------------------

@@ -97,4 +97,6 @@ def edge_partition_of(src: str | Column = "src_id", dst: str | Column = "dst_id"
     the partitions (by destination), so a hot source does not become one
     (partition, source) group.
     """
-    return F.pmod(_col(src) + _col(dst), F.lit(int(n))).cast("int")
+    m = F.lit(int(n))
+    # reduced before adding: no 64-bit overflow for ids near the range limits
+    return F.pmod(F.pmod(_col(src), m) + F.pmod(_col(dst), m), m).cast("int")

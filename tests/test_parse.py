@@ -80,3 +80,10 @@ def test_edge_partition_columns(spark):
     assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 2), (1, 3), (5, 3)]
     split = with_split_partition(lines.repartition(2))
     assert {r["edge_partition"] for r in split.collect()} <= {0, 1}
+
+
+def test_edge_partition_has_no_overflow(spark):
+    big = 9223372036854775807
+    lines = _lines(spark, [f"{big}\t{big}", f"-{big}\t{big}"])
+    e = with_edge_partition(parse_edges(lines), 7).collect()
+    assert [r["edge_partition"] for r in e] == [(2 * big) % 7, 0]
