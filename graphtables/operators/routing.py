@@ -87,6 +87,15 @@ def routing_sizes(routing: DataFrame, num_edge_partitions: int) -> DataFrame:
             .select("edge_partition", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
+def edge_partition_count(df: DataFrame) -> DataFrame:
+    """Number of edge partitions, ``max(edge_partition) + 1`` (``n INT``; 0 when empty).
+
+    Equals the partition count only when the highest partition is populated;
+    otherwise pass the count as a parameter, as :func:`routing_sizes` takes it.
+    """
+    return df.agg(F.coalesce(F.max("edge_partition") + 1, F.lit(0)).cast("int").alias("n"))
+
+
 def ship_ranks(routing: DataFrame, ranks: DataFrame) -> DataFrame:
     """The ranks each edge partition needs as a source: ``edge_partition, id, rank``.
 

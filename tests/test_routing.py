@@ -33,6 +33,8 @@ def test_filters_and_sizes(spark):
     assert rt.routing_filter(table, True, True).count() == 7
     assert rt.routing_filter(table, False, False).count() == 0
     assert _rows(rt.routing_sizes(table, 3)) == [(0, 3), (1, 4), (2, 0)]
+    assert rt.edge_partition_count(table).collect()[0]["n"] == 2
+    assert rt.edge_partition_count(table.filter("false")).collect()[0]["n"] == 0
 
 
 def test_pack_round_trip(spark):
