@@ -190,8 +190,13 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
     # hot sources salted once; every round references the previous ranks once
     # and leaves them placed for the next join (one shuffle per round)
     graph = salt_graph(edges)
-    ranks = with_salts(graph, summed_initial_ranks(edges, init, initial))
-    vertex_table = with_salts(graph, vertex_ids(edges)) if missing == "retain" else None
+    vertex_table = None
+    if missing == "retain" or init == "unique":
+        vertex_table = with_salts(graph, vertex_ids(edges))
+    if init == "unique":
+        ranks = vertex_table.withColumn("rank", F.lit(float(initial)))
+    else:
+        ranks = with_salts(graph, summed_initial_ranks(edges, init, initial))
     for _ in range(rounds):
         totals = salted_totals(graph, ranks)
         if missing == "retain":
