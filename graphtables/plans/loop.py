@@ -202,7 +202,9 @@ class RankLoop:
     def run(self, rounds: int) -> DataFrame:
         """Materialise ``rounds`` rounds and return the final ``id, rank`` table (persisted)."""
         if rounds <= 0:
-            return self._keep("build vertices", initial_ranks(self.edges, self.init, self.initial))
+            return self.timer.materialise("build vertices",
+                                          initial_ranks(self.edges, self.init, self.initial),
+                                          self.level)
         collapsed, n_edges = self._collapse()
         p = self.partitions
         settings = dict(_LOOP_CONF)
