@@ -65,3 +65,18 @@ def test_row_order_and_partitions_do_not_matter(spark):
     a = _ranks(rank(_edges(spark, pairs).repartition(1), 3, missing="retain"))
     b = _ranks(rank(_edges(spark, shuffled).repartition(13), 3, missing="retain"))
     assert _close(a, b)
+
+
+@settings(max_examples=10, deadline=None)
+@given(graphs, st.integers(1, 3), st.sampled_from(range(len(VARIANTS))),
+       st.sampled_from([None, 1, 2]), st.integers(1, 5))
+def test_loop_matches_plain_python(spark, pairs, k, v, hot, parts):
+    from graphtables.plans.loop import RankLoop
+
+    loop = RankLoop(_edges(spark, pairs), hot_threshold=hot, partitions=parts,
+                    checkpoint_every=2, **VARIANTS[v])
+    out = loop.run(k)
+    try:
+        assert _close(_ranks(out), brute_rank(pairs, k, **VARIANTS[v]))
+    finally:
+        out.unpersist()
