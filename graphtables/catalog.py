@@ -92,6 +92,19 @@ def edge_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_edges(spark, path)
 
 
+def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """S1-S5 as a stream: TG1 written as TSV files, ingested by a streaming query into
+    a parquet edge table (both below the shared folder), read back."""
+    from graphtables.streaming import append_edges, read_edge_stream
+
+    src = shared_path(spark, "tg1-stream-in")
+    write_edges(part_supplier_edges(spark, d), src, header="src_id\tdst_id")
+    out = shared_path(spark, "tg1-stream-out")
+    q = append_edges(read_edge_stream(spark, src), out, checkpoint=out + "-progress")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _mixed_lines(spark: SparkSession, d: str) -> DataFrame:
     """TG1 edge lines plus one malformed (space-separated) line per order."""
     li = table(spark, d, "lineitem")
@@ -414,6 +427,7 @@ def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "edge_parse": edge_parse,
     "edge_file_roundtrip": edge_file_roundtrip,
+    "edge_stream_roundtrip": edge_stream_roundtrip,
     "edge_parse_permissive": edge_parse_permissive,
     "edge_rejects": edge_rejects,
     "successor_edges": successor_edges,

@@ -124,6 +124,7 @@ _POS = "(CASE WHEN is_src THEN 1 ELSE 0 END + CASE WHEN is_dst THEN 2 ELSE 0 END
 ORACLE: dict[str, str] = {
     "edge_parse": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
     "edge_file_roundtrip": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
+    "edge_stream_roundtrip": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
     "edge_parse_permissive": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
     "edge_rejects": ("SELECT CAST(o_orderkey AS VARCHAR) || ' ' || CAST(o_custkey AS VARCHAR) "
                      "AS line FROM orders"),

@@ -80,3 +80,16 @@ def test_loop_matches_plain_python(spark, pairs, k, v, hot, parts):
         assert _close(_ranks(out), brute_rank(pairs, k, **VARIANTS[v]))
     finally:
         out.unpersist()
+
+
+def test_unique_drop_equals_retain_when_every_vertex_has_an_in_edge(spark):
+    from graphtables.sources.tables import user_succession_edges
+
+    from tests.conftest import SF_SMALL
+
+    e = user_succession_edges(spark, SF_SMALL)
+    dsts = {r["dst_id"] for r in e.select("dst_id").distinct().collect()}
+    srcs = {r["src_id"] for r in e.select("src_id").distinct().collect()}
+    assert srcs <= dsts  # TG3: every vertex has an in-edge
+    for k in (1, 3):
+        assert _close(_ranks(rank(e, k)), _ranks(rank(e, k, missing="retain")))
