@@ -125,3 +125,11 @@ def test_partition_count_follows_the_data(spark):
     loop.run(1).unpersist()
     n = e.select("src_id", "dst_id").distinct().count()
     assert loop.partitions == max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 500))
+
+
+def test_checkpoint_keeps_the_placement(spark):
+    e = part_supplier_edges(spark, SF_SMALL)
+    loop = RankLoop(e, missing="retain", checkpoint_every=1)
+    out = loop.run(3)
+    assert [len(x) for x in loop.round_exchanges] == [1, 1, 1]
+    assert _ranks(out) == _ranks(rank(e, 3, missing="retain"))
