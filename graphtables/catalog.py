@@ -318,8 +318,14 @@ def routing_triplets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_routed(spark: SparkSession, d: str) -> DataFrame:
-    """R2 composed from J2 -> J3 -> A2 -> A3 -> J4 -> P5, 3 rounds on TG1 (= R8)."""
-    e = _tg1_ep(spark, d)
+    """R2 composed from J2 -> J3 -> A2 -> A3 -> J4 -> P5, 3 rounds on TG1 (= R8).
+
+    The result does not depend on the edge partitioning, so the number of edge
+    partitions follows the session's shuffle partitions (spread over the cluster).
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = part_supplier_edges(spark, d).withColumn(
+        "edge_partition", edge_partition_of("src_id", "dst_id", n))
     routing = rt.routing_table(e)
     v = vertices(e)
     ranks = v

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphtables.operators.skew import split_join
+
 MERGES = ("sum", "max", "min", "bit_or", "last")
 
 
@@ -19,17 +21,23 @@ def id_union(a: DataFrame, b: DataFrame, column: str = "id") -> DataFrame:
 
 
 def id_membership(candidates: DataFrame, members: DataFrame, column: str = "id") -> DataFrame:
-    """K2: rows of ``candidates`` whose id occurs in ``members`` (left semi join)."""
-    return candidates.join(members.select(column), column, "left_semi")
+    """K2: rows of ``candidates`` whose id occurs in ``members`` (left semi join).
+
+    ``members`` is de-duplicated first (partial aggregation before the shuffle),
+    so a member repeated by a large share of the rows is one build row.
+    """
+    return candidates.join(members.select(column).distinct(), column, "left_semi")
 
 
 def lookup(keys: DataFrame, table: DataFrame, key: str = "id", value: str = "value",
            default: object | None = None) -> DataFrame:
     """K3: value of each key, or ``default`` when absent (``None``: no default, null stays).
 
-    ``table`` must have unique keys, else a key would fan out.
+    ``table`` must have unique keys, else a key would fan out. A key repeated in
+    ``keys`` by a large share of the rows is looked up by broadcast.
     """
-    j = keys.select(key).join(table.select(key, value), key, "left")
+    t = table.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    j = split_join(keys.select(key), t, [key], ["_k"], "left").select(key, F.col("_v").alias(value))
     v: Column = F.col(value)
     if default is not None:
         v = F.coalesce(v, F.lit(default).cast(table.schema[value].dataType))

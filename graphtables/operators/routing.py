@@ -20,6 +20,7 @@ from graphtables.functions.columns import (
     position,
 )
 from graphtables.operators.rank import apply_damping, contrib_final, retain_all
+from graphtables.operators.skew import split_join
 
 ROUTING_COLUMNS = ("edge_partition", "vertex_id", "is_src", "is_dst")
 
@@ -110,9 +111,10 @@ def ship_ranks(routing: DataFrame, ranks: DataFrame) -> DataFrame:
 def triplets(edges: DataFrame, shipped: DataFrame) -> DataFrame:
     """Edges joined with the shipped ranks inside their edge partition:
     ``edge_partition, src_id, dst_id, weight, rank, contrib``."""
-    # built on the shipped side: the edge table is the big side and is never broadcast
-    s = shipped.select(F.col("edge_partition").alias("s_ep"), "id", "rank").hint("shuffle_hash")
-    j = edges.join(s, (edges["edge_partition"] == s["s_ep"]) & (edges["src_id"] == s["id"]), "inner")
+    # many-to-one on (edge partition, source): a hot group is joined by broadcast,
+    # the rest by a shuffled hash join built on the shipped side
+    s = shipped.select(F.col("edge_partition").alias("s_ep"), "id", "rank")
+    j = split_join(edges, s, ["edge_partition", "src_id"], ["s_ep", "id"])
     return j.select("edge_partition", "src_id", "dst_id", "weight", "rank",
                     edge_contribution("weight", "rank").alias("contrib"))
 

@@ -89,6 +89,42 @@ def join_split(split: SourceSplit, ranks: DataFrame, unique_ranks: bool = True)
     return normal.unionByName(hot)
 
 
+def split_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys: list[str],
+               how: str = "inner", partitions: int | None = None) -> DataFrame:
+    """Many-to-one join (``small`` has unique keys) without a hot-key task.
+
+    Keys holding more than ``ceil(|big| / P)`` rows of ``big`` (fewer than ``P``
+    keys, by the same counting argument as for sources) meet their ``small``
+    rows through a broadcast join, where ``big`` rows stay put; all other keys
+    use a shuffled hash join built on ``small``. ``how``: ``inner`` or ``left``.
+    Output: the columns of ``big`` followed by those of ``small``.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    spark = big.sparkSession
+    p = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = big.groupBy(*big_keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    hot = F.broadcast(counts.filter(F.col("_n") > F.ceil(total / F.lit(p))).select(*big_keys))
+    big_normal = big.join(hot, big_keys, "left_anti")
+    big_hot = big.join(hot, big_keys, "left_semi")
+    hot_s = hot.select(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(big_keys)])
+    small_hot = small.join(hot_s, [small[k] == hot_s[f"_h{i}"] for i, k in enumerate(small_keys)],
+                           "left_semi")
+
+    def cond(left: DataFrame, right: DataFrame):
+        c = None
+        for b, k in zip(big_keys, small_keys):
+            term = left[b] == right[k]
+            c = term if c is None else c & term
+        return c
+
+    normal = big_normal.join(small.hint("shuffle_hash"), cond(big_normal, small), how)
+    small_b = F.broadcast(small_hot)
+    hot_part = big_hot.join(small_b, cond(big_hot, small_b), how)
+    return normal.unionByName(hot_part)
+
+
 # ---- salted form: one join per round, for plans that chain many rounds -------------
 #
 # Every per-round table is keyed by (vertex, salt): an ordinary vertex has the
