@@ -21,7 +21,8 @@ TG2 = ("SELECT CAST(s.s_nationkey AS BIGINT) AS src_id, CAST(c.c_nationkey AS BI
        "WHERE s.s_nationkey IS NOT NULL AND c.c_nationkey IS NOT NULL")
 
 TG3 = ("SELECT user_id AS src_id, next_user AS dst_id, 1.0::DOUBLE AS weight FROM ("
-       "SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) "
+       "SELECT user_id, lead(user_id) OVER (PARTITION BY event_type "
+       "ORDER BY ts ASC NULLS FIRST, event_id ASC NULLS FIRST) "
        "AS next_user FROM events) t WHERE user_id IS NOT NULL AND next_user IS NOT NULL")
 
 TG4 = ("SELECT c_custkey + 1000 AS src_id, CAST(c_nationkey AS BIGINT) + 100 AS dst_id, "
