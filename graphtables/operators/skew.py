@@ -7,11 +7,14 @@ fewer than ``P`` sources can be hot, whatever the data, so the hot ids, and
 the rank rows of hot sources, form tables with a proven size bound:
 
 * edges of ordinary sources join the ranks by shuffle on ``src_id``;
-* edges of hot sources stay spread evenly over the tasks and meet their
-  (fewer than ``P``) rank rows through a broadcast join.
+* edges of hot sources stay spread over the tasks and meet their (fewer than
+  ``P``) rank rows through a broadcast join.
 
 ``T`` is computed inside the plan (a scalar subquery over the out-degree
-table), so building the split runs no job by itself.
+table), so building the split runs no job by itself. This split serves single
+steps and the materialising loop (whose rank table is a cached leaf); plans
+that chain many rounds use the salted layout below, which references the
+previous ranks once per round.
 """
 
 from __future__ import annotations
@@ -61,8 +64,8 @@ def split_sources(edges: DataFrame, partitions: int | None = None,
     bounded = threshold is None
     ids = F.broadcast(hot_ids) if bounded else hot_ids
     normal = edges.join(ids, "src_id", "left_anti")
-    # round-robin: hot edges spread evenly; one exchange, reused by every round
-    hot = edges.join(ids, "src_id", "left_semi").repartition(p)
+    # hot edges stay where the input put them: the broadcast join needs no exchange
+    hot = edges.join(ids, "src_id", "left_semi")
     return SourceSplit(normal, hot, hot_ids, bounded)
 
 
