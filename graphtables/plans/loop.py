@@ -219,10 +219,13 @@ class RankLoop:
     def _rounds(self, collapsed: DataFrame, n_edges: int, rounds: int) -> DataFrame:
         p = self.partitions
         self._build(collapsed, n_edges)
-        ranks = summed_initial_ranks(self.edges, self.init, self.initial)
-        ranks = self.timer.materialise(
-            "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),
-            self.level)
+        if self.contribution == "source_id":
+            ranks = None  # the literal second program never reads the previous ranks
+        else:
+            ranks = summed_initial_ranks(self.edges, self.init, self.initial)
+            ranks = self.timer.materialise(
+                "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),
+                self.level)
         fixed = None
         for i in range(1, rounds + 1):
             if self.contribution == "source_id" and fixed is not None:
@@ -236,7 +239,8 @@ class RankLoop:
                 cp = new.checkpoint(eager=True)
                 new.unpersist(blocking=False)
                 new = cp
-            ranks.unpersist(blocking=False)
+            if ranks is not None:
+                ranks.unpersist(blocking=False)
             ranks = new
             if self.contribution == "source_id":
                 fixed = new
