@@ -120,10 +120,19 @@ def triplets(edges: DataFrame, shipped: DataFrame) -> DataFrame:
 
 
 def routed_partials(edges: DataFrame, routing: DataFrame, ranks: DataFrame) -> DataFrame:
-    """J2 -> J3 -> A2: partial sums per (edge partition, destination)."""
-    t = triplets(edges, ship_ranks(routing, ranks))
-    return t.groupBy("edge_partition", F.col("dst_id").alias("id")).agg(
-        F.sum("contrib").alias("partial"))
+    """J2 -> J3 -> A2: partial sums per (edge partition, destination).
+
+    Meant for chained rounds, so the ranks are referenced once (the plan grows
+    linearly). Repeated edges are collapsed per partition first (weights
+    summed, exact: only sums leave this step); with an edge partition that
+    spreads a source's edges over ``n`` partitions (:func:`edge_partition_of`),
+    a (partition, source) group then holds at most about ``deg / n`` edges.
+    """
+    e = edges.groupBy("edge_partition", "src_id", "dst_id").agg(F.sum("weight").alias("weight"))
+    s = ship_ranks(routing, ranks).select(F.col("edge_partition").alias("s_ep"), "id", "rank")
+    j = e.join(s.hint("shuffle_hash"), (e["edge_partition"] == s["s_ep"]) & (e["src_id"] == s["id"]))
+    return j.groupBy("edge_partition", F.col("dst_id").alias("id")).agg(
+        F.sum(edge_contribution("weight", "rank")).alias("partial"))
 
 
 def routed_step(vertex_table: DataFrame, edges: DataFrame, routing: DataFrame,

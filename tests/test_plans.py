@@ -41,3 +41,31 @@ def test_no_estimate_based_broadcast_of_edges(spark):
         if e.startswith("BroadcastExchange"):
             # only the hot-source lookup or measured rank totals: never the 3-column edge rows
             assert "input[2, double" not in e
+
+
+def _plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_chained_rounds_plan_grows_linearly(spark):
+    from graphtables.operators import routing as rt
+    from graphtables.operators.graph import vertices
+    from graphtables.sources.edges import with_edge_partition
+
+    e = part_supplier_edges(spark, SF_SMALL)
+    sizes = {k: _plan_size(rank(e, k, missing="retain")) for k in (2, 4, 8)}
+    # linear: doubling the rounds adds about as much as the previous doubling, times two
+    assert sizes[8] - sizes[4] <= 2.5 * (sizes[4] - sizes[2])
+
+    ep = with_edge_partition(e, 4)
+    table = rt.routing_table(ep)
+    v = vertices(ep)
+
+    def routed(k):
+        r = v
+        for _ in range(k):
+            r = rt.routed_step(v, ep, table, r)
+        return _plan_size(r)
+
+    rs = {k: routed(k) for k in (2, 4, 8)}
+    assert rs[8] - rs[4] <= 2.5 * (rs[4] - rs[2])
