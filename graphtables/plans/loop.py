@@ -233,7 +233,10 @@ class RankLoop:
                 self.timer.record(f"iteration {i}", self.timer.records[-1][1], 0.0)
                 continue
             new = self.timer.materialise(f"iteration {i}", self._step(ranks), self.level)
-            self.round_exchanges.append(shuffle_exchanges(new))
+            try:
+                self.round_exchanges.append(shuffle_exchanges(new))
+            except Exception:  # diagnostics only (e.g. no JVM plan objects on Spark Connect)
+                self.round_exchanges.append([])
             if self.checkpoint_every and i % self.checkpoint_every == 0 and i < rounds:
                 checkpoint_dir(self.spark)
                 cp = new.checkpoint(eager=True)

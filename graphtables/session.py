@@ -49,7 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     a fresh temporary folder is set, as tests do; on a cluster the setting
     is required.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context on the client, the setting is in the conf
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
