@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from graphtables.functions.columns import EDGE_WEIGHT, edge_partition_of, modulo_partition
 
-EDGE_COLUMNS = ("src_id", "dst_id", "weight")
-
 # Fixed value: an id field is an optional sign followed by decimal digits
 # only (no spaces, no decimal point).
 ID_PATTERN = r"^[+-]?[0-9]+$"

@@ -1,7 +1,6 @@
 """Routing tables on F1 with partition 0 = first four edges, 1 = last three."""
 
-from pyspark.sql import functions as F
-
+from graphtables.functions import position_is_dst, position_is_src
 from graphtables.operators import routing as rt
 from graphtables.operators.graph import reverse_edges, vertices
 from graphtables.operators.rank import rank, rank_step_retain
@@ -44,8 +43,8 @@ def test_pack_round_trip(spark):
     assert got[(4, 1)] == (1073741825, 1)         # source only
     assert got[(5, 1)] == (-2147483647, -2)       # destination only
     flags = msgs.select("edge_partition", "vertex_id",
-                        (F.col("position").bitwiseAND(1) != 0).alias("s"),
-                        (F.col("position").bitwiseAND(2) != 0).alias("d"))
+                        position_is_src("position").alias("s"),
+                        position_is_dst("position").alias("d"))
     assert _rows(flags) == _rows(rt.routing_table(_f1(spark)))
 
 
