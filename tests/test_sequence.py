@@ -37,3 +37,20 @@ def test_one_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, t long, u long, v long")
     pairs = successor_pairs(df, "g", ["t", "u"], "v", partitions=8)
     assert pairs.count() == 2999 + 1
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+rows_st = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 5),
+                             st.one_of(st.none(), st.integers(0, 9))), max_size=40)
+
+
+@settings(max_examples=12, deadline=None)
+@given(rows_st, st.integers(1, 12))
+def test_successor_pairs_property(spark, raw, n_parts):
+    rows = [(g, t, i, v) for i, (g, t, v) in enumerate(raw)]
+    df = spark.createDataFrame(rows, "g string, t long, u long, v long")
+    got = [(r["value"], r["next_value"]) for r in
+           successor_pairs(df, "g", ["t", "u"], "v", partitions=n_parts).collect()]
+    key = lambda p: tuple((x is None, x or 0) for x in p)
+    assert sorted(got, key=key) == sorted(_brute(rows), key=key) if rows else got == []
