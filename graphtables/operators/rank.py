@@ -170,7 +170,7 @@ def check_variant(init: str, missing: str, contribution: str) -> None:
 
 def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "drop",
          contribution: str = "rank", reset: float = RESET, damping: float = DAMPING,
-         initial: float = INITIAL_RANK) -> DataFrame:
+         initial: float = INITIAL_RANK, partitions: int | None = None) -> DataFrame:
     """``rounds`` steps of the recurrence as one lazy plan -> ``id, rank``.
 
     ``rounds <= 0`` returns the round-0 table (R4: ``1 to iters`` is empty).
@@ -179,6 +179,9 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
     * R6 = ``rank(e, k, init="unique", missing="drop")``
     * R7 = ``rank(e, k, contribution="source_id", missing="retain")``
     * R8 = ``rank(e, k, init="unique", missing="retain")``
+
+    ``partitions`` is the ``P`` of the hot-source threshold ``|E| / P``
+    (default: the session's shuffle partitions).
     """
     check_variant(init, missing, contribution)
     edges = edges.select("src_id", "dst_id", "weight")
@@ -189,7 +192,7 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
         return source_id_mass(vertices(edges), edges, reset, damping, missing)
     # hot sources salted once; every round references the previous ranks once
     # and leaves them placed for the next join (one shuffle per round)
-    graph = salt_graph(edges)
+    graph = salt_graph(edges, partitions)
     vertex_table = None
     if missing == "retain" or init == "unique":
         vertex_table = with_salts(graph, vertex_ids(edges))

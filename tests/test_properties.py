@@ -28,9 +28,9 @@ def _close(a, b):
 
 
 @settings(max_examples=15, deadline=None)
-@given(graphs, st.integers(1, 3), st.sampled_from(range(len(VARIANTS))))
-def test_matches_plain_python(spark, pairs, k, v):
-    got = _ranks(rank(_edges(spark, pairs), k, **VARIANTS[v]))
+@given(graphs, st.integers(1, 3), st.sampled_from(range(len(VARIANTS))), st.integers(1, 16))
+def test_matches_plain_python(spark, pairs, k, v, parts):
+    got = _ranks(rank(_edges(spark, pairs), k, partitions=parts, **VARIANTS[v]))
     assert _close(got, brute_rank(pairs, k, **VARIANTS[v]))
 
 
