@@ -37,3 +37,19 @@ def rank(edges, k, init="unique", missing="drop", contribution="rank"):
         keep = verts if missing == "retain" else got
         ranks = {v: RESET + DAMPING * total.get(v, 0.0) for v in keep}
     return ranks
+
+
+def rank_weighted(edges, k, missing="drop", reset=RESET, damping=DAMPING):
+    """Unique start, weighted edges ``(src, dst, w)``: contribution ``w * rank(src)``."""
+    verts = {v for s, d, _ in edges for v in (s, d)}
+    ranks = {v: 1.0 for v in verts}
+    for _ in range(k):
+        total = defaultdict(float)
+        got = set()
+        for s, d, w in edges:
+            if s in ranks:
+                total[d] += w * ranks[s]
+                got.add(d)
+        keep = verts if missing == "retain" else got
+        ranks = {v: reset + damping * total.get(v, 0.0) for v in keep}
+    return ranks

@@ -93,3 +93,24 @@ def test_unique_drop_equals_retain_when_every_vertex_has_an_in_edge(spark):
     assert srcs <= dsts  # TG3: every vertex has an in-edge
     for k in (1, 3):
         assert _close(_ranks(rank(e, k)), _ranks(rank(e, k, missing="retain")))
+
+
+def test_weights_and_parameters(spark):
+    from graphtables.plans.loop import RankLoop
+    from tests.brute import rank_weighted
+
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(12), rnd.randrange(12), rnd.choice([0.5, 1.0, 2.0, 0.25]))
+            for _ in range(80)]
+    rows += [(3, 4, 0.5)] * 30  # a repeated weighted edge: collapsed and salted paths sum weights
+    e = spark.createDataFrame(rows, "src_id long, dst_id long, weight double")
+    for missing in ("drop", "retain"):
+        want = rank_weighted(rows, 3, missing, reset=0.2, damping=0.5)
+        lazy = _ranks(rank(e, 3, missing=missing, reset=0.2, damping=0.5, partitions=4))
+        assert _close(lazy, want)
+        # the loop measures hotness after collapsing repeats: force its hot path
+        loop = RankLoop(e, missing=missing, reset=0.2, damping=0.5, partitions=4, hot_threshold=5)
+        out = loop.run(3)
+        assert loop.num_hot > 0
+        assert _close(_ranks(out), want)
+        out.unpersist()
