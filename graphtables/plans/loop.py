@@ -201,6 +201,11 @@ class RankLoop:
 
     def run(self, rounds: int) -> DataFrame:
         """Materialise ``rounds`` rounds and return the final ``id, rank`` table (persisted)."""
+        self.release_layout()
+        self.timer = StageTimer()
+        self.round_exchanges = []
+        self.partitions = int(self.requested_partitions
+                              or self.spark.conf.get("spark.sql.shuffle.partitions"))
         if rounds <= 0:
             return self.timer.materialise("build vertices",
                                           initial_ranks(self.edges, self.init, self.initial),

@@ -133,3 +133,16 @@ def test_checkpoint_keeps_the_placement(spark):
     out = loop.run(3)
     assert [len(x) for x in loop.round_exchanges] == [1, 1, 1]
     assert _ranks(out) == _ranks(rank(e, 3, missing="retain"))
+
+
+def test_run_twice_reports_each_run(spark):
+    e = part_supplier_edges(spark, SF_SMALL)
+    loop = RankLoop(e, checkpoint_every=0)
+    a = loop.run(2)
+    first = _ranks(a)
+    a.unpersist()
+    b = loop.run(3)
+    assert len(loop.round_exchanges) == 3
+    assert sum(r["stage"].startswith("iteration") for r in loop.metrics().collect()) == 3
+    assert _ranks(b) == _ranks(rank(e, 3)) and first == _ranks(rank(e, 2))
+    b.unpersist()
