@@ -30,11 +30,14 @@ from graphtables._workers import ship_with_tasks
 ship_with_tasks(__name__)
 
 
-def _same_group(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Null-safe equality of two aligned group columns."""
-    a_na, b_na = a.isna().to_numpy(), b.isna().to_numpy()
-    eq = (a.to_numpy(dtype=object) == b.to_numpy(dtype=object))
-    return np.where(a_na | b_na, a_na & b_na, eq).astype(bool)
+def _same_as_next(g: pd.Series) -> np.ndarray:
+    """``out[i]``: row ``i`` and row ``i + 1`` have the same group (null equals null).
+
+    The groups are factorised to integer codes (null gets a code of its own),
+    so the comparison is one vectorised pass, whatever the group type.
+    """
+    codes, _ = pd.factorize(g, use_na_sentinel=False)
+    return codes[:-1] == codes[1:]
 
 
 def successor_pairs(df: DataFrame, group: str, order: Sequence[str], value: str,
@@ -62,7 +65,7 @@ def successor_pairs(df: DataFrame, group: str, order: Sequence[str], value: str,
             if prev is not None:
                 g = pd.concat([prev[group], g], ignore_index=True)
                 v = pd.concat([prev[value], v], ignore_index=True)
-            same = _same_group(g.iloc[:-1].reset_index(drop=True), g.iloc[1:].reset_index(drop=True))
+            same = _same_as_next(g)
             out = pd.DataFrame({"value": v.iloc[:-1].to_numpy()[same],
                                 "next_value": v.iloc[1:].to_numpy()[same]})
             prev = pdf[[group, value]].iloc[[-1]].reset_index(drop=True)
