@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from graphtables._workers import ship_with_tasks
 
@@ -51,29 +52,40 @@ def successor_pairs(df: DataFrame, group: str, order: Sequence[str], value: str,
     n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order)
     keys = [group] + order
-    value_type = df.schema[value].dataType.simpleString()
+    vtype = df.schema[value].dataType
+    value_type = vtype.simpleString()
     # explicit n: the exchange keeps its partition count under AQE, so both
     # branches below see the same slices
     ranged = df.select(*keys, value).repartitionByRange(n, *keys)
 
+    # Exact values in pandas: an integer column with nulls would become float64
+    # (ids above 2**53 would change), so integers travel null-free with a null
+    # flag; groups are compared on their exact string form.
+    if isinstance(vtype, IntegralType):
+        v_cols = [F.coalesce(F.col(value), F.lit(0).cast(vtype)).alias("_v"),
+                  F.col(value).isNull().alias("_vn")]
+    else:
+        v_cols = [F.col(value).alias("_v"), F.lit(False).alias("_vn")]
+    slim = ranged.sortWithinPartitions(*keys).select(F.col(group).cast("string").alias("_g"), *v_cols)
+
     def local_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = None  # last (group, value) row seen in this slice
+        prev = None  # last row seen in this slice
         for pdf in batches:
             if pdf.empty:
                 continue
-            g, v = pdf[group], pdf[value]
-            if prev is not None:
-                g = pd.concat([prev[group], g], ignore_index=True)
-                v = pd.concat([prev[value], v], ignore_index=True)
-            same = _same_as_next(g)
-            out = pd.DataFrame({"value": v.iloc[:-1].to_numpy()[same],
-                                "next_value": v.iloc[1:].to_numpy()[same]})
-            prev = pdf[[group, value]].iloc[[-1]].reset_index(drop=True)
+            block = pdf if prev is None else pd.concat([prev, pdf], ignore_index=True)
+            same = _same_as_next(block["_g"])
+            v, vn = block["_v"].to_numpy(), block["_vn"].to_numpy()
+            out = pd.DataFrame({"value": v[:-1][same], "value_null": vn[:-1][same],
+                                "next_value": v[1:][same], "next_null": vn[1:][same]})
+            prev = pdf.iloc[[-1]].reset_index(drop=True)
             if len(out):
                 yield out
 
-    inside = (ranged.sortWithinPartitions(*keys)
-              .mapInPandas(local_pairs, f"value {value_type}, next_value {value_type}"))
+    inside = (slim.mapInPandas(local_pairs, f"value {value_type}, value_null boolean, "
+                                            f"next_value {value_type}, next_null boolean")
+              .select(F.when(~F.col("value_null"), F.col("value")).alias("value"),
+                      F.when(~F.col("next_null"), F.col("next_value")).alias("next_value")))
 
     row = F.struct(*[F.col(c) for c in keys], F.col(value).alias("_v"))
     bounds = (ranged.select(F.spark_partition_id().alias("_slice"), row.alias("_row"))

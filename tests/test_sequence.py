@@ -54,3 +54,16 @@ def test_successor_pairs_property(spark, raw, n_parts):
            successor_pairs(df, "g", ["t", "u"], "v", partitions=n_parts).collect()]
     key = lambda p: tuple((x is None, x or 0) for x in p)
     assert sorted(got, key=key) == sorted(_brute(rows), key=key) if rows else got == []
+
+
+def test_large_ids_with_nulls_stay_exact(spark):
+    big = 2 ** 62
+    rows = [(7, 1, 1, big + 1), (7, 2, 2, None), (7, 3, 3, big + 3), (8, 1, 4, big + 5),
+            (None, 1, 5, big + 7), (None, 2, 6, big + 9), (big + 11, 1, 7, 1), (big + 13, 1, 8, 2)]
+    df = spark.createDataFrame(rows, "g long, t long, u long, v long")
+    got = sorted(((r["value"], r["next_value"]) for r in
+                  successor_pairs(df, "g", ["t", "u"], "v", partitions=3).collect()),
+                 key=lambda p: tuple((x is None, x or 0) for x in p))
+    want = sorted([(big + 1, None), (None, big + 3), (big + 7, big + 9)],
+                  key=lambda p: tuple((x is None, x or 0) for x in p))
+    assert got == want
