@@ -87,3 +87,10 @@ def test_edge_partition_has_no_overflow(spark):
     lines = _lines(spark, [f"{big}\t{big}", f"-{big}\t{big}"])
     e = with_edge_partition(parse_edges(lines), 7).collect()
     assert [r["edge_partition"] for r in e] == [(2 * big) % 7, 0]
+
+
+def test_crlf_file(spark, scratch):
+    p = os.path.join(scratch, "crlf.tsv")
+    with open(p, "w", newline="") as f:
+        f.write("# header\r\n1\t2\r\n3\t4\r\n")
+    assert sorted(map(tuple, read_edges(spark, p).collect())) == [(1, 2, 1.0), (3, 4, 1.0)]
