@@ -146,3 +146,16 @@ def test_run_twice_reports_each_run(spark):
     assert sum(r["stage"].startswith("iteration") for r in loop.metrics().collect()) == 3
     assert _ranks(b) == _ranks(rank(e, 3)) and first == _ranks(rank(e, 2))
     b.unpersist()
+
+
+def test_lost_cache_recomputes_the_same_ranks(spark):
+    # as if the executors holding the cached tables were lost: every step is
+    # deterministic, so recomputing from lineage (via the checkpoint) gives the same table
+    e = nation_trade_edges(spark, SF_SMALL)
+    loop = RankLoop(e, missing="retain", checkpoint_every=2, hot_threshold=2, partitions=16)
+    out = loop.run(3)
+    before = _ranks(out)
+    loop.release_layout()
+    out.unpersist(blocking=True)
+    assert not out.is_cached
+    assert _ranks(out) == before == _ranks(rank(e, 3, missing="retain"))
