@@ -422,6 +422,15 @@ def rank_loop_source_id(spark: SparkSession, d: str) -> DataFrame:
     return _ranks_out(loop.run(3))
 
 
+def stage_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows each stage of a 3-round R6 loop on TG1 materialised (P fixed at 8,
+    so the hot-source rule gives the same table in every session)."""
+    loop = RankLoop(part_supplier_edges(spark, d), missing="drop", partitions=8)
+    final = loop.run(3)
+    final.unpersist(blocking=False)
+    return loop.metrics().select("stage", "rows")
+
+
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Stage report of a 3-round R6 loop on TG1 (timings: no oracle)."""
     loop = RankLoop(part_supplier_edges(spark, d), missing="drop")
@@ -485,5 +494,6 @@ QUERIES: dict[str, Query] = {
     "rank_loop_incidence": rank_loop_incidence,
     "rank_loop_checkpointed": rank_loop_checkpointed,
     "rank_loop_source_id": rank_loop_source_id,
+    "stage_rows": stage_rows,
     "stage_metrics": stage_metrics,
 }

@@ -199,6 +199,24 @@ ORACLE: dict[str, str] = {
     "keyed_merge_last": _KEYED.format(agg="ARG_MAX(event_id % 16, event_id)"),
     "layout_edges": _with(_e("TG1")) + (
         "SELECT src_id, dst_id, count(*) AS n_rows FROM e GROUP BY src_id, dst_id"),
+    "stage_rows": _with(_e("TG1"), f"v AS ({VERTICES})",
+                        "c AS (SELECT DISTINCT src_id, dst_id FROM e)",
+                        "deg AS (SELECT src_id, count(*) AS n FROM c GROUP BY src_id)",
+                        "hot AS (SELECT src_id FROM deg WHERE n > ceil((SELECT count(*) FROM c) / 8.0))",
+                        "r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)",
+                        "r1 AS (" + _round_cte("r0", "drop") + ")",
+                        "r2 AS (" + _round_cte("r1", "drop") + ")",
+                        "r3 AS (" + _round_cte("r2", "drop") + ")") + (
+        "SELECT 'collapse edges' AS stage, CAST(count(*) AS BIGINT) AS rows FROM c "
+        "UNION ALL SELECT 'build routing tables', CAST(count(*) AS BIGINT) FROM hot "
+        "UNION ALL SELECT 'build edges', CAST(count(*) AS BIGINT) FROM c "
+        "WHERE src_id NOT IN (SELECT src_id FROM hot) "
+        "UNION ALL SELECT 'build edges (hot sources)', CAST(count(*) AS BIGINT) FROM c "
+        "WHERE src_id IN (SELECT src_id FROM hot) HAVING count(*) > 0 "
+        "UNION ALL SELECT 'build initial ranks', CAST(count(*) AS BIGINT) FROM v "
+        "UNION ALL SELECT 'iteration 1', CAST(count(*) AS BIGINT) FROM r1 "
+        "UNION ALL SELECT 'iteration 2', CAST(count(*) AS BIGINT) FROM r2 "
+        "UNION ALL SELECT 'iteration 3', CAST(count(*) AS BIGINT) FROM r3"),
     "rank_loop_retain": rank_sql("TG1", 3, missing="retain"),
     "rank_loop_split": rank_sql("TG2", 2),
     "rank_loop_incidence": rank_sql("TG3", 3, init="incidence"),
