@@ -165,6 +165,20 @@ class RankLoop:
             self._vertices = self._keep("build vertices", verts)
         else:
             self._vertices = None
+
+        # Round-0 ranks. Every source below comes out of an aggregation by id with
+        # exactly P partitions (the loop's settings), i.e. already placed for the
+        # first join; the unique start reuses the vertex set instead of re-reading
+        # the input.
+        if self.contribution == "source_id":
+            self._initial = None  # the literal second program never reads the previous ranks
+        else:
+            if self.init == "unique":
+                ids = self._vertices if self._vertices is not None else vertex_ids(collapsed)
+                init = ids.select("id", F.lit(float(self.initial)).alias("rank"))
+            else:
+                init = summed_initial_ranks(self.edges, self.init, self.initial)
+            self._initial = self.timer.materialise("build initial ranks", init, self.level)
         collapsed.unpersist(blocking=False)
 
     # ---- one round ------------------------------------------------------------
@@ -222,15 +236,8 @@ class RankLoop:
                 raise
 
     def _rounds(self, collapsed: DataFrame, n_edges: int, rounds: int) -> DataFrame:
-        p = self.partitions
         self._build(collapsed, n_edges)
-        if self.contribution == "source_id":
-            ranks = None  # the literal second program never reads the previous ranks
-        else:
-            ranks = summed_initial_ranks(self.edges, self.init, self.initial)
-            ranks = self.timer.materialise(
-                "build initial ranks", ranks.repartition(p, "id").sortWithinPartitions("id"),
-                self.level)
+        ranks = self._initial
         fixed = None
         for i in range(1, rounds + 1):
             if self.contribution == "source_id" and fixed is not None:
