@@ -94,3 +94,14 @@ def test_crlf_file(spark, scratch):
     with open(p, "w", newline="") as f:
         f.write("# header\r\n1\t2\r\n3\t4\r\n")
     assert sorted(map(tuple, read_edges(spark, p).collect())) == [(1, 2, 1.0), (3, 4, 1.0)]
+
+
+def test_edges_from_any_table(spark):
+    from graphtables.sources.edges import edges_from
+
+    df = spark.createDataFrame([(1, 2, 3), (None, 2, 1), (4, None, 1), (5, 6, None)],
+                               "a int, b int, w int")
+    e = edges_from(df, "a", "b", "w")
+    assert e.schema.simpleString() == "struct<src_id:bigint,dst_id:bigint,weight:double>"
+    assert sorted(map(tuple, e.collect()), key=str) == [(1, 2, 3.0), (5, 6, None)]
+    assert [tuple(r) for r in edges_from(df.filter("a = 1"), "a", "b").collect()] == [(1, 2, 1.0)]
