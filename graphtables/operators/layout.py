@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from graphtables._workers import ship_with_tasks
 
@@ -61,7 +62,21 @@ def partition_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     partition), nothing is brought to the driver.
     """
     keys = list(keys)
-    tagged = df.select(F.spark_partition_id().alias("_partition"), *keys)
+    # exact in pandas: an integer key with nulls would become float64, so each
+    # integer key travels as (not-null flag, value or 0); nulls sort first, as in
+    # Spark's ascending order
+    cols, names = [], []
+    for i, k in enumerate(keys):
+        dtype = df.schema[k].dataType
+        if isinstance(dtype, IntegralType):
+            cols += [F.col(k).isNotNull().cast("int").alias(f"_n{i}"),
+                     F.coalesce(F.col(k), F.lit(0).cast(dtype)).alias(f"_k{i}")]
+            names += [f"_n{i}", f"_k{i}"]
+        else:
+            cols.append(F.col(k).alias(f"_k{i}"))
+            names.append(f"_k{i}")
+    tagged = df.select(F.spark_partition_id().alias("_partition"), *cols)
+    keys = names
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, rows, ordered, last = None, 0, True, None

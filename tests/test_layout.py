@@ -33,3 +33,13 @@ def test_persist_release(spark):
     assert df.count() == 10 and df.is_cached
     layout.release(df)
     assert not df.is_cached
+
+
+def test_partition_order_is_exact_for_large_ids_and_nulls(spark):
+    big = 2 ** 62
+    ordered = spark.createDataFrame([(None,), (big,), (big + 1,)], "id long").coalesce(1)
+    swapped = spark.createDataFrame([(big + 1,), (big,)], "id long").coalesce(1)
+    nulls_last = spark.createDataFrame([(big,), (None,)], "id long").coalesce(1)
+    assert [r["ordered"] for r in layout.partition_order(ordered, ["id"]).collect()] == [True]
+    assert [r["ordered"] for r in layout.partition_order(swapped, ["id"]).collect()] == [False]
+    assert [r["ordered"] for r in layout.partition_order(nulls_last, ["id"]).collect()] == [False]
