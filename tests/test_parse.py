@@ -105,3 +105,16 @@ def test_edges_from_any_table(spark):
     assert e.schema.simpleString() == "struct<src_id:bigint,dst_id:bigint,weight:double>"
     assert sorted(map(tuple, e.collect()), key=str) == [(1, 2, 3.0), (5, 6, None)]
     assert [tuple(r) for r in edges_from(df.filter("a = 1"), "a", "b").collect()] == [(1, 2, 1.0)]
+
+
+def test_grammar_does_not_depend_on_ansi_mode(spark):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        lines = _lines(spark, [g for g, _ in GOOD] + COMMENTS + BAD)
+        assert parse_edges(lines, mode="permissive").count() == len(GOOD)
+        for line in BAD:
+            with pytest.raises((PySparkException, Py4JJavaError)):
+                parse_edges(_lines(spark, [line])).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
