@@ -16,9 +16,11 @@ Variants are explicit parameters, never blended:
   ``contribution="source_id"``: the second program's literal
   ``src_id * weight``, independent of the previous ranks (R3, R7).
 
-Everything here is lazy; the result of ``rank`` is one plan. For many rounds
-use :class:`graphtables.plans.loop.RankLoop`, which materialises each round
-and keeps one large shuffle per round.
+Everything here is lazy; the result of ``rank`` is one plan with one key
+shuffle per round (ranks keyed by ``(id, salt)``, hot sources salted; see
+:mod:`graphtables.operators.skew`). For many rounds use
+:class:`graphtables.plans.loop.RankLoop`, which materialises and checkpoints
+the rounds, also with one key shuffle per round.
 """
 
 from __future__ import annotations
@@ -62,9 +64,10 @@ def join_ranks(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = N
     meet their rank rows through a broadcast join (see
     :mod:`graphtables.operators.skew`); all other edges use a shuffled hash
     join built on the rank side, so the edge table (the big side) is never
-    broadcast and its exchange by ``src_id`` is reused by every round of one
-    plan. Pass ``split`` to reuse one split over several rounds;
-    ``unique_ranks=False`` (a rank multiset) keeps the hot side off broadcast.
+    broadcast. This is the single-step form; :func:`rank` chains rounds through
+    the salted layout instead, which references the previous ranks once per
+    round. ``unique_ranks=False`` (a rank multiset) keeps the hot side off
+    broadcast.
     """
     split = split if split is not None else split_sources(edges)
     return join_split(split, ranks, unique_ranks)
