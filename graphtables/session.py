@@ -33,6 +33,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         # still broadcast a side whose shuffle output it measured below 10 MB
         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        # checkpoint files of released loop rounds are removed by Spark's cleaner
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
