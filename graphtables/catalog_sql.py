@@ -31,7 +31,9 @@ TG4 = ("SELECT c_custkey + 1000 AS src_id, CAST(c_nationkey AS BIGINT) + 100 AS
        "CAST(n_regionkey AS BIGINT) AS dst_id, 1.0::DOUBLE AS weight FROM nation "
        "WHERE n_nationkey IS NOT NULL AND n_regionkey IS NOT NULL")
 
-GRAPH_SQL = {"TG1": TG1, "TG2": TG2, "TG3": TG3, "TG4": TG4}
+TG4R = f"SELECT dst_id AS src_id, src_id AS dst_id, weight FROM ({TG4}) g"
+
+GRAPH_SQL = {"TG1": TG1, "TG2": TG2, "TG3": TG3, "TG4": TG4, "TG4R": TG4R}
 
 VERTICES = "SELECT src_id AS id FROM e UNION SELECT dst_id AS id FROM e"
 ENDPOINTS = ("SELECT src_id, dst_id, weight, src_id AS id FROM e "
@@ -160,6 +162,8 @@ ORACLE: dict[str, str] = {
     "rank_zero_rounds": rank_sql("TG3", 0),
     "rank_incidence_zero": rank_sql("TG4", 0, init="incidence"),
     "rank_dense_drop": rank_sql("TG2", 2),
+    "rank_hot_sources": rank_sql("TG4R", 3, missing="retain"),
+    "rank_loop_hot_sources": rank_sql("TG4R", 3, missing="retain"),
     "routing_table": _with(routing_ctes()) + "SELECT * FROM rt",
     "routing_pack": _with(routing_ctes()) + (
         "SELECT vertex_id, CAST(CASE " + _POS + " WHEN 3 THEN -1073741824 + edge_partition "
