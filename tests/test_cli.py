@@ -27,3 +27,13 @@ def test_cli_programs_as_written(spark, scratch, capsys):
         assert main([program, "1", path, "--output", out]) == 0
         got = {r["id"]: round(r["rank"], 6) for r in spark.read.parquet(out).collect()}
         assert got == want
+
+
+def test_cli_permissive_skips_bad_lines(spark, scratch, capsys):
+    path = os.path.join(scratch, "mixed.tsv")
+    with open(path, "w") as f:
+        f.write("1\t2\nnot an edge\n2\t3\n3\t1\n 4\t1\n")
+    out = os.path.join(scratch, "r")
+    assert main(["R6", "1", path, "--mode", "permissive", "--output", out]) == 0
+    got = {r["id"]: round(r["rank"], 6) for r in spark.read.parquet(out).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0}
