@@ -5,19 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphtables.llm import quality
+from graphtables.llm import packing, quality, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_warc_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A WARC record per row of ``pages``, written, read back and verified."""
+    pages = table(spark, d, "pages")
+    path = warc.archive_path(spark)
+    warc.write_warc(pages, path)
+    records = warc.read_warc(spark, path, pages.schema["page_id"].dataType.simpleString())
+    return records.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest",
+                          "record_type", "refers_to")
+
+
 def op8_quality_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Quality rules over every whole text of ``documents``."""
     return quality.judge(table(spark, d, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's words and end token packed into bins of the permitted lengths."""
+    return packing.pack(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op6_warc_chain": op6_warc_chain,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
