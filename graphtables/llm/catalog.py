@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import packing, quality, warc
+from graphtables.llm import packing, quality, simhash, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, d, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 def op6_warc_chain(spark: SparkSession, d: str) -> DataFrame:
     """A WARC record per row of ``pages``, written, read back and verified."""
     pages = table(spark, d, "pages")
@@ -35,6 +42,7 @@ def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_variants": op1_simhash_variants,
     "op6_warc_chain": op6_warc_chain,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_best_fit_packing": op9_best_fit_packing,
