@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import packing, quality, simhash, warc
+from graphtables.llm import decontam, packing, quality, simhash, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -31,6 +31,16 @@ def op6_warc_chain(spark: SparkSession, d: str) -> DataFrame:
                           "record_type", "refers_to")
 
 
+def op7_fm_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document inside a 10-word window of ``benchmark``."""
+    found = decontam.find_spans(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op8_quality_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Quality rules over every whole text of ``documents``."""
     return quality.judge(table(spark, d, "documents"))
@@ -44,6 +54,7 @@ def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op6_warc_chain": op6_warc_chain,
+    "op7_fm_decontamination": op7_fm_decontamination,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

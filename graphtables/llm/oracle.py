@@ -58,4 +58,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE = {"op6_warc_chain": OP6, "op8_quality_cascade": OP8}
+FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
+         r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {FOLDED} AS ws FROM documents
+), b AS (
+  SELECT item_id, {FOLDED} AS ws FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win, least(len(ws), 10) AS n
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT n FROM p
+), g AS (
+  SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)
+), h AS (SELECT rid, i, g.n, item_id FROM g JOIN p USING (win)
+), c AS (
+  SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid
+), t AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM h GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+ORACLE = {"op7_fm_decontamination": OP7, "op6_warc_chain": OP6, "op8_quality_cascade": OP8}
