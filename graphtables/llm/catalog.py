@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, packing, quality, simhash, warc
+from graphtables.llm import decontam, line_chunks, packing, quality, simhash, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -51,10 +51,18 @@ def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without repeated multi-line chunks: sizes, number removed, digest of the rest."""
+    kept = line_chunks.remove_repeated(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op6_warc_chain": op6_warc_chain,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_chunks": op10_line_chunks,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +36,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and deep in lambdas ``body``
+    uses it (a projected column would be copied into each lambda that names it)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows (counted), else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
