@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, line_chunks, packing, quality, simhash, warc
+from graphtables.llm import decontam, line_chunks, packing, quality, secrets, simhash, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -21,6 +21,19 @@ def op1_simhash_variants(spark: SparkSession, d: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op2_credential_links(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``; weak ones where their parts co-occur."""
+    found = secrets.scan(table(spark, d, "documents"))
+
+    def n(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"),
+                        n(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_warc_chain(spark: SparkSession, d: str) -> DataFrame:
     """A WARC record per row of ``pages``, written, read back and verified."""
     pages = table(spark, d, "pages")
@@ -60,6 +73,7 @@ def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
+    "op2_credential_links": op2_credential_links,
     "op6_warc_chain": op6_warc_chain,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_quality_cascade": op8_quality_cascade,
