@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, line_chunks, packing, quality, secrets, simhash, warc
+from graphtables.llm import decontam, licenses, line_chunks, packing, quality, secrets, simhash, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -34,6 +34,17 @@ def op2_credential_links(spark: SparkSession, d: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op5_license_inheritance(spark: SparkSession, d: str) -> DataFrame:
+    """Licence of every document, its own or its directory's. ``documents`` has no paths:
+    they are laid out as source / hundreds / tens of the id / id."""
+    docs = table(spark, d, "documents")
+    at = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(at / 400).cast("string"), F.floor(at / 100).cast("string"),
+                       F.concat(at.cast("string"), F.lit(".txt")))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_warc_chain(spark: SparkSession, d: str) -> DataFrame:
     """A WARC record per row of ``pages``, written, read back and verified."""
     pages = table(spark, d, "pages")
@@ -74,6 +85,7 @@ def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op2_credential_links": op2_credential_links,
+    "op5_license_inheritance": op5_license_inheritance,
     "op6_warc_chain": op6_warc_chain,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_quality_cascade": op8_quality_cascade,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphtables.llm.licenses import ANCHOR, FILE_SHARE, MIN_COSINE, PASSAGE_LINES, TEMPLATES
+
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 OP8 = rf"""
@@ -86,4 +88,56 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
 
-ORACLE = {"op7_fm_decontamination": OP7, "op6_warc_chain": OP6, "op8_quality_cascade": OP8}
+_NOTICES = ", ".join("({}, '{}', '{}')".format(n, name, text) for n, (name, text) in enumerate(TEMPLATES))
+_WINDOWS = " UNION ".join(
+    f"SELECT rid, array_to_string(ls[i:i + {n - 1}], chr(10)) AS p FROM (SELECT rid, ls, "
+    f"unnest(range(1, greatest(len(ls) - {n - 1}, 1) + 1)) AS i FROM l)" for n in PASSAGE_LINES)
+
+OP5 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         concat_ws('/', source, (doc_id // 400)::VARCHAR, (doc_id // 100)::VARCHAR) AS dir,
+         concat_ws('/', source, (doc_id // 400)::VARCHAR, (doc_id // 100)::VARCHAR, doc_id || '.txt') AS path
+  FROM documents
+), l AS (
+  SELECT rid, string_split(t, chr(10)) AS ls FROM d WHERE regexp_matches(lower(t), '{ANCHOR}')
+), w AS (
+  SELECT DISTINCT rid, p FROM ({_WINDOWS}) WHERE regexp_matches(lower(p), '{ANCHOR}')
+), ut AS (
+  SELECT rid, p, term, count(*) AS tf
+  FROM (SELECT rid, p, unnest(regexp_extract_all(lower(p), '[a-z0-9]+')) AS term FROM w) GROUP BY ALL
+), tt AS (
+  SELECT n, license, term, count(*) AS tf FROM (
+    SELECT n, license, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS term
+    FROM (VALUES {_NOTICES}) v(n, license, x)) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM (
+    SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+'))) AS term FROM d) GROUP BY term
+), idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + coalesce(df, 0))) + 1 AS idf
+  FROM (SELECT term FROM ut UNION SELECT term FROM tt) LEFT JOIN df USING (term)
+), nu AS (SELECT rid, p, sqrt(sum((tf * idf) ** 2)) AS nu FROM ut JOIN idf USING (term) GROUP BY ALL
+), nt AS (SELECT n, sqrt(sum((tf * idf) ** 2)) AS nt FROM tt JOIN idf USING (term) GROUP BY ALL
+), s AS (
+  SELECT rid, p, n, license, round(sum(ut.tf * idf * tt.tf * idf) / (any_value(nu) * any_value(nt)), 6) AS c
+  FROM ut JOIN tt USING (term) JOIN idf USING (term) JOIN nu USING (rid, p) JOIN nt USING (n) GROUP BY ALL
+), own AS (
+  SELECT rid, license, c AS cosine, length(p) AS chars
+  FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY c DESC, license, length(p)) AS k
+        FROM s WHERE c >= {MIN_COSINE}) WHERE k = 1
+), f AS (SELECT d.rid, doc_id, dir, path, t, license, cosine, chars FROM d LEFT JOIN own USING (rid)
+), g AS (
+  SELECT dir, license, path FROM (
+    SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) AS k
+    FROM f WHERE license IS NOT NULL AND chars >= {FILE_SHARE} * length(t)) WHERE k = 1
+), h AS (
+  SELECT f.dir, max_by(g.license, length(g.dir)) AS license, max_by(g.path, length(g.dir)) AS path
+  FROM (SELECT DISTINCT dir FROM f) f JOIN g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/') GROUP BY f.dir
+)
+SELECT doc_id, f.path, coalesce(f.license, h.license) AS license, cosine,
+       CASE WHEN f.license IS NOT NULL THEN 'own' WHEN h.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN f.license IS NULL THEN h.path END AS license_path
+FROM f LEFT JOIN h USING (dir)
+"""
+
+ORACLE = {"op5_license_inheritance": OP5, "op7_fm_decontamination": OP7, "op6_warc_chain": OP6, "op8_quality_cascade": OP8}
