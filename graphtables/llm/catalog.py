@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, licenses, line_chunks, packing, quality, secrets, simhash, warc
+from graphtables.llm import decontam, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -34,6 +34,14 @@ def op2_credential_links(spark: SparkSession, d: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes and tokens of every whole text of ``documents``."""
+    import public_tokenizers
+
+    counted = tokens.count_tokens(table(spark, d, "documents"), public_tokenizers.path(tokens.TOKENIZER))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op5_license_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Licence of every document, its own or its directory's. ``documents`` has no paths:
     they are laid out as source / hundreds / tens of the id / id."""
@@ -85,6 +93,7 @@ def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op2_credential_links": op2_credential_links,
+    "op3_token_counts": op3_token_counts,
     "op5_license_inheritance": op5_license_inheritance,
     "op6_warc_chain": op6_warc_chain,
     "op7_fm_decontamination": op7_fm_decontamination,

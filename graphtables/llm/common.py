@@ -19,12 +19,11 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield v.as_py()
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that
     every executor can reach, computed once however often it is used."""
     path = shared_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
