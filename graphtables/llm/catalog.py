@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
+from graphtables.llm import decontam, katz, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -42,6 +42,11 @@ def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op4_katz_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Katz backoff score of every document, learnt from those not held out."""
+    return katz.score(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_license_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Licence of every document, its own or its directory's. ``documents`` has no paths:
     they are laid out as source / hundreds / tens of the id / id."""
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op2_credential_links": op2_credential_links,
     "op3_token_counts": op3_token_counts,
+    "op4_katz_scores": op4_katz_scores,
     "op5_license_inheritance": op5_license_inheritance,
     "op6_warc_chain": op6_warc_chain,
     "op7_fm_decontamination": op7_fm_decontamination,
