@@ -75,8 +75,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def segments(max_distance: int = MAX_DISTANCE) -> list[tuple[int, int]]:
-    """(lowest bit, width): so many that one of them differs by at most one bit."""
-    parts = max_distance // 2 + 1
+    """(lowest bit, width): so many that one of them differs by at most one bit; of 32 bits at most."""
+    parts = max(2, max_distance // 2 + 1)
     edges = [BITS * i // parts for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
