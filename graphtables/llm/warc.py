@@ -8,10 +8,10 @@ record it refers to.
 
 Reading. :func:`read_warc` must not trust the magic ``WARC/1.1``, since payloads can
 hold it. Tasks emit, for every magic, a candidate (offset -> successor offset, from its
-Content-Length). Only what the chain from the start of the file reaches is a record:
-pointer jumping doubles the reached prefix and the jump length each round, so a file
-of n records takes log2(n) rounds of equality joins. A chain that does not end at the
-end of its file raises an error.
+Content-Length). Only what the chain from the start of its file reaches is a record:
+pointer jumping over a file's offsets doubles the reached prefix and the jump length each
+round. A chain that does not end at the end of its file raises an error. Files are read
+whole (gzip has no inner starts), so a file is what a task holds; the writer bounds it.
 
 Null payloads are empty payloads. Equal payloads whose page ids tie for the smallest
 are all responses; a null id never is the smallest unless all are null. Null urls give
@@ -27,8 +27,8 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,32 +158,47 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(column, kind) for column, kind in zip(zip(*found), types)], names=names)
 
 
+def jump(at: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Which of the candidates at the ascending offsets ``at`` the chain from offset 0 reaches.
+
+    Pointer jumping: after round k the reached set holds the chain's first 2^k records, and a
+    jump passes 2^k of them."""
+    n = len(at)
+    to = np.searchsorted(at, then)
+    to = np.where((to < n) & (at[np.minimum(to, n - 1)] == then), to, n)       # n: leads to no candidate
+    to = np.append(to, n)
+    reached = np.zeros(n + 1, bool)
+    reached[0] = at[0] == 0
+    while (to[:n] < n).any():
+        reached[to[reached]] = True
+        to = to[to]
+    return reached[:n]
+
+
 def reachable(found: DataFrame) -> DataFrame:
-    """(path, at) of all candidates on the chain from offset 0, by pointer jumping.
+    """The candidates on the chain from the start of their file, and ``whole``: whether that chain
+    ends at the end of the file. A group is the candidates of one file."""
+    def chain(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        at, then = group["at"].to_numpy(), group["next"].to_numpy()
+        reached = jump(at, then)
+        whole = bool((then[reached] == group["size"][0].as_py()).any())
+        kept = group.filter(pa.array(reached)) if reached.any() else group.slice(0, 1)
+        return kept.append_column("whole", pa.array([whole] * len(kept)))
 
-    After round k the reached set holds a chain's first 2^k offsets and a jump passes
-    2^k records. Ends when no jump is left."""
-    jumps = found.select("path", "at", "next").where("at >= 0")
-    reached = found.where("at = 0").select("path", "at")
-    while not jumps.isEmpty():
-        step = reached.join(jumps, ["path", "at"]).select("path", F.col("next").alias("at"))
-        reached = reached.unionAll(step).checkpoint()
-        then = jumps.select("path", F.col("at").alias("next"), F.col("next").alias("later"))
-        jumps = jumps.join(then, ["path", "next"]).select("path", "at", F.col("later").alias("next")).checkpoint()
-    return reached
+    return found.groupBy("path").applyInArrow(chain, f"{CANDIDATE}, whole boolean")
 
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per record of the archives below ``path``: id, type, payload size and
     digest (of a response: of the bytes read), the id it refers to, file and offset."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    found = written(files.select("path", "content").mapInArrow(_scan, CANDIDATE), "warc-candidates")
-    reached = reachable(found).persist(StorageLevel.MEMORY_AND_DISK)
-    ends = found.select("path", F.col("size").alias("at")).distinct()
-    broken = ends.join(reached, ["path", "at"], "left_anti").count()
+    found = files.select("path", "content").mapInArrow(_scan, CANDIDATE)
+    records = written(reachable(found), "warc-records")
+    broken = records.where("not whole").select("path").distinct().count()
     if broken:
         raise ValueError(f"{broken} archive files do not end where their record chain does")
-    return found.join(reached, ["path", "at"], "left_semi").select(
+    return records.select(
         F.col("page").cast(id_type).alias("page"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(id_type).alias("refers_to"), "path", F.col("at").alias("offset"))
 
