@@ -64,19 +64,21 @@ def terms(text: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """Array of the windows of lines that have a licence word."""
+    def of(lines: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(lines) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, n), "\n"))
+
     def windows(lines: Column) -> Column:
-        every = F.flatten(F.array(*(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - (n - 1), F.lit(1))),
-                        lambda i, n=n: F.array_join(F.slice(lines, i, n), "\n")) for n in PASSAGE_LINES)))
+        every = F.concat(*(of(lines, n) for n in PASSAGE_LINES))
         return F.array_distinct(F.filter(every, lambda p: F.lower(p).rlike(ANCHOR)))
 
     return F.when(F.lower(text).rlike(ANCHOR), let(F.split(text, "\n"), windows))
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
-    """(row, license, cosine, passage) of the rows of ``files`` (row, text) that match a template."""
-    spark = files.sparkSession
-    found = written(files.select("row", F.posexplode(passages(F.col("text"))).alias("unit", "passage")), "license-passages")
+def own_licenses(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, license, cosine, passage) of the rows that match a template; ``found`` has their
+    passages (row, unit, passage), ``texts`` all texts (text)."""
+    spark = found.sparkSession
     templates = spark.createDataFrame(
         [(n, name, text) for n, (name, text) in enumerate(TEMPLATES)], "template int, license string, notice string")
     in_units = found.select("row", "unit", F.explode(terms(F.col("passage"))).alias("term")).groupBy(
@@ -86,8 +88,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
     vocabulary = in_units.select("term").unionAll(in_templates.select("term")).distinct()
     vocabulary = bounded(written(vocabulary, "license-terms"), BROADCAST_ROWS)
 
-    total = F.lit(float(files.count()))
-    df = (files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    total = F.lit(float(texts.count()))
+    df = (texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
           .join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = written(vocabulary.join(df, "term", "left").select(
         "term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1).alias("idf")),
@@ -120,12 +122,13 @@ def ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """One row per row of ``files``: id, path, license, cosine, origin (``own``, ``inherited`` or
     null), license_path (of the licence file inherited from)."""
-    numbered = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                            F.col(path).cast("string").alias("path"), text_or_empty(text).alias("text"))
-    places = numbered.select("row", "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"),
-                             F.char_length("text").alias("chars"))
-    own = written(own_licenses(numbered.select("row", "text")), "license-own")
-    files_ = written(places.join(own, "row", "left"), "license-files")
+    texts = files.select(F.col(id_col).alias("id"), F.col(path).cast("string").alias("path"), text_or_empty(text).alias("text"))
+    numbered = written(texts.select(
+        F.monotonically_increasing_id().alias("row"), "id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"),
+        F.char_length("text").alias("chars"), passages(F.col("text")).alias("passages")), "license-files")
+    units = numbered.select("row", F.posexplode("passages").alias("unit", "passage"))
+    own = written(own_licenses(units, texts.select("text")), "license-own")
+    files_ = numbered.drop("passages").join(own, "row", "left")
 
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAME)
     mostly = F.char_length("passage") >= FILE_SHARE * F.col("chars")
