@@ -2,18 +2,15 @@
 
 Same grammar and operator as the batch source (``parse_edges`` works on a
 streaming DataFrame unchanged); the sink appends parquet files and keeps its
-progress in a checkpoint folder below the shared ``spark.checkpoint.dir``, so
-a restarted query resumes where it stopped.
+progress in a folder beside the table, which a later application finds again:
+it resumes where the last one stopped.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from graphtables.session import checkpoint_dir
 from graphtables.sources.edges import parse_edges
 
 
@@ -31,13 +28,12 @@ def append_edges(stream: DataFrame, table_path: str, checkpoint: str | None = No
     """Append a streaming edge table to parquet at ``table_path``.
 
     ``available_now`` processes what is there and stops (batch-like runs);
-    otherwise the query keeps running. The progress folder defaults to one
-    below the session's checkpoint folder, named after the table.
+    otherwise the query keeps running. The progress folder defaults to
+    ``<table_path>_progress``: it belongs to this table alone and, unlike a
+    context's checkpoint folder, is the same in every application.
     """
-    spark = stream.sparkSession
     if checkpoint is None:
-        checkpoint = os.path.join(checkpoint_dir(spark), "streams",
-                                  os.path.basename(table_path.rstrip("/")) or "edges")
+        checkpoint = table_path.rstrip("/") + "_progress"
     writer = (stream.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint).option("path", table_path))
     writer = writer.trigger(availableNow=True) if available_now else writer
