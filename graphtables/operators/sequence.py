@@ -6,7 +6,9 @@ large share of the table. Here the rows are range-partitioned on
 ``(g, o...)`` instead, so each task gets an ordered slice of roughly equal
 size whatever the group sizes:
 
-1. ``repartitionByRange(n, g, o...)`` (one shuffle) + sort inside partitions;
+1. ``repartitionByRange(n, g, o...)`` (one shuffle) + sort inside partitions,
+   checkpointed to the shared folder: both steps below read the same slices,
+   whatever the optimizer reuses (two range exchanges sample different bounds);
 2. inside each slice, consecutive rows of the same group form a pair
    (an Arrow-batched pass, state carried across batches);
 3. the last row of each slice pairs with the first row of the next non-empty
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from graphtables._workers import ship_with_tasks
+from graphtables.session import checkpoint_dir
 
 ship_with_tasks(__name__)
 
@@ -54,9 +57,9 @@ def successor_pairs(df: DataFrame, group: str, order: Sequence[str], value: str,
     keys = [group] + order
     vtype = df.schema[value].dataType
     value_type = vtype.simpleString()
-    # explicit n: the exchange keeps its partition count under AQE, so both
-    # branches below see the same slices
-    ranged = df.select(*keys, value).repartitionByRange(n, *keys)
+    checkpoint_dir(spark)
+    ranged = (df.select(*dict.fromkeys([*keys, value])).repartitionByRange(n, *keys)
+              .sortWithinPartitions(*keys).checkpoint())
 
     # Exact values in pandas: an integer column with nulls would become float64
     # (ids above 2**53 would change), so integers travel null-free with a null
@@ -66,7 +69,7 @@ def successor_pairs(df: DataFrame, group: str, order: Sequence[str], value: str,
                   F.col(value).isNull().alias("_vn")]
     else:
         v_cols = [F.col(value).alias("_v"), F.lit(False).alias("_vn")]
-    slim = ranged.sortWithinPartitions(*keys).select(F.col(group).cast("string").alias("_g"), *v_cols)
+    slim = ranged.select(F.col(group).cast("string").alias("_g"), *v_cols)
 
     def local_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prev = None  # last row seen in this slice

@@ -67,3 +67,28 @@ def test_large_ids_with_nulls_stay_exact(spark):
     want = sorted([(big + 1, None), (None, big + 3), (big + 7, big + 9)],
                   key=lambda p: tuple((x is None, x or 0) for x in p))
     assert got == want
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_pairs_do_not_depend_on_exchange_reuse(spark, reuse, adaptive):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from graphtables.sources.tables import table
+    from tests.conftest import SF_ORACLE
+
+    ev = table(spark, SF_ORACLE, "events")
+    settings = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.enabled": adaptive}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = successor_pairs(ev, "event_type", ["ts", "event_id"], "user_id", 16)
+        lead = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+        n = F.lead("event_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+        want = ev.select(F.col("user_id").alias("value"), lead.alias("next_value"), n.alias("n")).where("n is not null").drop("n")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
