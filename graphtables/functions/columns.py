@@ -6,6 +6,8 @@ so it stays inside whole-stage codegen.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,10 +57,13 @@ def pack_message(edge_partition: str | Column, pos: str | Column) -> Column:
     """Position in the top 2 bits, partition in the low 30 bits of one INT.
 
     The shift is done on INT, so position 2 and 3 set the sign bit exactly
-    like a 32-bit integer shift does.
+    like a 32-bit integer shift does. A partition beyond 30 bits raises an error
+    instead of being masked to another one.
     """
     upper = F.shiftleft(_col(pos).cast("int"), POSITION_SHIFT)
-    lower = _col(edge_partition).cast("int").bitwiseAND(F.lit(PARTITION_MASK))
+    number = _col(edge_partition).cast("int")
+    lower = F.when(number.between(0, PARTITION_MASK), number).otherwise(
+        F.raise_error(F.concat(F.lit("edge partition beyond 30 bits: "), number.cast("string"))).cast("int"))
     return upper.bitwiseOR(lower).cast("int")
 
 
@@ -89,14 +94,21 @@ def modulo_partition(key: str | Column, n: int) -> Column:
     return F.pmod(_col(key), F.lit(int(n))).cast("int")
 
 
+def partition_grid(n: int) -> tuple[int, int]:
+    """(source rows, destination columns) of at most ``n`` edge partitions: about sqrt(n) each."""
+    rows = math.isqrt(int(n))
+    return rows, int(n) // rows
+
+
 def edge_partition_of(src: str | Column = "src_id", dst: str | Column = "dst_id",
                       n: int = 1) -> Column:
-    """Reproducible edge-partition id ``pmod(src + dst, n)`` as INT.
+    """Reproducible two-dimensional edge-partition id as INT, ``0 .. n-1``.
 
-    Like the input split of a text file, it spreads the edges of one source over
-    the partitions (by destination), so a hot source does not become one
-    (partition, source) group.
+    ``pmod(src, r) * c + pmod(dst, c)`` with an ``r`` by ``c`` grid of about sqrt(n) each:
+    a vertex is a source in at most ``c`` partitions and a destination in at most ``r``,
+    so the routing table has at most about ``2 sqrt(n)`` rows a vertex, and a hot source
+    is still spread over ``c`` partitions.
     """
-    m = F.lit(int(n))
-    # reduced before adding: no 64-bit overflow for ids near the range limits
-    return F.pmod(F.pmod(_col(src), m) + F.pmod(_col(dst), m), m).cast("int")
+    rows, columns = partition_grid(n)
+    return (F.pmod(_col(src), F.lit(rows)) * F.lit(columns)
+            + F.pmod(_col(dst), F.lit(columns))).cast("int")

@@ -77,3 +77,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder, for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that :func:`shared_path` named."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

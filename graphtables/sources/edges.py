@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtables.functions.columns import EDGE_WEIGHT, edge_partition_of, modulo_partition
+from graphtables.session import shared_path
 
 # Fixed value: an id field is an optional sign followed by decimal digits
 # only (no spaces, no decimal point).
@@ -37,27 +38,27 @@ def _parsed(lines: DataFrame, column: str) -> DataFrame:
     src, src_ok = _id_field(parts, 0)
     dst, dst_ok = _id_field(parts, 1)
     ok = F.coalesce(src_ok & dst_ok, F.lit(False))
-    return data.select(v.alias("line"), src.alias("src_id"), dst.alias("dst_id"), ok.alias("ok"))
+    return data.select(v.alias("line"), src.alias("src_id"), dst.alias("dst_id"), ok.alias("ok"),
+                       *(c for c in lines.columns if c == "edge_partition"))
 
 
 def parse_edges(lines: DataFrame, mode: str = "failfast", column: str = "value") -> DataFrame:
-    """Lines (a string column) -> ``src_id BIGINT, dst_id BIGINT, weight DOUBLE``.
+    """Lines (a string column) -> ``src_id BIGINT, dst_id BIGINT, weight DOUBLE``, and
+    ``edge_partition`` where ``lines`` has one.
 
     Works on any DataFrame with a line column, batch or streaming.
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
-    p = _parsed(lines, column)
-    if mode == "permissive":
-        p = p.filter("ok")
-        src, dst = F.col("src_id"), F.col("dst_id")
-    else:
+    ok = F.col("ok")
+    if mode == "failfast":
+        # in the filter, not in the id columns: those may be pruned (count(), sum(weight))
         err = F.raise_error(F.concat(F.lit("malformed edge line: "),
                                      F.coalesce(F.col("line"), F.lit("<null>"))))
-        src = F.when(F.col("ok"), F.col("src_id")).otherwise(err)
-        dst = F.when(F.col("ok"), F.col("dst_id")).otherwise(err)
-    return p.select(src.cast("bigint").alias("src_id"), dst.cast("bigint").alias("dst_id"),
-                    F.lit(EDGE_WEIGHT).alias("weight"))
+        ok = F.when(ok, F.lit(True)).otherwise(err.cast("boolean"))
+    return _parsed(lines, column).filter(ok).select(
+        "src_id", "dst_id", F.lit(EDGE_WEIGHT).alias("weight"),
+        *(c for c in lines.columns if c == "edge_partition"))
 
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -75,6 +76,16 @@ def read_edges(spark: SparkSession, path: str | list[str], mode: str = "failfast
     return parse_edges(read_edge_lines(spark, path), mode=mode)
 
 
+def read_split_edges(spark: SparkSession, path: str | list[str], mode: str = "failfast") -> DataFrame:
+    """S1-S6 as the original: the edge table with the index of its input split as
+    ``edge_partition``, written to the shared folder and read back, so that the index of a row is
+    fixed whatever the later plan is."""
+    lines = with_split_partition(read_edge_lines(spark, path))
+    stored = shared_path(spark, "split-edges")
+    parse_edges(lines, mode=mode).write.parquet(stored)
+    return spark.read.parquet(stored)
+
+
 def edges_from(df: DataFrame, src: str | Column = "src_id", dst: str | Column = "dst_id",
                weight: str | Column | None = None) -> DataFrame:
     """Edge table from any DataFrame. Rows with a null endpoint are dropped, since a
@@ -112,8 +123,8 @@ def write_edges(edges: DataFrame, path: str, header: str | None = None,
 def with_split_partition(lines: DataFrame) -> DataFrame:
     """S6 as the original: ``edge_partition`` = index of the input split.
 
-    Not stable across cluster sizes or re-planning; materialise the result
-    (checkpoint or write) before anything depends on it.
+    Not stable across cluster sizes or re-planning; :func:`read_split_edges` stores it
+    before anything depends on it.
     """
     return lines.withColumn("edge_partition", F.spark_partition_id())
 
@@ -121,8 +132,8 @@ def with_split_partition(lines: DataFrame) -> DataFrame:
 def with_edge_partition(edges: DataFrame, n: int, by: str = "edge") -> DataFrame:
     """S6, reproducible: ``edge_partition`` (INT) in ``0 .. n-1``.
 
-    ``by="edge"``: ``pmod(src_id + dst_id, n)``, spreads the edges of one source
-    over the partitions as input splits do; ``by="src"``: ``pmod(src_id, n)``,
+    ``by="edge"``: a grid over source and destination (:func:`edge_partition_of`), spreads the
+    edges of one source over about sqrt(n) partitions; ``by="src"``: ``pmod(src_id, n)``,
     keeps all edges of a source together (a hot source then makes one large
     partition).
     """

@@ -77,7 +77,7 @@ def test_edge_partition_columns(spark):
     e = with_edge_partition(parse_edges(lines), 4, by="src")
     assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 1), (1, 1), (5, 1)]
     e = with_edge_partition(parse_edges(lines), 4)
-    assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 2), (1, 3), (5, 3)]
+    assert sorted((r["src_id"], r["edge_partition"]) for r in e.collect()) == [(-3, 3), (1, 2), (5, 2)]   # pmod(src, 2) * 2 + pmod(dst, 2)
     split = with_split_partition(lines.repartition(2))
     assert {r["edge_partition"] for r in split.collect()} <= {0, 1}
 
@@ -86,7 +86,8 @@ def test_edge_partition_has_no_overflow(spark):
     big = 9223372036854775807
     lines = _lines(spark, [f"{big}\t{big}", f"-{big}\t{big}"])
     e = with_edge_partition(parse_edges(lines), 7).collect()
-    assert [r["edge_partition"] for r in e] == [(2 * big) % 7, 0]
+    # a grid of 2 by 3
+    assert [r["edge_partition"] for r in e] == [big % 2 * 3 + big % 3, -big % 2 * 3 + big % 3]
 
 
 def test_crlf_file(spark, scratch):
@@ -118,3 +119,12 @@ def test_grammar_does_not_depend_on_ansi_mode(spark):
                 parse_edges(_lines(spark, [line])).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("use", [lambda e: e.count(), lambda e: e.agg({"weight": "sum"}).collect(), lambda e: e.select("dst_id").collect()])
+def test_failfast_fails_whatever_is_read(spark, use):
+    from graphtables.sources.edges import parse_edges
+
+    lines = spark.createDataFrame([("1\t2",), ("bad",), ("3\tx",)], "value string")
+    with pytest.raises(Exception, match="malformed edge line"):
+        use(parse_edges(lines))

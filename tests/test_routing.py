@@ -76,3 +76,28 @@ def test_empty_edges_give_empty_routing(spark):
     table = rt.routing_table(e)
     assert table.count() == 0
     assert table.columns == list(rt.ROUTING_COLUMNS)
+
+
+def test_two_dimensional_partitions_bound_the_routing_table(spark):
+    import math
+
+    from graphtables.functions.columns import edge_partition_of
+    from graphtables.sources.tables import part_supplier_edges
+    from tests.conftest import SF_ORACLE
+
+    e = part_supplier_edges(spark, SF_ORACLE)
+    sources = e.select("src_id").distinct().count()
+    for n in (64, 1024):
+        ep = e.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", n))
+        assert ep.filter(~ep["edge_partition"].between(0, n - 1)).count() == 0
+        table = rt.routing_table(ep)
+        assert table.filter("is_src").count() <= sources * math.isqrt(n)
+        assert table.groupBy("vertex_id").count().agg({"count": "max"}).first()[0] <= 2 * math.isqrt(n)
+
+
+def test_a_partition_beyond_the_message_raises(spark):
+    import pytest
+
+    table = spark.createDataFrame([(1 << 30, 5, True, False)], "edge_partition int, vertex_id long, is_src boolean, is_dst boolean")
+    with pytest.raises(Exception, match="beyond 30 bits"):
+        rt.routing_messages(table).collect()
