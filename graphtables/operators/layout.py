@@ -1,4 +1,4 @@
-"""Layout operators (L1-L6, J5): placement, in-partition order, cache release.
+"""Layout operators (L1-L5, J5): placement and in-partition order.
 
 These only change where rows live and in which order, never the rows
 themselves. Give ``n`` explicitly: with ``n`` fixed, two tables placed by the
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -43,15 +42,16 @@ def place_vertices(vertex_table: DataFrame, n: int) -> DataFrame:
     return co_locate(vertex_table, "id", n)
 
 
-def persist(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Keep a table for reuse (memory, spilling to disk)."""
-    return df.persist(level)
-
-
-def release(df: DataFrame | None) -> None:
-    """Drop a kept table (non-blocking)."""
-    if df is not None and df.is_cached:
-        df.unpersist(blocking=False)
+def placement(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What a layout promises, as one row: ``rows``, ``ordered`` (every partition is in ascending
+    ``order``) and ``placed`` (each value of ``keys`` lives in one partition)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    where = df.select(*keys, F.spark_partition_id().alias("_partition")).distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"))
+    placed = where.select(F.coalesce(F.max("n") == 1, F.lit(True))).scalar()
+    return partition_order(df, order).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                                          F.coalesce(F.bool_and("ordered"), F.lit(True)).alias("ordered")
+                                          ).withColumn("placed", placed)
 
 
 def partition_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:

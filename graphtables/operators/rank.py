@@ -16,11 +16,11 @@ Variants are explicit parameters, never blended:
   ``contribution="source_id"``: the second program's literal
   ``src_id * weight``, independent of the previous ranks (R3, R7).
 
-Everything here is lazy; the result of ``rank`` is one plan with one key
-shuffle per round (ranks keyed by ``(id, salt)``, hot sources salted; see
-:mod:`graphtables.operators.skew`). For many rounds use
+Everything here is lazy; the result of ``rank`` is one plan whose rounds each shuffle
+the partial sums by vertex and the finished ranks by ``(vertex, salt)`` (hot sources
+are salted; see :mod:`graphtables.operators.skew`). For many rounds use
 :class:`graphtables.plans.loop.RankLoop`, which materialises and checkpoints
-the rounds, also with one key shuffle per round.
+the rounds, with one key shuffle per round.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ from graphtables.operators.skew import (
     salt_graph,
     salted_totals,
     split_sources,
-    with_salts,
+    summed_ranks,
 )
 
 INITS = ("unique", "incidence")
@@ -57,7 +57,7 @@ CONTRIBUTIONS = ("rank", "source_id")
 
 
 def join_ranks(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = None,
-               unique_ranks: bool = True) -> DataFrame:
+               unique_ranks: bool = False) -> DataFrame:
     """Inner equi-join ``src_id = id``; an edge fans out if ``id`` repeats.
 
     Skew-safe: sources with more than ``|E| / P`` out-edges are split off and
@@ -66,15 +66,15 @@ def join_ranks(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = N
     join built on the rank side, so the edge table (the big side) is never
     broadcast. This is the single-step form; :func:`rank` chains rounds through
     the salted layout instead, which references the previous ranks once per
-    round. ``unique_ranks=False`` (a rank multiset) keeps the hot side off
-    broadcast.
+    round. Only with ``unique_ranks`` (ranks out of an aggregation by id) the hot
+    side is broadcast; a rank multiset has no bound.
     """
     split = split if split is not None else split_sources(edges)
     return join_split(split, ranks, unique_ranks)
 
 
 def contributions(edges: DataFrame, ranks: DataFrame, split: SourceSplit | None = None,
-                  unique_ranks: bool = True) -> DataFrame:
+                  unique_ranks: bool = False) -> DataFrame:
     """J1 + P1 + P3: one row per (edge, matching rank row): ``id (= dst_id), contrib``."""
     return join_ranks(edges, ranks, split, unique_ranks).select(
         F.col("dst_id").alias("id"), edge_contribution("weight", "rank").alias("contrib"))
@@ -96,7 +96,7 @@ def contrib_partial(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
     ``edges`` must carry ``edge_partition``.
     """
-    j = join_ranks(edges, ranks)
+    j = join_ranks(edges, summed_ranks(ranks), unique_ranks=True)
     return (j.groupBy("edge_partition", F.col("dst_id").alias("id"))
             .agg(F.sum(edge_contribution("weight", "rank")).alias("partial")))
 
@@ -120,15 +120,19 @@ def retain_all(vertex_table: DataFrame, totals: DataFrame) -> DataFrame:
 
 def rank_step_drop(edges: DataFrame, ranks: DataFrame, reset: float = RESET,
                    damping: float = DAMPING, split: SourceSplit | None = None) -> DataFrame:
-    """J1 -> P1/P3 -> A1 -> P5. Destinations without contribution vanish."""
-    return apply_damping(contrib_sum(contributions(edges, ranks, split)), reset, damping)
+    """J1 -> P1/P3 -> A1 -> P5. Destinations without contribution vanish.
+
+    Only sums leave the step, so the ranks of an id are summed first (a rank multiset,
+    as the literal first round has, never multiplies edge rows)."""
+    contribs = contributions(edges, summed_ranks(ranks), split, unique_ranks=True)
+    return apply_damping(contrib_sum(contribs), reset, damping)
 
 
 def rank_step_retain(vertex_table: DataFrame, edges: DataFrame, ranks: DataFrame,
                      reset: float = RESET, damping: float = DAMPING,
                      split: SourceSplit | None = None) -> DataFrame:
     """R2 (plain form): J1 -> A1 -> J4 -> P5. Every vertex is kept."""
-    totals = contrib_sum(contributions(edges, ranks, split))
+    totals = contrib_sum(contributions(edges, summed_ranks(ranks), split, unique_ranks=True))
     return apply_damping(retain_all(vertex_table, totals), reset, damping)
 
 
@@ -193,21 +197,14 @@ def rank(edges: DataFrame, rounds: int, init: str = "unique", missing: str = "dr
     if contribution == "source_id":
         # independent of the previous ranks: every round >= 1 gives the same table
         return source_id_mass(vertices(edges), edges, reset, damping, missing)
-    # hot sources salted once; every round references the previous ranks once
-    # and leaves them placed for the next join (one shuffle per round)
+    # collapsed and salted once; every round references the previous ranks once, and
+    # shuffles its sums by vertex and the finished ranks by (vertex, salt)
     graph = salt_graph(edges, partitions)
-    vertex_table = None
-    if missing == "retain" or init == "unique":
-        vertex_table = with_salts(graph, vertex_ids(edges))
-    if init == "unique":
-        ranks = vertex_table.withColumn("rank", F.lit(float(initial)))
-    else:
-        ranks = with_salts(graph, summed_initial_ranks(edges, init, initial))
+    vertex_table = vertex_ids(edges) if missing == "retain" else None
+    ranks = summed_initial_ranks(edges, init, initial)
     for _ in range(rounds):
         totals = salted_totals(graph, ranks)
-        if missing == "retain":
-            totals = (vertex_table.join(totals, ["id", "salt"], "left")
-                      .select("id", "salt", F.coalesce(F.col("total_contrib"), F.lit(0.0))
-                              .alias("total_contrib")))
-        ranks = totals.select("id", "salt", damp("total_contrib", reset, damping).alias("rank"))
-    return ranks.filter(F.col("salt") == 0).select("id", "rank")
+        if vertex_table is not None:
+            totals = retain_all(vertex_table, totals)
+        ranks = apply_damping(totals, reset, damping)
+    return ranks

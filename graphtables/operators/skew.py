@@ -24,22 +24,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtables.operators.graph import out_degrees
+from graphtables.operators.graph import collapse_edges, out_degrees
 
 
 @dataclass(frozen=True)
 class SourceSplit:
-    """Edges split by source hotness.
-
-    ``normal``/``hot``: edge rows (all input columns); ``hot_ids``: ``src_id``
-    of hot sources; ``broadcast``: whether ``hot_ids`` (and hot rank rows) have
-    a proven bound and may be broadcast.
-    """
+    """Edges split by source hotness: ``normal`` and ``hot`` edge rows (all input columns), and
+    ``hot_ids``, the ``src_id`` of the fewer than ``2 P`` hot sources."""
 
     normal: DataFrame
     hot: DataFrame
     hot_ids: DataFrame
-    broadcast: bool = True
 
 
 def hot_threshold(degrees: DataFrame, partitions: int) -> Column:
@@ -52,46 +47,53 @@ def split_sources(edges: DataFrame, partitions: int | None = None,
                   threshold: int | None = None) -> SourceSplit:
     """Split ``edges`` into ordinary and hot sources (lazy).
 
-    With the default threshold fewer than ``partitions`` sources are hot and
-    the hot side is broadcast; a caller-chosen ``threshold`` has no such
-    bound, so its hot side is joined by shuffle instead.
+    With the default threshold fewer than ``partitions`` sources are hot. A
+    ``threshold`` below ``|E| / 2 P`` counts as that, so that the hot ids keep a
+    proven bound (``2 P``) and are always broadcast.
     """
     spark = edges.sparkSession
     p = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     deg = out_degrees(edges)
-    t = hot_threshold(deg, p) if threshold is None else F.lit(int(threshold))
+    t = hot_threshold(deg, p) if threshold is None else F.greatest(
+        F.lit(int(threshold)).cast("long"), hot_threshold(deg, 2 * p).cast("long"))
     hot_ids = deg.filter(F.col("out_degree") > t).select("src_id")
-    bounded = threshold is None
-    ids = F.broadcast(hot_ids) if bounded else hot_ids
+    ids = F.broadcast(hot_ids)
     normal = edges.join(ids, "src_id", "left_anti")
     # hot edges stay where the input put them: the broadcast join needs no exchange
     hot = edges.join(ids, "src_id", "left_semi")
-    return SourceSplit(normal, hot, hot_ids, bounded)
+    return SourceSplit(normal, hot, hot_ids)
 
 
-def hot_rank_rows(split: SourceSplit, ranks: DataFrame) -> DataFrame:
-    """Rank rows of hot sources; fewer than ``P`` rows when rank ids are unique."""
-    ids = F.broadcast(split.hot_ids) if split.broadcast else split.hot_ids
-    return ranks.join(ids, ranks["id"] == ids["src_id"], "left_semi")
+def summed_ranks(ranks: DataFrame) -> DataFrame:
+    """``ranks`` with one row per id: equal ids summed, exact wherever only sums of contributions are used."""
+    return ranks.groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
-def join_split(split: SourceSplit, ranks: DataFrame, unique_ranks: bool = True) -> DataFrame:
-    """Edges joined to ranks on ``src_id = id`` (J1) without a hot-source task.
+def join_split(split: SourceSplit, ranks: DataFrame, unique_ranks: bool = False) -> DataFrame:
+    """Edges joined to ranks on ``src_id = id``.
 
-    Ordinary sources: shuffled hash join built on the ranks. Hot sources: their
-    rank rows are broadcast to the hot edges where they are, when their number is
-    bounded (unique rank ids and the default threshold); otherwise shuffled.
+    Ordinary sources: shuffled hash join built on the ranks. Hot sources: with
+    ``unique_ranks`` (the ranks come out of an aggregation by id) their fewer than ``2 P``
+    rows are broadcast to the hot edges where they are. A rank multiset has no
+    such bound and is joined by shuffle; sum it first (:func:`summed_ranks`) where only
+    sums are used.
     """
     normal = split.normal.join(ranks.hint("shuffle_hash"), split.normal["src_id"] == ranks["id"])
-    hot_ranks = hot_rank_rows(split, ranks)
-    if split.broadcast and unique_ranks:
-        hot_ranks = F.broadcast(hot_ranks)
-    else:
-        hot_ranks = hot_ranks.hint("shuffle_hash")
+    ids = F.broadcast(split.hot_ids)
+    hot_ranks = ranks.join(ids, ranks["id"] == ids["src_id"], "left_semi")
+    hot_ranks = F.broadcast(hot_ranks) if unique_ranks else hot_ranks.hint("shuffle_hash")
     hot = split.hot.join(hot_ranks, split.hot["src_id"] == hot_ranks["id"])
     return normal.unionByName(hot)
 
 
+def _one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    rows = df.groupBy(*keys).agg(*(F.any_value(c).alias(c) for c in df.columns if c not in keys),
+                                 F.count(F.lit(1)).alias("_rows"))
+    unique = F.when(F.col("_rows") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit("split_join: a key of the small side is not unique")).cast("boolean"))
+    return rows.filter(unique).select(*df.columns)
+
+
 def split_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys: list[str],
                how: str = "inner", partitions: int | None = None) -> DataFrame:
     """Many-to-one join (``small`` has unique keys) without a hot-key task.
@@ -100,7 +102,9 @@ def split_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys
     keys, by the same counting argument as for sources) meet their ``small``
     rows through a broadcast join, where ``big`` rows stay put; all other keys
     use a shuffled hash join built on ``small``. ``how``: ``inner`` or ``left``.
-    Output: the columns of ``big`` followed by those of ``small``.
+    Output: the columns of ``big`` followed by those of ``small``. The broadcast rows come
+    out of an aggregation by key, so there are fewer than ``P``; a hot key that
+    ``small`` has twice raises an error.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -114,6 +118,7 @@ def split_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys
     hot_s = hot.select(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(big_keys)])
     small_hot = small.join(hot_s, [small[k] == hot_s[f"_h{i}"] for i, k in enumerate(small_keys)],
                            "left_semi")
+    small_hot = _one_row_per_key(small_hot, small_keys)
 
     def cond(left: DataFrame, right: DataFrame):
         c = None
@@ -130,47 +135,38 @@ def split_join(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys
 
 # ---- salted form: one join per round, for plans that chain many rounds -------------
 #
-# Every per-round table is keyed by (vertex, salt): an ordinary vertex has the
-# single salt 0, a hot source ``ceil(deg / T)`` salts. Edges of a hot source
-# carry ``salt = pmod(xxhash64(dst_id), salts)``; contributions to a vertex are
-# copied to each of its salts before the aggregation (partial aggregation keeps
-# the copies per task bounded). The aggregation by (id, salt) then leaves the
-# ranks placed exactly like the edges, so the next join needs no shuffle, and
-# each round references the previous ranks once: the plan grows linearly.
+# A hot source has ``ceil(deg / T)`` salts, an ordinary one the salt 0; an edge carries
+# ``salt = pmod(xxhash64(dst_id), salts)`` of its source. Each round copies the finished
+# rank rows to their salts (fewer than 2 P more rows), joins them to the edges by
+# (vertex, salt), and sums the contributions by vertex. Contributions are never
+# copied, so a vertex that is hot in both directions costs no more than its edges.
 
 @dataclass(frozen=True)
 class SaltedGraph:
-    """``edges``: ``src_id, dst_id, weight, src_salt``; ``hot``: ``src_id, salts``
-    for the hot sources (fewer than ``P`` rows, fewer than ``2 P`` salts)."""
+    """``edges``: ``src_id, dst_id, weight, src_salt``, each pair of vertices once; ``lookup``:
+    ``_hot_id, salts`` of the hot sources (fewer than ``P`` rows, fewer than ``2 P`` salts), broadcast."""
 
     edges: DataFrame
-    hot: DataFrame
-    lookup: DataFrame  # ``_hot_id, salts``: the broadcast side shared by every round
+    lookup: DataFrame
 
 
 def salt_graph(edges: DataFrame, partitions: int | None = None) -> SaltedGraph:
-    """Salt the edges of hot sources (lazy).
+    """Collapse repeated edges (weights summed, exact) and salt those of hot sources (lazy).
 
-    Hotness counts repeated edges, so a repeated edge holding a large share of
-    the rows makes its source hot; the edges of hot sources are collapsed
-    (weights summed, exact) so that hashing ``dst_id`` spreads them.
+    Collapsed, an edge is one row however often it repeats, so hashing ``dst_id``
+    spreads a hot source evenly.
     """
     spark = edges.sparkSession
     p = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.select("src_id", "dst_id", "weight")
+    edges = collapse_edges(edges.select("src_id", "dst_id", "weight"))
     deg = out_degrees(edges)
     t = hot_threshold(deg, p)
-    hot = (deg.filter(F.col("out_degree") > t)
-           .select("src_id", F.ceil(F.col("out_degree") / t).cast("int").alias("salts")))
-    hb = F.broadcast(hot)
-    normal = edges.join(hb, "src_id", "left_anti").withColumn("src_salt", F.lit(0))
-    hot_edges = (edges.join(hb, "src_id", "left_semi")
-                 .groupBy("src_id", "dst_id").agg(F.sum("weight").alias("weight"))
-                 .join(hb, "src_id")
-                 .select("src_id", "dst_id", "weight",
-                         F.pmod(F.xxhash64("dst_id"), F.col("salts")).cast("int").alias("src_salt")))
-    lookup = F.broadcast(hot.select(F.col("src_id").alias("_hot_id"), "salts"))
-    return SaltedGraph(normal.unionByName(hot_edges), hot, lookup)
+    lookup = F.broadcast(deg.filter(F.col("out_degree") > t).select(
+        F.col("src_id").alias("_hot_id"), F.ceil(F.col("out_degree") / t).cast("int").alias("salts")))
+    salted = edges.join(lookup, edges["src_id"] == lookup["_hot_id"], "left").select(
+        "src_id", "dst_id", "weight",
+        F.pmod(F.xxhash64("dst_id"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("src_salt"))
+    return SaltedGraph(salted, lookup)
 
 
 def with_salts(graph: SaltedGraph, df: DataFrame, key: str = "id") -> DataFrame:
@@ -182,15 +178,14 @@ def with_salts(graph: SaltedGraph, df: DataFrame, key: str = "id") -> DataFrame:
                     F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
 
 
-def salted_totals(graph: SaltedGraph, ranks: DataFrame) -> DataFrame:
-    """One round's sums: ``ranks`` (``id, salt, rank``) -> ``id, salt, total_contrib``.
+def salted_contributions(graph: SaltedGraph, ranks: DataFrame) -> DataFrame:
+    """One row per (collapsed) edge whose source has a rank: ``id (= dst_id), contrib``.
+    ``ranks`` (``id, rank``) has unique ids."""
+    e, r = graph.edges, with_salts(graph, ranks)
+    j = e.join(r.hint("shuffle_hash"), (e["src_id"] == r["id"]) & (e["src_salt"] == r["salt"]))
+    return j.select(F.col("dst_id").alias("id"), (F.col("weight") * F.col("rank")).alias("contrib"))
 
-    Edges meet ranks on ``(src_id, src_salt) = (id, salt)``; each contribution
-    is copied to the salts of its destination, then summed by ``(id, salt)``.
-    """
-    e = graph.edges
-    j = e.join(ranks.hint("shuffle_hash"),
-               (e["src_id"] == ranks["id"]) & (e["src_salt"] == ranks["salt"]))
-    contribs = j.select(F.col("dst_id").alias("id"), (F.col("weight") * F.col("rank")).alias("contrib"))
-    return (with_salts(graph, contribs)
-            .groupBy("id", "salt").agg(F.sum("contrib").alias("total_contrib")))
+
+def salted_totals(graph: SaltedGraph, ranks: DataFrame) -> DataFrame:
+    """One round's sums: ``ranks`` (``id, rank``) -> ``id, total_contrib``."""
+    return salted_contributions(graph, ranks).groupBy("id").agg(F.sum("contrib").alias("total_contrib"))

@@ -8,7 +8,7 @@ Layout, built once and kept:
   aggregation combines copies before the shuffle.
 * **hot sources**, those with more than ``T = ceil(|E| / P)`` out-edges, are
   split off (:mod:`graphtables.operators.skew`). Fewer than ``P`` sources
-  can be hot, so their ids, and their rank rows in each round, are tables with
+  can be hot (``2 P`` with a caller's lower threshold, which is raised to ``|E| / 2 P``), so their ids, and their rank rows in each round, are tables with
   a proven bound and are broadcast to the hot edges, which stay spread evenly
   by ``(src_id, dst_id)`` (unique after collapsing).
 * **all other edges** are placed by ``src_id`` into ``P`` partitions, exactly
@@ -89,7 +89,7 @@ class RankLoop:
     ``partitions`` (P; default: the session's shuffle partitions, raised so a
     partition holds at most ``target_partition_rows`` edges),
     ``checkpoint_every`` (0 = never) and ``hot_threshold`` (out-edges above
-    which a source is split; default ``ceil(|E| / P)``).
+    which a source is split; default ``ceil(|E| / P)``, at least ``|E| / 2 P``).
     """
 
     def __init__(self, edges: DataFrame, init: str = "unique", missing: str = "drop",
@@ -117,9 +117,8 @@ class RankLoop:
     # ---- layout -------------------------------------------------------------
 
     def _keep(self, stage: str, df: DataFrame) -> DataFrame:
-        df = self.timer.materialise(stage, df, self.level)
-        self._kept.append(df)
-        return df
+        self._kept.append(df)       # before the job: released even if that fails
+        return self.timer.materialise(stage, df, self.level)
 
     def _collapse(self) -> tuple[DataFrame, int]:
         """Collapsed edges, counted (planned with the session's own settings)."""
@@ -136,19 +135,18 @@ class RankLoop:
     def _build(self, collapsed: DataFrame, n_edges: int) -> None:
         p = self.partitions
         start = time.perf_counter()
-        threshold = self.hot_threshold or max(1, math.ceil(n_edges / p))
-        # the out-degrees sum to n_edges: fewer than n_edges / threshold sources are hot
+        if self.hot_threshold is None:
+            threshold = max(1, math.ceil(n_edges / p))
+        else:
+            threshold = max(1, self.hot_threshold, math.ceil(n_edges / (2 * p)))
+        # the out-degrees sum to n_edges: fewer than n_edges / threshold <= 2 P sources are hot
         hot_ids = (out_degrees(collapsed).filter(F.col("out_degree") > threshold)
                    .select("src_id"))
         hot_ids = hot_ids.persist(self.level)
-        self.num_hot = hot_ids.count()
-        self.timer.record("build routing tables", self.num_hot, (time.perf_counter() - start) * 1000)
         self._kept.append(hot_ids)
-        # With the default threshold fewer than P sources are hot. A smaller
-        # threshold given by the caller can make the table vertex-sized: then it
-        # is joined by shuffle instead of being broadcast.
-        bounded = self.num_hot <= 2 * p
-        ids = F.broadcast(hot_ids) if bounded else hot_ids
+        self.num_hot = hot_ids.count()
+        self.timer.record("find hot sources", self.num_hot, (time.perf_counter() - start) * 1000)
+        ids = F.broadcast(hot_ids)
         normal = collapsed.join(ids, "src_id", "left_anti")
         normal = self._keep("build edges",
                             normal.repartition(p, "src_id").sortWithinPartitions("src_id"))
@@ -158,11 +156,11 @@ class RankLoop:
             hot = self._keep("build edges (hot sources)", hot)
         else:
             hot = collapsed.limit(0)
-        self.split = SourceSplit(normal, hot, hot_ids, bounded)
+        self.split = SourceSplit(normal, hot, hot_ids)
 
         if self.missing == "retain":
             verts = vertex_ids(collapsed).repartition(p, "id").sortWithinPartitions("id")
-            self._vertices = self._keep("build vertices", verts)
+            self._vertices = self._keep("build vertex set", verts)
         else:
             self._vertices = None
 
@@ -178,7 +176,7 @@ class RankLoop:
                 init = ids.select("id", F.lit(float(self.initial)).alias("rank"))
             else:
                 init = summed_initial_ranks(self.edges, self.init, self.initial)
-            self._initial = self.timer.materialise("build initial ranks", init, self.level)
+            self._initial = self._keep("build vertices", init)
         collapsed.unpersist(blocking=False)
 
     # ---- one round ------------------------------------------------------------
@@ -193,7 +191,7 @@ class RankLoop:
                 contribs = contribs.unionByName(extra.select(
                     F.col("dst_id").alias("id"), source_id_contribution().alias("contrib")))
         elif self.num_hot:
-            contribs = join_split(split, ranks).select(
+            contribs = join_split(split, ranks, unique_ranks=True).select(
                 F.col("dst_id").alias("id"), edge_contribution("weight", "rank").alias("contrib"))
         else:
             e = split.normal
@@ -224,46 +222,44 @@ class RankLoop:
             return self.timer.materialise("build vertices",
                                           initial_ranks(self.edges, self.init, self.initial),
                                           self.level)
-        collapsed, n_edges = self._collapse()
-        p = self.partitions
-        settings = dict(_LOOP_CONF)
-        settings["spark.sql.shuffle.partitions"] = str(p)
-        with _session_conf(self.spark, settings):
-            try:
-                return self._rounds(collapsed, n_edges, rounds)
-            except BaseException:
-                self.release_layout()
-                raise
+        if self.checkpoint_every and rounds > self.checkpoint_every:
+            checkpoint_dir(self.spark)      # a missing folder fails here, not after finished rounds
+        try:
+            collapsed, n_edges = self._collapse()
+            settings = {**_LOOP_CONF, "spark.sql.shuffle.partitions": str(self.partitions)}
+            with _session_conf(self.spark, settings):
+                self._build(collapsed, n_edges)
+                ranks = self._rounds(rounds)
+        except BaseException:
+            self.release_layout()
+            raise
+        self._kept.remove(ranks)
+        self.release_layout()
+        return ranks
 
-    def _rounds(self, collapsed: DataFrame, n_edges: int, rounds: int) -> DataFrame:
-        self._build(collapsed, n_edges)
+    def _rounds(self, rounds: int) -> DataFrame:
         ranks = self._initial
-        fixed = None
         for i in range(1, rounds + 1):
-            if self.contribution == "source_id" and fixed is not None:
-                # independent of the previous ranks: every later round is the same table
-                self.timer.record(f"iteration {i}", self.timer.records[-1][1], 0.0)
-                continue
-            new = self.timer.materialise(f"iteration {i}", self._step(ranks), self.level)
+            new = self._keep(f"iteration {i}", self._step(ranks))
             try:
                 self.round_exchanges.append(shuffle_exchanges(new))
             except Exception:  # diagnostics only (e.g. no JVM plan objects on Spark Connect)
                 self.round_exchanges.append([])
             if self.checkpoint_every and i % self.checkpoint_every == 0 and i < rounds:
-                checkpoint_dir(self.spark)
-                cp = new.checkpoint(eager=True)
-                new.unpersist(blocking=False)
-                new = cp
+                kept, new = new, new.checkpoint(eager=True)
+                self._release(kept)
+                self._kept.append(new)
             if ranks is not None:
-                ranks.unpersist(blocking=False)
+                self._release(ranks)
             ranks = new
-            if self.contribution == "source_id":
-                fixed = new
-        self.release_layout()
         return ranks
 
+    def _release(self, df: DataFrame) -> None:
+        self._kept.remove(df)
+        df.unpersist(blocking=False)
+
     def release_layout(self) -> None:
-        """Drop the kept edge, vertex and hot-source tables."""
+        """Drop all kept tables."""
         for df in self._kept:
             df.unpersist(blocking=False)
         self._kept = []

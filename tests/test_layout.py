@@ -28,11 +28,12 @@ def test_co_locate_and_vertices(spark):
     assert [r["ordered"] for r in layout.partition_order(unsorted, ["id"]).collect()] == [False]
 
 
-def test_persist_release(spark):
-    df = layout.persist(spark.range(10))
-    assert df.count() == 10 and df.is_cached
-    layout.release(df)
-    assert not df.is_cached
+def test_placement_reports_what_is_there(spark):
+    df = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    assert layout.placement(layout.co_locate(df, "k", 4), "k", ["k"]).first() == (100, True, True)
+    spread = df.repartition(4, "v").sortWithinPartitions(F.desc("k"))
+    assert layout.placement(spread, "k", ["k"]).first() == (100, False, False)
+    assert layout.placement(df.limit(0), "k", ["k"]).first() == (0, True, True)
 
 
 def test_partition_order_is_exact_for_large_ids_and_nulls(spark):

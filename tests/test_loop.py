@@ -27,7 +27,7 @@ def test_hot_sources_add_no_shuffle(spark):
     e = nation_trade_edges(spark, SF_SMALL)
     loop = RankLoop(e, missing="retain", hot_threshold=2, partitions=16, checkpoint_every=0)
     out = loop.run(2)
-    assert loop.num_hot > 0 and loop.split.broadcast
+    assert loop.num_hot > 0
     assert [len(x) for x in loop.round_exchanges] == [1, 1]
     assert _ranks(out) == _ranks(rank(e, 2, missing="retain"))
     out.unpersist()
@@ -53,15 +53,71 @@ def test_metrics_and_conf_restored(spark):
     assert "build edges" in stages and "iteration 2" in stages
 
 
-def test_many_hot_sources_are_not_broadcast(spark):
-    # threshold 1 makes nearly every source hot: more than 2P rows, so no broadcast
+def test_a_low_threshold_keeps_the_bound(spark):
+    # threshold 0 or 1 would make nearly every source hot: it counts as |E| / 2P
     e = part_supplier_edges(spark, SF_SMALL)
-    loop = RankLoop(e, missing="drop", partitions=4, hot_threshold=1, checkpoint_every=0)
-    out = loop.run(2)
-    assert loop.num_hot > 8
-    assert not loop.split.broadcast
-    assert _ranks(out) == _ranks(rank(e, 2))
-    out.unpersist()
+    for threshold in (0, 1):
+        loop = RankLoop(e, missing="drop", partitions=4, hot_threshold=threshold, checkpoint_every=0)
+        out = loop.run(2)
+        assert loop.num_hot <= 8
+        assert [len(x) for x in loop.round_exchanges] == [1, 1]
+        assert _ranks(out) == _ranks(rank(e, 2))
+        out.unpersist()
+
+
+def test_split_query_has_one_exchange_a_round(spark):
+    loop = RankLoop(nation_trade_edges(spark, SF_SMALL), missing="drop", hot_threshold=1, partitions=64)
+    loop.run(2).unpersist()
+    assert loop.num_hot >= 10 and [len(x) for x in loop.round_exchanges] == [1, 1]
+
+
+def test_listed_rounds_ran(spark):
+    loop = RankLoop(part_supplier_edges(spark, SF_SMALL), contribution="source_id", missing="retain")
+    loop.run(3).unpersist()
+    rounds = [r for r in loop.timer.records if r[0].startswith("iteration")]
+    assert len(rounds) == 3 and all(ms > 0 for _, _, ms in rounds)
+
+
+def test_a_failing_round_leaves_no_cache(spark):
+    import pytest
+
+    spark.catalog.clearCache()
+    loop = RankLoop(part_supplier_edges(spark, SF_SMALL), checkpoint_every=0)
+    step, calls = loop._step, []
+
+    def failing(ranks):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("round 2")
+        return step(ranks)
+
+    loop._step = failing
+    with pytest.raises(RuntimeError, match="round 2"):
+        loop.run(3)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_routed_loop(spark):
+    from pyspark.sql import functions as F
+
+    from graphtables.functions.columns import edge_partition_of
+    from graphtables.plans.routed import RoutedLoop
+
+    e = part_supplier_edges(spark, SF_SMALL)
+    ep = e.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", 8))
+    for every in (0, 1):
+        loop = RoutedLoop(ep, checkpoint_every=every)
+        out = loop.run(3)
+        assert _ranks(out) == _ranks(rank(e, 3, missing="retain"))
+        assert [s for s, _, _ in loop.timer.records] == [
+            "build edges", "build routing tables", "build vertices", "iteration 1", "iteration 2", "iteration 3"]
+        out.unpersist()
+    as_written = RoutedLoop(ep, contribution="source_id").run(2)
+    assert _ranks(as_written) == _ranks(rank(e, 2, contribution="source_id", missing="retain"))
+    assert _ranks(RoutedLoop(ep).run(0)) == {r["id"]: 1.0 for r in as_written.collect()}
+    one = ep.withColumn("edge_partition", F.lit(0))
+    assert _ranks(RoutedLoop(one).run(2)) == _ranks(rank(e, 2, missing="retain"))
+    spark.catalog.clearCache()
 
 
 def test_lazy_plan_splits_a_hot_source(spark):
@@ -79,10 +135,11 @@ def test_lazy_plan_splits_a_hot_source(spark):
     assert [r["src_id"] for r in split.hot_ids.collect()] == [0]
     from graphtables.operators.skew import salt_graph
     g = salt_graph(e, partitions=8)
-    hot = [(r["src_id"], r["salts"]) for r in g.hot.collect()]
-    assert hot == [(0, 3)]  # 10000 out-edges, T = 30000 / 8 -> 3 salts
+    hot = {r["_hot_id"]: r["salts"] for r in g.lookup.collect()}
+    assert list(hot) == [0] and hot[0] > 1
     per_salt = g.edges.filter("src_id = 0").groupBy("src_salt").count().collect()
-    assert len(per_salt) == 3 and max(r["count"] for r in per_salt) < 2 * 10000 / 3
+    rows = sum(r["count"] for r in per_salt)
+    assert len(per_salt) == hot[0] and max(r["count"] for r in per_salt) < 2 * rows / hot[0]
     got = rank(e, 2, missing="retain")
     rows = got.collect()
     assert "BroadcastHashJoin" in plan_text(got)
@@ -105,7 +162,6 @@ def test_repeated_edge_with_a_third_of_the_rows(spark):
         F.when(F.col("id") % 3 == 0, F.lit(8)).otherwise(F.col("id") % 451).cast("long").alias("dst_id"),
         F.lit(1.0).alias("weight"))
     g = salt_graph(e, partitions=8)
-    assert [r["src_id"] for r in g.hot.collect()] == [7]
     # the copies became one edge of weight 3000 (plus 7's ordinary edges)
     heavy = g.edges.filter("src_id = 7 AND dst_id = 8").collect()
     assert len(heavy) == 1 and heavy[0]["weight"] >= 3000

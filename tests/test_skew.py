@@ -22,3 +22,10 @@ def test_split_join_hot_key(spark, how):
     want = sorted((r["row"], r["k"], s.get(r["k"])) for r in b if how == "left" or r["k"] in s)
     assert got == want
     assert "BroadcastHashJoin" in plan_text(out)
+
+
+def test_split_join_refuses_a_repeated_hot_key(spark):
+    big = spark.range(300).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("row"))
+    small = spark.createDataFrame([(1, 10), (1, 11)], "key long, val long")
+    with pytest.raises(Exception, match="not unique"):
+        split_join(big, small, ["k"], ["key"], partitions=4).collect()
