@@ -1,10 +1,11 @@
 """Command line: rank a TAB-separated edge file and print the time of each stage.
 
-    spark-submit -m graphtables PROGRAM ITERS PATH [--output DIR] [--partitions N]
-    python -m graphtables PROGRAM ITERS PATH ...
+    spark-submit run_rank.py PROGRAM ITERS PATH [--output DIR] [--partitions N]
+    python -m graphtables PROGRAM ITERS PATH ...        (where pyspark is importable)
 
 PROGRAM picks the variant: ``dataframe`` (= R5, the first program as written),
-``lowlevel`` (= R7, the second program as written), or one of ``R5 R6 R7 R8``.
+``lowlevel`` (= R7, the second program as written, with its routing tables built over the
+input splits, whose number ``--partitions`` does not change), or one of ``R5 R6 R7 R8``.
 Each stage prints ``<stage>: <ms> ms`` like the original programs; with
 ``--output`` the final ranks are written as parquet (the originals only count
 them).
@@ -18,7 +19,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from graphtables.plans.loop import RankLoop
-from graphtables.sources.edges import read_edges
+from graphtables.plans.routed import RoutedLoop
+from graphtables.sources.edges import read_edges, read_split_edges
 
 VARIANTS = {
     "R5": dict(init="incidence", missing="drop"),
@@ -42,9 +44,12 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("graphtables").getOrCreate()
     variant = VARIANTS[PROGRAMS.get(args.program, args.program)]
-    edges = read_edges(spark, args.path, mode=args.mode)
-    loop = RankLoop(edges, partitions=args.partitions,
-                    checkpoint_every=args.checkpoint_every, **variant)
+    if args.program == "lowlevel":
+        loop = RoutedLoop(read_split_edges(spark, args.path, mode=args.mode), contribution="source_id",
+                          checkpoint_every=args.checkpoint_every)
+    else:
+        loop = RankLoop(read_edges(spark, args.path, mode=args.mode), partitions=args.partitions,
+                        checkpoint_every=args.checkpoint_every, **variant)
     ranks = loop.run(args.iters)
     print(loop.timer.report())
     print(f"ranks: {ranks.count()} rows")

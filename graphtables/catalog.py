@@ -7,8 +7,8 @@ every value has at most 6 decimals, so rounding is tie-free).
 
 Graphs (see :mod:`graphtables.sources.tables`): TG1 part -> supplier,
 TG2 nation -> nation, TG3 user succession, TG4 customer -> nation -> region.
-``ep`` = ``pmod(src_id + dst_id, 4)``, a reproducible edge-partition id that
-spreads the edges of one source like input splits do.
+``ep`` = the reproducible two-dimensional edge partition of
+:func:`graphtables.functions.columns.edge_partition_of` with n = 4.
 """
 
 from __future__ import annotations
@@ -23,16 +23,20 @@ from graphtables.operators import keyed, layout, rank as rk, routing as rt
 from graphtables.operators.graph import (
     collapse_edges,
     endpoints,
+    incidence_vertices,
     incidences,
     reverse_edges,
     vertex_ids,
     vertices,
 )
 from graphtables.plans.loop import RankLoop
-from graphtables.session import shared_path
+from graphtables.plans.routed import RoutedLoop
+from graphtables.session import checkpoint_dir, discard, shared_path
 from graphtables.sources.edges import (
     parse_edges,
+    read_edge_lines,
     read_edges,
+    read_split_edges,
     rejected_lines,
     write_edges,
 )
@@ -85,11 +89,20 @@ def edge_parse(spark: SparkSession, d: str) -> DataFrame:
     return parse_edges(data.unionByName(comments))
 
 
+def _kept_copy(df: DataFrame, *paths: str) -> DataFrame:
+    """``df`` checkpointed, and the written tables that it was read from deleted."""
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint()
+    for path in paths:
+        discard(df.sparkSession, path)
+    return out
+
+
 def edge_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """TG1 written as TSV with a ``#`` header below the shared folder, read back."""
     path = shared_path(spark, "tg1-edges")
     write_edges(part_supplier_edges(spark, d), path, header="src_id\tdst_id")
-    return read_edges(spark, path)
+    return _kept_copy(read_edges(spark, path), path)
 
 
 def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +115,19 @@ def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     out = shared_path(spark, "tg1-stream-out")
     q = append_edges(read_edge_stream(spark, src), out, checkpoint=out + "-progress")
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return _kept_copy(spark.read.parquet(out), src, out, out + "-progress")
+
+
+def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
+    """S6 as the original, stored: TG1 as text, its edges with the index of their input split;
+    per edge how many rows it has, and whether all split indices are below the number of splits."""
+    path = shared_path(spark, "tg1-splits")
+    write_edges(part_supplier_edges(spark, d), path)
+    splits = read_edge_lines(spark, path).select(F.spark_partition_id().alias("p")).distinct().count()
+    edges = read_split_edges(spark, path)
+    out = edges.groupBy("src_id", "dst_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("edge_partition").between(0, splits - 1)).alias("in_range"))
+    return _kept_copy(out, path)
 
 
 def _mixed_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -164,13 +189,13 @@ def vertex_incidence(spark: SparkSession, d: str) -> DataFrame:
 def edge_rank_join(spark: SparkSession, d: str) -> DataFrame:
     """J1, P1, P3 on TG1 with the ranks after one dropping round."""
     e, r1 = _tg1_r6_k1(spark, d)
-    return rk.contributions(e, r1).select("id", _r6("contrib"))
+    return rk.contributions(e, r1, unique_ranks=True).select("id", _r6("contrib"))
 
 
 def contrib_sum(spark: SparkSession, d: str) -> DataFrame:
     """A1 on TG1."""
     e, r1 = _tg1_r6_k1(spark, d)
-    return rk.contrib_sum(rk.contributions(e, r1)).select("id", _r6("total_contrib"))
+    return rk.contrib_sum(rk.contributions(e, r1, unique_ranks=True)).select("id", _r6("total_contrib"))
 
 
 def contrib_partial(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +215,7 @@ def contrib_final(spark: SparkSession, d: str) -> DataFrame:
 def rank_damping(spark: SparkSession, d: str) -> DataFrame:
     """P5 on TG1."""
     e, r1 = _tg1_r6_k1(spark, d)
-    return _ranks_out(rk.apply_damping(rk.contrib_sum(rk.contributions(e, r1))))
+    return _ranks_out(rk.apply_damping(rk.contrib_sum(rk.contributions(e, r1, unique_ranks=True))))
 
 
 # ---- single steps ------------------------------------------------------------------
@@ -296,6 +321,20 @@ def _routing_filter(include_src: bool, include_dst: bool) -> Query:
     return q
 
 
+def routing_filter_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each partition under all four flag settings (none of them under neither)."""
+    table_ = _tg1_routing(spark, d)
+    parts = [rt.routing_filter(table_, s, t).select("edge_partition", F.lit(s).alias("src"), F.lit(t).alias("dst"))
+             for s in (False, True) for t in (False, True)]
+    tagged = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return tagged.groupBy("edge_partition", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edge_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The number of edge partitions that TG1 fills."""
+    return rt.edge_partition_count(_tg1_routing(spark, d))
+
+
 def routing_reverse(spark: SparkSession, d: str) -> DataFrame:
     """G4 on TG1."""
     return rt.reverse_routing(_tg1_routing(spark, d))
@@ -328,18 +367,14 @@ def routing_triplets(spark: SparkSession, d: str) -> DataFrame:
 def rank_routed(spark: SparkSession, d: str) -> DataFrame:
     """R2 composed from J2 -> J3 -> A2 -> A3 -> J4 -> P5, 3 rounds on TG1 (= R8).
 
-    The result does not depend on the edge partitioning, so the number of edge
-    partitions follows the session's shuffle partitions (spread over the cluster).
+    Through the routed loop: the routing table is built once and kept. The result does not
+    depend on the edge partitioning, so the number of edge partitions follows the session's
+    shuffle partitions.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = part_supplier_edges(spark, d).withColumn(
         "edge_partition", edge_partition_of("src_id", "dst_id", n))
-    routing = rt.routing_table(e)
-    v = vertices(e)
-    ranks = v
-    for _ in range(3):
-        ranks = rt.routed_step(v, e, routing, ranks)
-    return _ranks_out(ranks)
+    return _loop_ranks(RoutedLoop(e), 3)
 
 
 # ---- keyed tables ----------------------------------------------------------------------
@@ -360,7 +395,7 @@ def id_membership(spark: SparkSession, d: str) -> DataFrame:
 def lookup_default(spark: SparkSession, d: str) -> DataFrame:
     """K3: every TG1 vertex with its contribution sum after one round, 0.0 when absent."""
     e, r1 = _tg1_r6_k1(spark, d)
-    sums = rk.contrib_sum(rk.contributions(e, r1)).select(
+    sums = rk.contrib_sum(rk.contributions(e, r1, unique_ranks=True)).select(
         "id", F.col("total_contrib").alias("value"))
     out = keyed.lookup(vertex_ids(e), sums, "id", "value", default=0.0)
     return out.select("id", _r6("value"))
@@ -398,42 +433,74 @@ def layout_edges(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _ep_edges(spark: SparkSession, d: str) -> DataFrame:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return part_supplier_edges(spark, d).withColumn("edge_partition", edge_partition_of("src_id", "dst_id", n))
+
+
+def layout_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """L1, L2: TG1 placed by source and sorted inside: rows, order and placement as they are."""
+    placed = layout.co_locate(part_supplier_edges(spark, d), "src_id", 8)
+    return layout.placement(placed, "src_id", ["src_id"])
+
+
+def layout_edge_order(spark: SparkSession, d: str) -> DataFrame:
+    """L3, L4: TG1 placed by edge partition and sorted by (source, destination) inside."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return layout.placement(layout.place_edges(_ep_edges(spark, d), n), "edge_partition", ["src_id", "dst_id"])
+
+
+def layout_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The vertices of TG1 placed and sorted by id."""
+    return layout.placement(layout.place_vertices(vertices(part_supplier_edges(spark, d)), 8), "id", ["id"])
+
+
 # ---- materialising loop ------------------------------------------------------------------------
 
+def _loop_ranks(loop: RankLoop | RoutedLoop, rounds: int) -> DataFrame:
+    """The loop's final ranks, checkpointed, so that no table stays cached after the query."""
+    ranks = loop.run(rounds)
+    checkpoint_dir(ranks.sparkSession)
+    out = _ranks_out(ranks).checkpoint()
+    ranks.unpersist(blocking=False)
+    return out
+
+
 def rank_loop_retain(spark: SparkSession, d: str) -> DataFrame:
     """R8 on TG1 for 3 rounds through the materialising loop (= rank_unique_retain)."""
     loop = RankLoop(part_supplier_edges(spark, d), missing="retain")
-    return _ranks_out(loop.run(3))
+    return _loop_ranks(loop, 3)
 
 
 def rank_loop_split(spark: SparkSession, d: str) -> DataFrame:
-    """R6 on TG2 for 2 rounds through the loop with every source split (= rank_dense_drop)."""
-    loop = RankLoop(nation_trade_edges(spark, d), missing="drop", hot_threshold=1)
-    return _ranks_out(loop.run(2))
+    """R6 on TG2 for 2 rounds through the loop with every source split (= rank_dense_drop): at
+    P = 64 each of the 25 nations has more than |E| / 2 P out-edges."""
+    loop = RankLoop(nation_trade_edges(spark, d), missing="drop", hot_threshold=1, partitions=64)
+    return _loop_ranks(loop, 2)
 
 
 def rank_loop_incidence(spark: SparkSession, d: str) -> DataFrame:
     """R5 on TG3 for 3 rounds through the loop (= rank_incidence_drop)."""
     loop = RankLoop(user_succession_edges(spark, d), init="incidence", missing="drop")
-    return _ranks_out(loop.run(3))
+    return _loop_ranks(loop, 3)
 
 
 def rank_loop_checkpointed(spark: SparkSession, d: str) -> DataFrame:
     """R8 on TG1 for 3 rounds, checkpointing every round to the shared folder."""
     loop = RankLoop(part_supplier_edges(spark, d), missing="retain", checkpoint_every=1)
-    return _ranks_out(loop.run(3))
+    return _loop_ranks(loop, 3)
 
 
 def rank_loop_source_id(spark: SparkSession, d: str) -> DataFrame:
     """R7 on TG1 through the loop (= rank_source_id)."""
     loop = RankLoop(part_supplier_edges(spark, d), contribution="source_id", missing="retain")
-    return _ranks_out(loop.run(3))
+    return _loop_ranks(loop, 3)
 
 
 def rank_loop_hot_sources(spark: SparkSession, d: str) -> DataFrame:
     """The same through the loop with P = 64 (nations split off as hot sources)."""
     loop = RankLoop(reverse_edges(customer_geo_edges(spark, d)), missing="retain", partitions=64)
-    return _ranks_out(loop.run(3))
+    return _loop_ranks(loop, 3)
 
 
 def stage_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -446,11 +513,24 @@ def stage_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Stage report of a 3-round R6 loop on TG1 (timings: no oracle)."""
-    loop = RankLoop(part_supplier_edges(spark, d), missing="drop")
-    final = loop.run(3)
-    final.unpersist(blocking=False)
-    return loop.metrics()
+    """The second program's stages on TG1 (routed, P = 4), 3 rounds as written: rows of
+    each, and whether a time was taken."""
+    loop = RoutedLoop(_tg1_ep(spark, d), contribution="source_id")
+    loop.run(3).unpersist(blocking=False)
+    return loop.metrics().select("stage", "rows", (F.col("ms") > 0).alias("timed"))
+
+
+def rank_two_way_hub(spark: SparkSession, d: str) -> DataFrame:
+    """R8 on TG4 united with its reverse, 3 rounds, P = 64: every nation is a hot source and a hot
+    destination, so a plan that copied contributions to salts would multiply its rows."""
+    e = customer_geo_edges(spark, d)
+    return _ranks_out(rk.rank(e.unionByName(reverse_edges(e)), 3, missing="retain", partitions=64))
+
+
+def rank_first_round_literal(spark: SparkSession, d: str) -> DataFrame:
+    """R1 on the incidence multiset of TG1: round 1 of the first program as written."""
+    e = part_supplier_edges(spark, d)
+    return _ranks_out(rk.rank_step_drop(e, incidence_vertices(e)))
 
 
 QUERIES: dict[str, Query] = {
@@ -489,7 +569,8 @@ QUERIES: dict[str, Query] = {
     "routing_filter_src": _routing_filter(True, False),
     "routing_filter_dst": _routing_filter(False, True),
     "routing_filter_both": _routing_filter(True, True),
-    "routing_filter_none": _routing_filter(False, False),
+    "routing_filter_flags": routing_filter_flags,
+    "edge_partitions": edge_partitions,
     "routing_reverse": routing_reverse,
     "routing_sizes": routing_sizes,
     "routing_ship": routing_ship,
@@ -504,6 +585,12 @@ QUERIES: dict[str, Query] = {
     "keyed_merge_bit_or": _keyed_merge("bit_or"),
     "keyed_merge_last": _keyed_merge("last"),
     "layout_edges": layout_edges,
+    "layout_by_source": layout_by_source,
+    "layout_edge_order": layout_edge_order,
+    "layout_vertices": layout_vertices,
+    "split_partition_counts": split_partition_counts,
+    "rank_two_way_hub": rank_two_way_hub,
+    "rank_first_round_literal": rank_first_round_literal,
     "rank_loop_retain": rank_loop_retain,
     "rank_loop_split": rank_loop_split,
     "rank_loop_incidence": rank_loop_incidence,

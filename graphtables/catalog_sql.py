@@ -8,6 +8,8 @@ decimals, like the Spark queries.
 
 from __future__ import annotations
 
+from graphtables.functions.columns import partition_grid
+
 # ---- graphs -----------------------------------------------------------------
 
 TG1 = ("SELECT l_partkey AS src_id, l_suppkey AS dst_id, 1.0::DOUBLE AS weight FROM lineitem "
@@ -33,7 +35,9 @@ TG4 = ("SELECT c_custkey + 1000 AS src_id, CAST(c_nationkey AS BIGINT) + 100 AS
 
 TG4R = f"SELECT dst_id AS src_id, src_id AS dst_id, weight FROM ({TG4}) g"
 
-GRAPH_SQL = {"TG1": TG1, "TG2": TG2, "TG3": TG3, "TG4": TG4, "TG4R": TG4R}
+TG4B = f"{TG4} UNION ALL {TG4R}"
+
+GRAPH_SQL = {"TG4B": TG4B, "TG1": TG1, "TG2": TG2, "TG3": TG3, "TG4": TG4, "TG4R": TG4R}
 
 VERTICES = "SELECT src_id AS id FROM e UNION SELECT dst_id AS id FROM e"
 ENDPOINTS = ("SELECT src_id, dst_id, weight, src_id AS id FROM e "
@@ -42,9 +46,9 @@ INCIDENCE_ROWS = f"SELECT id, 1.0::DOUBLE AS rank FROM (SELECT DISTINCT * FROM (
 
 
 def ep(n: int = 4) -> str:
-    """The reproducible edge partition ``pmod(src_id + dst_id, n)``."""
-    return (f"CAST(((((src_id % {n}) + {n}) % {n} + ((dst_id % {n}) + {n}) % {n}) % {n}) "
-            f"AS INTEGER)")
+    """The reproducible edge partition: ``pmod(src_id, r) * c + pmod(dst_id, c)``."""
+    r, c = partition_grid(n)
+    return f"CAST(((src_id % {r}) + {r}) % {r} * {c} + ((dst_id % {c}) + {c}) % {c} AS INTEGER)"
 
 
 # ---- rank rounds ------------------------------------------------------------
@@ -176,7 +180,11 @@ ORACLE: dict[str, str] = {
     "routing_filter_src": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE is_src",
     "routing_filter_dst": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE is_dst",
     "routing_filter_both": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt",
-    "routing_filter_none": _with(routing_ctes()) + "SELECT edge_partition, vertex_id FROM rt WHERE false",
+    "routing_filter_flags": _with(routing_ctes()) + (
+        "SELECT edge_partition, f.src, f.dst, count(*) AS n FROM rt, (SELECT true AS src, true AS dst "
+        "UNION ALL SELECT true, false UNION ALL SELECT false, true) f "
+        "WHERE (f.src AND f.dst) OR (f.src AND is_src) OR (f.dst AND is_dst) GROUP BY ALL"),
+    "edge_partitions": _with(routing_ctes()) + "SELECT CAST(max(edge_partition) + 1 AS INTEGER) AS n FROM rt",
     "routing_reverse": _with(routing_ctes()) + (
         "SELECT edge_partition, vertex_id, is_dst AS is_src, is_src AS is_dst FROM rt"),
     "routing_sizes": _with(routing_ctes()) + (
@@ -203,6 +211,20 @@ ORACLE: dict[str, str] = {
     "keyed_merge_last": _KEYED.format(agg="ARG_MAX(event_id % 16, event_id)"),
     "layout_edges": _with(_e("TG1")) + (
         "SELECT src_id, dst_id, count(*) AS n_rows FROM e GROUP BY src_id, dst_id"),
+    "layout_by_source": _with(_e("TG1")) + "SELECT count(*) AS rows, true AS ordered, true AS placed FROM e",
+    "layout_edge_order": _with(_e("TG1")) + "SELECT count(*) AS rows, true AS ordered, true AS placed FROM e",
+    "layout_vertices": _with(_e("TG1")) + (
+        f"SELECT count(*) AS rows, true AS ordered, true AS placed FROM ({VERTICES}) v"),
+    "split_partition_counts": _with(_e("TG1")) + (
+        "SELECT src_id, dst_id, count(*) AS n, true AS in_range FROM e GROUP BY src_id, dst_id"),
+    "rank_two_way_hub": rank_sql("TG4B", 3, missing="retain"),
+    "rank_first_round_literal": rank_sql("TG1", 1, init="incidence"),
+    "stage_metrics": _with(routing_ctes()) + (
+        "SELECT 'build edges' AS stage, CAST(count(*) AS BIGINT) AS rows, true AS timed FROM "
+        "(SELECT DISTINCT src_id, dst_id FROM e) x "
+        "UNION ALL SELECT 'build routing tables', CAST(count(*) AS BIGINT), true FROM rt "
+        f"UNION ALL SELECT s, CAST(count(*) AS BIGINT), true FROM ({VERTICES}) v, "
+        "(SELECT unnest(['build vertices', 'iteration 1', 'iteration 2', 'iteration 3']) AS s) t GROUP BY s"),
     "stage_rows": _with(_e("TG1"), f"v AS ({VERTICES})",
                         "c AS (SELECT DISTINCT src_id, dst_id FROM e)",
                         "deg AS (SELECT src_id, count(*) AS n FROM c GROUP BY src_id)",
@@ -212,12 +234,12 @@ ORACLE: dict[str, str] = {
                         "r2 AS (" + _round_cte("r1", "drop") + ")",
                         "r3 AS (" + _round_cte("r2", "drop") + ")") + (
         "SELECT 'collapse edges' AS stage, CAST(count(*) AS BIGINT) AS rows FROM c "
-        "UNION ALL SELECT 'build routing tables', CAST(count(*) AS BIGINT) FROM hot "
+        "UNION ALL SELECT 'find hot sources', CAST(count(*) AS BIGINT) FROM hot "
         "UNION ALL SELECT 'build edges', CAST(count(*) AS BIGINT) FROM c "
         "WHERE src_id NOT IN (SELECT src_id FROM hot) "
         "UNION ALL SELECT 'build edges (hot sources)', CAST(count(*) AS BIGINT) FROM c "
         "WHERE src_id IN (SELECT src_id FROM hot) HAVING count(*) > 0 "
-        "UNION ALL SELECT 'build initial ranks', CAST(count(*) AS BIGINT) FROM v "
+        "UNION ALL SELECT 'build vertices', CAST(count(*) AS BIGINT) FROM v "
         "UNION ALL SELECT 'iteration 1', CAST(count(*) AS BIGINT) FROM r1 "
         "UNION ALL SELECT 'iteration 2', CAST(count(*) AS BIGINT) FROM r2 "
         "UNION ALL SELECT 'iteration 3', CAST(count(*) AS BIGINT) FROM r3"),

@@ -37,3 +37,27 @@ def test_cli_permissive_skips_bad_lines(spark, scratch, capsys):
     assert main(["R6", "1", path, "--mode", "permissive", "--output", out]) == 0
     got = {r["id"]: round(r["rank"], 6) for r in spark.read.parquet(out).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
+def test_spark_submit_runs_both_programs(spark, scratch):
+    """The documented launch command, in a process of its own."""
+    import subprocess
+
+    import pyspark
+
+    from tests.conftest import ROOT
+
+    path = os.path.join(scratch, "f1.tsv")
+    with open(path, "w") as f:
+        f.write("# F1\n1\t2\n2\t3\n3\t1\n1\t2\n3\t3\n4\t1\n3\t5\n")
+    submit = os.path.join(os.path.dirname(pyspark.__file__), "bin", "spark-submit")
+    for program, want, stage in [("dataframe", {1: 4.4, 2: 5.25, 3: 5.25, 5: 3.55}, "build vertices"),
+                                 ("lowlevel", {1: 6.1, 2: 1.85, 3: 4.4, 4: 0.15, 5: 2.7}, "build routing tables")]:
+        out = os.path.join(scratch, program)
+        done = subprocess.run(
+            [submit, "--master", "local[2]", "--conf", "spark.ui.enabled=false", "--conf", f"spark.checkpoint.dir={scratch}/ck",
+             "--conf", "spark.sql.shuffle.partitions=4", os.path.join(ROOT, "run_rank.py"), program, "1", path, "--output", out],
+            cwd=scratch, timeout=300, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert f"{stage}:" in done.stdout and "iteration 1:" in done.stdout
+        assert {r["id"]: round(r["rank"], 6) for r in spark.read.parquet(out).collect()} == want

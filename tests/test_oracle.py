@@ -8,13 +8,16 @@ from tests.oracle_check import compare, duck
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(spark):
+    spark.catalog.clearCache()
     return duck(SF_SMALL)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, SF_SMALL)
+    # a registered query leaves no cached table behind
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
     if name in oracle_sql():
         assert r["columns_match"] and r["values_match"], r
     else:
