@@ -35,7 +35,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
-            OR 2 * n_dup_lines > n_lines OR 10 * letterless > 3 * n_words OR n_upper > n_lower
+            OR 2 * n_dup_lines > n_lines OR (n_words >= 20 AND 10 * letterless > 4 * n_words) OR n_upper > n_lower
             OR word_chars < 2 * n_words OR word_chars > 12 * n_words) AS kept
 FROM m
 """

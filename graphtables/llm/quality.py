@@ -118,7 +118,8 @@ def default_rules() -> dict[str, Rule]:
         "repeated_windows": lambda m: 100 * m.n_repeat_words > 20 * m.n_words,
         "symbols": lambda m: 10 * m.n_symbols > 3 * m.n_words,
         "repeated_lines": lambda m: 2 * m.n_dup_lines > len(m.lines),
-        "letterless_words": lambda m: 10 * m.n_letterless > 3 * m.n_words,
+        # numbers of all sorts make up much of a short clean text
+        "letterless_words": lambda m: m.n_words >= 20 and 10 * m.n_letterless > 4 * m.n_words,
         "capitals": lambda m: m.case_counts[0] > m.case_counts[1],
         "word_length": lambda m: not 2 * m.n_words <= m.word_chars <= 12 * m.n_words,
     }

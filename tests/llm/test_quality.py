@@ -25,7 +25,7 @@ def plain(text):
     base = n < 10 or 100 * len(covered) > 20 * n
     bare = sum(not any("a" <= c <= "z" or "A" <= c <= "Z" or c >= "\x80" for c in w) for w in ws)
     upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
-    kept = not (base or 10 * symbols > 3 * n or 2 * dup > len(lines) or 10 * bare > 3 * n or upper > lower
+    kept = not (base or 10 * symbols > 3 * n or 2 * dup > len(lines) or n >= 20 and 10 * bare > 4 * n or upper > lower
                 or not 2 * n <= chars <= 12 * n)
     return n, chars, symbols, dup, len(covered), base, kept
 
