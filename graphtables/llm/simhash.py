@@ -9,7 +9,8 @@ in some segment (4 < 2 * 3). Each segment is indexed once per bit of it, with th
 wiped out (its *one-wildcard variants*, 64 in all), so that such a pair meets under an equal
 key. The equality join verifies the whole distance and lets a pair pass only under the
 first key it shares, so each link comes out once. Equal fingerprints are one row of the
-join, whatever number of documents has them.
+join, whatever number of documents has them; a fingerprint has at most 679,120 others
+within 4 bits, so not even a cloud of near copies grows with the corpus beyond that.
 
 Components. Links are contracted by alternating large-star and small-star steps; no
 group is ever collected.
@@ -22,7 +23,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphtables._workers import ship_with_tasks
-from graphtables.llm.common import texts, written
+from graphtables.llm.common import bounded, texts, written
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -39,8 +40,10 @@ MAX_DISTANCE = 4
 BITS = 64
 #: shingles hashed at a time
 CHUNK = 1 << 16
-#: rows to drop that are broadcast; more are joined by shuffle
-BROADCAST_DROPS = 1_000_000
+#: fingerprints under one key beyond which the key is refined
+LARGE_BUCKET = 2000
+#: rows of a filter that are broadcast; more are joined by shuffle
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -74,48 +77,81 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return source.mapInArrow(run, schema)
 
 
-def segments(max_distance: int = MAX_DISTANCE) -> list[tuple[int, int]]:
-    """(lowest bit, width): so many that one of them differs by at most one bit; of 32 bits at most."""
-    parts = max(2, max_distance // 2 + 1)
-    edges = [BITS * i // parts for i in range(parts + 1)]
+def segments(max_distance: int = MAX_DISTANCE, bits: int = BITS) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the parts of ``bits`` bits: so many that one of them differs by at most
+    one bit; of 32 bits at most."""
+    parts = max(-(-bits // 32), max_distance // 2 + 1)
+    edges = [bits * i // parts for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _segment(fp: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def _segment(value: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _variant(number: int, wiped: Column, width: int) -> Column:
-    """A key that no other variant number gives; ``number`` is (segment, wildcard) in one."""
-    return F.lit(number << 32).cast("long").bitwiseOR(wiped)
-
-
-def variants(fp: Column, max_distance: int = MAX_DISTANCE) -> Column:
-    """The keys of all one-wildcard segment variants. A variant's number is its wildcard bit."""
+def variants(value: Column, parts: list[tuple[int, int]]) -> Column:
+    """The keys of all one-wildcard variants of the parts of a value: the wildcard's bit number
+    above 32 bits of the part with that bit wiped out."""
     return F.array(*(
-        _variant(at + j, _segment(fp, at, width).bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << j)).cast("long")), width)
-        for at, width in segments(max_distance) for j in range(width)))
+        F.lit((at + j) << 32).cast("long").bitwiseOR(
+            _segment(value, at, width).bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << j)).cast("long")))
+        for at, width in parts for j in range(width)))
 
 
-def first_shared(difference: Column, max_distance: int = MAX_DISTANCE) -> Column:
-    """The number of the first variant under which two fingerprints of this XOR meet."""
+def first_shared(difference: Column, parts: list[tuple[int, int]]) -> Column:
+    """The wildcard's bit number of the first variant under which two values of this XOR meet."""
     out = F.lit(None).cast("long")
-    for at, width in reversed(segments(max_distance)):
+    for at, width in reversed(parts):
         d = _segment(difference, at, width)
         lone = F.bit_count(d.bitwiseAND(-d) - 1)        # the position of its only bit
         out = F.when(F.bit_count(d) <= 1, F.when(d == 0, F.lit(at)).otherwise(lone + at).cast("long")).otherwise(out)
     return out
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b), a < b: every pair of different fingerprints of column ``fp`` at ``max_distance`` or less, once."""
-    keyed = fps.select("fp").distinct().select("fp", F.explode(variants(F.col("fp"), max_distance)).alias("key"))
-    a = keyed.select(F.col("fp").alias("a"), "key")
-    b = keyed.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
+def _without(value: Column, at: int, width: int) -> Column:
+    """The other bits of a value, moved together."""
+    low = value.bitwiseAND(F.lit((1 << at) - 1).cast("long"))
+    if at + width == BITS:
+        return low
+    return low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, at + width), at))
+
+
+def _by_part(number: Column, parts: list[tuple[int, int]], value: Callable[[int, int], Column]) -> Column:
+    """``value`` of the part that a wildcard's bit number lies in."""
+    out = None
+    for at, width in parts:
+        inside = number < at + width
+        out = F.when(inside, value(at, width)) if out is None else out.when(inside, value(at, width))
+    return out
+
+
+def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """(a, b), a < b: every pair of different fingerprints of column ``fp`` at ``max_distance`` or less, once.
+
+    Fingerprints under a key with more than ``large_bucket`` of them (many millions fill
+    buckets by chance) meet only if the bits outside the key's segment agree in a variant as
+    well; those differ by ``max_distance`` at most, so no link is lost.
+    """
+    parts = segments(max_distance)
+    rest = {p: segments(max_distance, BITS - p[1]) for p in parts}
+    number = F.shiftright("key", 32)
+    keyed = fps.select("fp").distinct().select("fp", F.explode(variants(F.col("fp"), parts)).alias("key"))
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket).select("key"),
+                    "simhash-large")
+    if large.isEmpty():
+        keyed = keyed.withColumn("sub", F.lit(-1).cast("long"))
+    else:
+        large = bounded(large, BROADCAST_ROWS)
+        within = _by_part(number, parts, lambda at, width: variants(_without(F.col("fp"), at, width), rest[at, width]))
+        keyed = keyed.join(large, "key", "left_anti").withColumn("sub", F.lit(-1).cast("long")).unionByName(
+            keyed.join(large, "key", "left_semi").select("fp", "key", F.explode(within).alias("sub")))
+    a = keyed.select(F.col("fp").alias("a"), "key", "sub")
+    b = keyed.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), F.col("sub").alias("sub_b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
-                  & (F.bit_count(apart) <= max_distance)
-                  & (F.shiftright("key", 32) == first_shared(apart, max_distance))).select("a", "b")
+    first_sub = _by_part(number, parts, lambda at, width: first_shared(_without(apart, at, width), rest[at, width]))
+    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("sub") == F.col("sub_b")) & (F.col("a") < F.col("b"))
+                  & (F.bit_count(apart) <= max_distance) & (number == first_shared(apart, parts))
+                  & ((F.col("sub") < 0) | (F.shiftright("sub", 32) == first_sub))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,9 +216,7 @@ def keep_one(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
                                      F.col("row__").alias("row")).alias("rank"), F.col(text).alias("text"))
     classes = near_duplicates(keyed, "rank", "text", shingle_words, max_distance)
     drops = written(classes.where("id != component").select(F.col("id.row").alias("row__")), "simhash-drops")
-    if drops.count() <= BROADCAST_DROPS:
-        drops = F.broadcast(drops)
-    return numbered.join(drops, "row__", "left_anti").drop("row__")
+    return numbered.join(bounded(drops, BROADCAST_ROWS), "row__", "left_anti").drop("row__")
 
 
 ship_with_tasks(__name__)

@@ -52,8 +52,9 @@ def test_near_duplicates_by_brute_force(spark):
     assert bag(got) == bag(expected)
 
 
-@pytest.mark.parametrize("distance", [1, 3, 4, 6])
-def test_links_are_all_pairs_once(spark, distance):
+@pytest.mark.parametrize("distance,large", [(1, 2000), (3, 2000), (4, 2000), (6, 2000), (4, 0), (4, 3), (3, 1), (5, 0)])
+def test_links_are_all_pairs_once(spark, distance, large):
+    """With ``large`` small, many or all keys are refined."""
     rng = np.random.default_rng(distance)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = set(base)
@@ -65,7 +66,7 @@ def test_links_are_all_pairs_once(spark, distance):
             fps.add(g)
     fps = sorted(signed(f) for f in fps)
     table = spark.createDataFrame([(f,) for f in fps + fps[:5]], "fp long")
-    got = [tuple(r) for r in simhash.links(table, distance).collect()]
+    got = [tuple(r) for r in simhash.links(table, distance, large).collect()]
     expected = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1:]
                 if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
     assert bag(got) == bag(expected) and len(expected) > 10
