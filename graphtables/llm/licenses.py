@@ -86,11 +86,13 @@ def own_licenses(found: DataFrame, texts: DataFrame) -> DataFrame:
     in_templates = templates.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy(
         "template", "license", "term").agg(F.count(F.lit(1)).alias("tf_t"))
     vocabulary = in_units.select("term").unionAll(in_templates.select("term")).distinct()
-    vocabulary = bounded(written(vocabulary, "license-terms"), BROADCAST_ROWS)
+    vocabulary = written(vocabulary, "license-terms")
 
     total = F.lit(float(texts.count()))
-    df = (texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-          .join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    words = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    if vocabulary.count() <= BROADCAST_ROWS:        # else all words are counted, and joined as counts
+        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = written(vocabulary.join(df, "term", "left").select(
         "term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1).alias("idf")),
         "license-idf")
