@@ -40,6 +40,16 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
+def pack_words(words: list[str]) -> bytes:
+    """Words without line breaks as compressed bytes."""
+    return zstandard.ZstdCompressor(level=1).compress("\n".join(words).encode())
+
+
+def unpack_words(data: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(data).decode()
+    return text.split("\n") if text else []
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -17,6 +17,7 @@ one by one; extra columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphtables._workers import ship_with_tasks
-from graphtables.llm.common import texts, written
+from graphtables.llm.common import pack, pack_words, texts, unpack, unpack_words, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: bytes of text of a block
@@ -55,13 +56,35 @@ class PreTokens:
             raise ValueError("only plain special strings are known here")
         by_length = sorted((t.content for t in added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
+        self._plain(json.loads(definition)["pre_tokenizer"])
+
+    def _plain(self, pre_tokenizer: dict) -> None:
+        """Prepares ``split`` for chunks of plain characters, ASCII and Latin letters with marks: of
+        each, the library says once how it normalises and how it spells its bytes. They do
+        not combine with one another, so a chunk of them is normalised by character."""
+        import regex
+
+        split = next((x for x in pre_tokenizer.get("pretokenizers", [pre_tokenizer]) if x["type"] == "Split"), None)
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if split else None
+        self.normal: dict[int, str] = {}
+        self.spelled: dict[int, str] = {}
+        for c in map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x180))):
+            n = self.tokenizer.normalizer.normalize_str(c)
+            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(n)]
+            if self.pattern and len(n) == 1 and len(pieces) == 1 and self.pattern.findall(n) == [n]:
+                self.normal[ord(c)], self.spelled[ord(n)] = n, pieces[0]
+        plain = "".join(map(chr, self.normal))
+        self.only_plain = re.compile(f"[{re.escape(plain)}]+").fullmatch if plain else (lambda text: None)
 
     def split(self, chunk: bytes) -> list[str]:
         """The pre-tokens of a chunk without ASCII white space."""
         if chunk.isalpha():                 # ASCII letters only: one lower-case pre-token
             return [chunk.lower().decode()]
         out: list[str] = []
-        parts = self.special.split(chunk.decode()) if self.special else [chunk.decode()]
+        text = chunk.decode()
+        if self.only_plain(text) and not (self.special and self.special.search(text)):
+            return [p.translate(self.spelled) for p in self.pattern.findall(text.translate(self.normal))]
+        parts = self.special.split(text) if self.special else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(_SPECIAL + part)
@@ -104,15 +127,17 @@ def frequencies(documents: list[bytes | None], pre: PreTokens) -> tuple[list[str
 
 
 def blocks(docs: DataFrame, definition: str, id_col: str, text: str, block_bytes: int) -> DataFrame:
-    """A row per block: ids and n_bytes of its texts, entries per text, tokens (differences of
-    the ascending pre-token numbers of a text), times, and the block's pre_tokens."""
+    """A row per block: ids and n_bytes of its texts, entries per text, packed tokens (differences
+    of the ascending pre-token numbers of a text) and times, and the block's pre_tokens and
+    their number."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(source.schema[0].dataType)),
-        T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("entries", ints),
-        T.StructField("tokens", ints), T.StructField("times", ints),
-        T.StructField("pre_tokens", T.ArrayType(T.StringType()))])
+        T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("entries", T.ArrayType(T.IntegerType())),
+        T.StructField("tokens", T.BinaryType()), T.StructField("times", T.BinaryType()),
+        T.StructField("pre_tokens", T.BinaryType()), T.StructField("n_pre_tokens", T.LongType())])
+
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, first, made = PreTokens(definition), TaskContext.get().partitionId() << 32, 0
@@ -126,14 +151,14 @@ def blocks(docs: DataFrame, definition: str, id_col: str, text: str, block_bytes
             steps = np.diff(tokens, prepend=0)
             begins = (ends - entries)[entries > 0]
             steps[begins] = tokens[begins]
-            row = [first + made, ids, [len(t or b"") for t in held], entries, steps, times, words]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v if np.isscalar(v) else list(v)], kind) for v, kind in zip(row, arrow)], names=schema.names)
+            row = [first + made, ids, [len(t or b"") for t in held], entries.tolist(), pack(steps), pack(times),
+                   pack_words(words), len(words)]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, arrow)], names=names)
 
         arrow = None
         for batch in batches:
-            arrow = arrow or [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3,
-                              pa.list_(pa.string())]
+            arrow = arrow or [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int64()), pa.list_(pa.int32()),
+                              *[pa.binary()] * 3, pa.int64()]
             for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 if held and size + len(t or b"") > block_bytes:
                     yield block()
@@ -150,36 +175,36 @@ def blocks(docs: DataFrame, definition: str, id_col: str, text: str, block_bytes
 
 def piece_counts(found: DataFrame, definition: str, group_entries: int) -> DataFrame:
     """(block, numbers, pieces): of every block, the pieces of each pre-token, in parts."""
-    total = found.select(F.sum(F.size("pre_tokens"))).first()[0] or 0
+    total = found.select(F.sum("n_pre_tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / group_entries))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words.as_py()
+                words = unpack_words(words.as_py())
                 part = np.fromiter((zlib.crc32(w.encode()) % groups for w in words), np.int64, len(words))
                 order = np.argsort(part, kind="stable")
                 for p, numbers in zip(*_runs(part[order], order)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int64()), pa.array([b], pa.int64()), pa.array([numbers.tolist()], pa.list_(pa.int32())),
-                         pa.array([[words[k] for k in numbers.tolist()]], pa.list_(pa.string()))],
+                        [pa.array([p], pa.int64()), pa.array([b], pa.int64()), pa.array([pack(np.diff(numbers, prepend=0))]),
+                         pa.array([pack_words([words[k] for k in numbers.tolist()])])],
                         names=["part", "block", "numbers", "words"])
 
     def count_once(table: pa.Table) -> pa.Table:
         pre, known, pieces = PreTokens(definition), {}, []
         for row in table["words"]:
             out = []
-            for w in row.as_py():
+            for w in unpack_words(row.as_py()):
                 n = known.get(w)
                 if n is None:
                     n = known[w] = pre.pieces(w)
                 out.append(n)
-            pieces.append(out)
-        return pa.table({"block": table["block"], "numbers": table["numbers"], "pieces": pa.array(pieces, pa.list_(pa.int32()))})
+            pieces.append(pack(np.array(out, np.int64)))
+        return pa.table({"block": table["block"], "numbers": table["numbers"], "pieces": pa.array(pieces, pa.binary())})
 
     dealt = found.select("block", "pre_tokens").mapInArrow(
-        deal, "part long, block long, numbers array<int>, words array<string>")
-    return dealt.groupBy("part").applyInArrow(count_once, "block long, numbers array<int>, pieces array<int>")
+        deal, "part long, block long, numbers binary, words binary")
+    return dealt.groupBy("part").applyInArrow(count_once, "block long, numbers binary, pieces binary")
 
 
 def _runs(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -199,11 +224,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(block: pa.Table, parts: pa.Table) -> pa.Table:
-        numbers = parts["numbers"].combine_chunks().flatten().to_numpy()
-        pieces = np.zeros(len(numbers), np.int64)
-        pieces[numbers] = parts["pieces"].combine_chunks().flatten().to_numpy()
-        flat = {c: block[c].combine_chunks().flatten() for c in ("ids", "n_bytes", "entries", "tokens", "times")}
-        entries, steps, times = (flat[c].to_numpy() for c in ("entries", "tokens", "times"))
+        pieces = np.zeros(block["n_pre_tokens"][0].as_py(), np.int64)
+        for numbers, n in zip(parts["numbers"], parts["pieces"]):
+            pieces[np.cumsum(unpack(numbers.as_py()))] = unpack(n.as_py())
+        flat = {c: block[c].combine_chunks().flatten() for c in ("ids", "n_bytes", "entries")}
+        entries = flat["entries"].to_numpy()
+        steps, times = unpack(block["tokens"][0].as_py()), unpack(block["times"][0].as_py())
         owner = np.repeat(np.arange(len(entries)), entries)
         run = np.cumsum(steps, dtype=np.int64)
         begins = np.cumsum(entries) - entries
