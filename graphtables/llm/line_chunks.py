@@ -93,9 +93,11 @@ def remove_repeated(docs: DataFrame, order_by: str = "doc_id", text: str = "text
     row, gone, cut = (free_name(docs, x) for x in ("row__", "gone__", "cut__"))
     numbered = docs.select("*", F.monotonically_increasing_id().alias(row))
     removed = repeated_chunks(numbered, order_by, text, row, window, divisor, min_lines, broadcast_rows)
-    removed = written(removed.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "chunk-removals")
-    removed = bounded(removed, broadcast_rows).select(F.col("row").alias(row), F.col("gone").alias(gone))
-    joined = numbered.join(removed, row, "left")
+    removed = written(removed, "chunk-removals")
+    by_row = removed.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
+    if removed.count() <= broadcast_rows:       # counted in positions, so the arrays are bounded as well
+        by_row = F.broadcast(by_row)
+    joined = numbered.join(by_row, row, "left")
     joined = joined.withColumn(cut, F.when(F.col(gone).isNotNull(), chunks(F.col(text).cast("string"), True, window, divisor)))
     kept = F.filter(cut, lambda c, k: ~F.array_contains(gone, k))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(
