@@ -99,8 +99,8 @@ def remove_repeated(docs: DataFrame, order_by: str = "doc_id", text: str = "text
         by_row = F.broadcast(by_row)
     joined = numbered.join(by_row, row, "left")
     joined = joined.withColumn(cut, F.when(F.col(gone).isNotNull(), chunks(F.col(text).cast("string"), True, window, divisor)))
-    kept = F.filter(cut, lambda c, k: ~F.array_contains(gone, k))
-    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))      # by hash, in order
+    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(let(F.col(cut), lambda all_: F.array_join(
+        F.transform(kept, lambda k: F.get(all_, k)["text"]), "\n")))
     return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns),
                          F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(free_name(docs, "n_removed")))
