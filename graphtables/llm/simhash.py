@@ -135,7 +135,10 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket: int =
     parts = segments(max_distance)
     rest = {p: segments(max_distance, BITS - p[1]) for p in parts}
     number = F.shiftright("key", 32)
-    keyed = fps.select("fp").distinct().select("fp", F.explode(variants(F.col("fp"), parts)).alias("key"))
+    # spread before the explode, which makes 64 rows of one: Spark sizes tasks and joins by what goes in
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.select("fp").distinct().repartition(tasks, "fp").select(
+        "fp", F.explode(variants(F.col("fp"), parts)).alias("key"))
     large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket).select("key"),
                     "simhash-large")
     if large.isEmpty():
@@ -145,11 +148,11 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket: int =
         within = _by_part(number, parts, lambda at, width: variants(_without(F.col("fp"), at, width), rest[at, width]))
         keyed = keyed.join(large, "key", "left_anti").withColumn("sub", F.lit(-1).cast("long")).unionByName(
             keyed.join(large, "key", "left_semi").select("fp", "key", F.explode(within).alias("sub")))
-    a = keyed.select(F.col("fp").alias("a"), "key", "sub")
+    a = keyed.select(F.col("fp").alias("a"), "key", "sub").hint("merge")       # never a broadcast of one side
     b = keyed.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), F.col("sub").alias("sub_b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
     first_sub = _by_part(number, parts, lambda at, width: first_shared(_without(apart, at, width), rest[at, width]))
-    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("sub") == F.col("sub_b")) & (F.col("a") < F.col("b"))
+    return a.join(b.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("sub") == F.col("sub_b")) & (F.col("a") < F.col("b"))
                   & (F.bit_count(apart) <= max_distance) & (number == first_shared(apart, parts))
                   & ((F.col("sub") < 0) | (F.shiftright("sub", 32) == first_sub))).select("a", "b")
 
