@@ -51,7 +51,7 @@ END = b"\n"
 #: the id of the start, which only is an h; words count from 1
 START_ID = 0
 
-_WORDS = "block long, part long, ids_ binary, counts binary, words array<binary>, hist array<long>"
+_WORDS = "block long, part long, numbers binary, ids_ binary, counts binary, words array<binary>, hist array<long>"
 _PAIRS = ("block long, part long, h binary, runs binary, w binary, counts binary, lower binary, few binary, "
           "hist array<long>")
 
@@ -113,13 +113,13 @@ def _batch(rows: list[tuple], schema: str) -> pa.Table:
 
 def blocks(docs: DataFrame, id_col: str, text: str, train: Column, block_bytes: int) -> DataFrame:
     """A row per block: ids, train, lengths (in tokens) of its texts, their words as numbers of
-    the block (seq) and the words; END is number 0."""
+    the block (seq), the words and their number; END is word 0."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), train.alias("train"))
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("part", T.LongType()),
         T.StructField("ids", T.ArrayType(source.schema[0].dataType)), T.StructField("train", T.ArrayType(T.BooleanType())),
         T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("seq", T.BinaryType()),
-        T.StructField("words", T.ArrayType(T.BinaryType()))])
+        T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("n_words", T.LongType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +129,9 @@ def blocks(docs: DataFrame, id_col: str, text: str, train: Column, block_bytes:
         number_of[END]
 
         def block() -> pa.RecordBatch:
-            row = [first + made, -1, ids, train_, lengths, pack(np.concatenate(seqs)), list(number_of)]
+            row = [first + made, -1, ids, train_, lengths, pack(np.concatenate(seqs)), list(number_of), len(number_of)]
             kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
-                     pa.list_(pa.binary())]
+                     pa.list_(pa.binary()), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
@@ -159,7 +159,7 @@ class Block:
     number after the last word's stands for the start), trained and text (of each token)."""
 
     def __init__(self, row: dict):
-        self.ids, self.words = row["ids"], row["words"]
+        self.ids, self.n_words = row["ids"], row["n_words"]
         lengths = np.array(row["lengths"], np.int64)
         self.train = np.array(row["train"], bool)
         self.seq = unpack(row["seq"])
@@ -167,11 +167,11 @@ class Block:
         self.trained = self.train[self.text]
         self.before = np.empty_like(self.seq)
         self.before[1:] = self.seq[:-1]
-        self.before[np.cumsum(lengths) - lengths] = len(self.words)
+        self.before[np.cumsum(lengths) - lengths] = self.n_words
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(h, w, pair number of each token) of the distinct pairs in ascending order."""
-        width = len(self.words)
+        width = self.n_words
         key, of = np.unique(self.before * width + self.seq, return_inverse=True)
         return key // width, key % width, of
 
@@ -193,25 +193,26 @@ def parts_of_pairs(h_ids: np.ndarray, w_ids: np.ndarray, hot: np.ndarray, parts:
 
 # ---- words ------------------------------------------------------------------------------------
 
-def word_table(found: DataFrame, part_words: int) -> tuple[DataFrame, int]:
-    """Per part a row of its words, ids and counts (block -1), and per block and part the ids
-    and counts of the block's words there, in the order of the block."""
-    total = found.select(F.sum(F.size("words"))).first()[0] or 0
+def word_table(found: DataFrame, part_words: int) -> DataFrame:
+    """Per part a row of its words, ids and counts (block -1), and per block and part the numbers
+    (differences), ids and counts of the block's words there."""
+    total = found.select(F.sum("n_words")).first()[0] or 0
     parts = max(1, math.ceil(total / part_words))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row | {"ids": []})
-                counts = np.bincount(b.seq[b.trained], minlength=len(b.words))
-                part = parts_of_words(b.words, parts)
+                b, words = Block(row | {"ids": []}), row["words"]
+                counts = np.bincount(b.seq[b.trained], minlength=b.n_words)
+                part = parts_of_words(words, parts)
                 for p in np.unique(part).tolist():
                     at = np.flatnonzero(part == p)
-                    table = _batch([(row["block"], p, None, pack(counts[at]), [b.words[k] for k in at.tolist()], None)], _WORDS)
+                    table = _batch([(row["block"], p, pack(np.diff(at, prepend=0)), None, pack(counts[at]),
+                                     [words[k] for k in at.tolist()], None)], _WORDS)
                     yield from table.to_batches()
 
     def add_up(group: pa.Table) -> pa.Table:
-        rows = group.select(["block", "part", "counts", "words"]).to_pylist()
+        rows = group.select(["block", "part", "numbers", "counts", "words"]).to_pylist()
         p, number_of = rows[0]["part"], numbering()
         numbers = [np.fromiter(map(number_of.__getitem__, r["words"]), np.int64, len(r["words"])) for r in rows]
         counts = np.zeros(len(number_of), np.int64)
@@ -221,12 +222,12 @@ def word_table(found: DataFrame, part_words: int) -> tuple[DataFrame, int]:
         order = np.array(sorted(range(len(words)), key=lambda k: (-counts[k], words[k])), np.int64)
         ids = np.empty(len(words), np.int64)            # frequent words have low ids
         ids[order] = 1 + p + parts * np.arange(len(words))
-        out = [(r["block"], p, pack(ids[n]), pack(counts[n]), None, None) for r, n in zip(rows, numbers)]
-        out.append((-1, p, pack(ids[order]), pack(counts[order]), [words[k] for k in order.tolist()], histogram(counts)))
+        out = [(r["block"], p, r["numbers"], pack(ids[n]), pack(counts[n]), None, None) for r, n in zip(rows, numbers)]
+        out.append((-1, p, None, pack(ids[order]), pack(counts[order]), [words[k] for k in order.tolist()], histogram(counts)))
         return _batch(out, _WORDS)
 
-    dealt = found.select("block", "seq", "lengths", "train", "words").mapInArrow(deal, _WORDS)
-    return written(dealt.groupBy("part").applyInArrow(add_up, _WORDS), "katz-words"), parts
+    dealt = found.select("block", "seq", "lengths", "train", "words", "n_words").mapInArrow(deal, _WORDS)
+    return written(dealt.groupBy("part").applyInArrow(add_up, _WORDS), "katz-words")
 
 
 def _histogram_sum(table: DataFrame) -> list[int]:
@@ -246,17 +247,15 @@ def totals(words: DataFrame, train_texts: int) -> Totals:
 class KnownBlock(Block):
     """A block with the id and count of each of its words (and, after those, of the start)."""
 
-    def __init__(self, group: pa.Table, t: Totals, word_parts: int):
+    def __init__(self, group: pa.Table, t: Totals):
         rows = group.to_pylist()
         super().__init__(next(r for r in rows if r["seq"] is not None))
         self.number = rows[0]["block"]
-        n = len(self.words)
-        self.id = np.full(n + 1, START_ID, np.int64)
-        self.count = np.full(n + 1, t.texts, np.int64)
-        part = parts_of_words(self.words, word_parts)
+        self.id = np.full(self.n_words + 1, START_ID, np.int64)
+        self.count = np.full(self.n_words + 1, t.texts, np.int64)
         for r in rows:
             if r["ids_"] is not None:
-                at = np.flatnonzero(part == r["part"])
+                at = np.cumsum(unpack(r["numbers"]))
                 self.id[at], self.count[at] = unpack(r["ids_"]), unpack(r["counts"])
         self.returned = [r for r in rows if r["lower"] is not None]
 
@@ -271,12 +270,11 @@ class KnownBlock(Block):
             yield p, at, heads, runs
 
 
-def pair_table(found: DataFrame, words: DataFrame, word_parts: int, t: Totals, part_tokens: int,
-               parts: int) -> DataFrame:
+def pair_table(known: DataFrame, t: Totals, part_tokens: int, parts: int) -> DataFrame:
     """Per part a row of its pairs and counts (block -1), per block and part the counts of the
     block's pairs there with the sums of their h, and rows of the sums of frequent h (block -2)."""
     def deal(group: pa.Table) -> pa.Table:
-        b = KnownBlock(group, t, word_parts)
+        b = KnownBlock(group, t)
         h, w, of = b.pairs()
         n = np.bincount(of[b.trained], minlength=len(h))
         return _batch([(b.number, p, pack(b.id[heads]), pack(runs), pack(b.id[w[at]]), pack(n[at]), pack(b.count[w[at]]), None, None)
@@ -309,8 +307,7 @@ def pair_table(found: DataFrame, words: DataFrame, word_parts: int, t: Totals, p
                     pack(n[seen]), mass.tobytes(), pack(few.T.ravel()), histogram(n)))
         return _batch(out, _PAIRS)
 
-    both = found.unionByName(words.where("block >= 0").drop("words", "hist"), allowMissingColumns=True)
-    both = both.select("*", F.lit(None).cast("binary").alias("lower"))
+    both = known.select("*", F.lit(None).cast("binary").alias("lower"))
     return written(both.groupBy("block").applyInArrow(deal, _PAIRS).groupBy("part").applyInArrow(add_up, _PAIRS), "katz-pairs")
 
 
@@ -352,10 +349,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: Co
     sums = found.select(F.sum(F.size(F.filter("train", lambda x: x))), F.sum(
         F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     train_texts, tokens = int(sums[0] or 0), int(sums[1] or 0)
-    words, word_parts = word_table(found, part_words)
+    words = word_table(found, part_words)
     t = totals(words, train_texts)
     parts = max(1, math.ceil(tokens / part_tokens))
-    pairs = pair_table(found, words, word_parts, t, part_tokens, parts)
+    # the blocks and, by block, what is known of their words; the words themselves travel no more
+    known = found.drop("words").unionByName(words.where("block >= 0").drop("words", "hist"), allowMissingColumns=True)
+    pairs = pair_table(known, t, part_tokens, parts)
     d = good_turing(_histogram_sum(pairs)[:K + 1])
     frequent = frequent_sums(pairs, words, t, part_tokens)
     id_type = found.schema["ids"].dataType.elementType
@@ -364,11 +363,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: Co
                            *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
 
     def evaluate(group: pa.Table) -> pa.Table:
-        b = KnownBlock(group, t, word_parts)
+        b = KnownBlock(group, t)
         h, w, of = b.pairs()
         n = np.zeros(len(h), np.int64)
-        mass = np.zeros(len(b.words) + 1)
-        few = np.zeros((K, len(b.words) + 1), np.int64)
+        mass = np.zeros(b.n_words + 1)
+        few = np.zeros((K, b.n_words + 1), np.int64)
         by_part = {r["part"]: r for r in b.returned}
         for p, at, heads, _ in b.dealt(parts, part_tokens):
             r = by_part[p]
@@ -392,8 +391,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: Co
             "base_score": np.bincount(b.text, weights=base[b.seq], minlength=texts_),
             "score": np.bincount(b.text, weights=np.log10(p)[of], minlength=texts_)})
 
-    rows = (found.unionByName(words.where("block >= 0").drop("words", "hist"), allowMissingColumns=True)
-            .unionByName(pairs.where("block >= 0").select("block", "part", F.col("counts"), "lower", "few"), allowMissingColumns=True))
+    rows = known.unionByName(pairs.where("block >= 0").select("block", "part", "counts", "lower", "few"), allowMissingColumns=True)
     return rows.groupBy("block").applyInArrow(evaluate, schema)
 
 
