@@ -89,8 +89,8 @@ def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every document without repeated multi-line chunks: sizes, number removed, digest of the rest."""
-    kept = line_chunks.remove_repeated(table(spark, d, "documents").select("doc_id", "text"))
+    """Every document without repeated runs of lines: sizes, number of lines removed, digest of the rest."""
+    kept = line_chunks.remove_runs(table(spark, d, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 

@@ -12,6 +12,13 @@ different chunks of equal hashes stay. All of it is DataFrame expressions. The s
 filter texts (repeated hashes, chunks to remove) are broadcast up to a counted number of
 rows and joined by shuffle beyond it.
 
+A chunk is removed only if it is shared whole, so :func:`remove_repeated` leaves what a shared
+passage has outside its inner boundaries. :func:`remove_runs` removes every shared run:
+beside the chunks it indexes each window of two lines, whatever the boundaries, and each line of ``RUN_WORDS``
+words. A line goes if a chunk, window or line that covers it already occurred (equal 64-bit hash, then equal
+SHA-256), and if the run of such lines around it has ``RUN_WORDS`` words or holds a repeated chunk. An
+equal line stays at an earlier place for each line that goes.
+
 A null text stays null; the empty text is one empty line, never removed. A text may
 lose all its chunks: its row stays, with an empty text. Repeated rows are later
 occurrences of their first. Extra columns stay unchanged; no rows give no rows.
@@ -27,6 +34,8 @@ from graphtables.llm.common import bounded, free_name, let, written
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
+#: words of a run, or of a line alone, that is removed though no whole chunk of it is repeated
+RUN_WORDS = 10
 #: rows of a filter that are broadcast
 BROADCAST_ROWS = 500_000
 #: of the rolling hash: a prime below 2^31 and a base, so that products stay below 2^63
@@ -42,12 +51,19 @@ def _rolled(hashes: Column, end: Column, window: int) -> Column:
     return value
 
 
+def _ends(lines: Column, hashes: Column, window: int, divisor: int) -> Column:
+    """The numbers (from 1) of the lines that end a chunk."""
+    return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | (
+        F.pmod(_rolled(hashes, i, window), F.lit(divisor).cast("long")) == 0))
+
+
+def _hashed(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(MODULUS).cast("long")))
+
+
 def chunks(text: Column, with_text: bool, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
     """Array of (lines: number of lines, hash, and the chunk's text if asked for) of a text."""
     def cut(lines: Column, hashes: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | (
-            F.pmod(_rolled(hashes, i, window), F.lit(divisor).cast("long")) == 0))
-
         def chunk(ends_: Column, end: Column, k: Column) -> Column:
             start = F.when(k == 0, 0).otherwise(F.get(ends_, k - 1))
             n = end - start
@@ -56,11 +72,10 @@ def chunks(text: Column, with_text: bool, window: int = WINDOW, divisor: int = D
                 fields.append(F.array_join(F.slice(lines, start + 1, n), "\n").alias("text"))
             return F.struct(*fields)
 
-        return let(ends, lambda ends_: F.transform(ends_, lambda end, k: chunk(ends_, end, k)))
+        return let(_ends(lines, hashes, window, divisor),
+                   lambda ends_: F.transform(ends_, lambda end, k: chunk(ends_, end, k)))
 
-    return let(F.split(text, "\n"), lambda lines: let(
-        F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(MODULUS).cast("long"))),
-        lambda hashes: cut(lines, hashes)))
+    return let(F.split(text, "\n"), lambda lines: let(_hashed(lines), lambda hashes: cut(lines, hashes)))
 
 
 def repeated_chunks(docs: DataFrame, order_by: str = "doc_id", text: str = "text", row: str = "row",
@@ -104,3 +119,101 @@ def remove_repeated(docs: DataFrame, order_by: str = "doc_id", text: str = "text
         F.transform(kept, lambda k: F.get(all_, k)["text"]), "\n")))
     return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns),
                          F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(free_name(docs, "n_removed")))
+
+
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def units(text: Column, with_digest: bool, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+          run_words: int = RUN_WORDS) -> Column:
+    """Array of (pos: first line, from 0; lines; chunk: whether it is one; hash, and the SHA-256 if asked for):
+    the chunks of ``min_lines`` lines, every two lines and every line of ``run_words`` words of a text."""
+    def spans(lines: Column, hashes: Column) -> Column:
+        def span(pos: Column, n: Column, chunk: bool) -> Column:
+            return F.struct(pos.alias("pos"), n.alias("lines"), F.lit(chunk).alias("chunk"))
+
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        pairs = F.transform(F.filter(every, lambda i: i < F.size(lines) - 1), lambda i: span(i, F.lit(2), False))
+        singles = F.transform(F.filter(every, lambda i: _words(F.get(lines, i)) >= run_words),
+                              lambda i: span(i, F.lit(1), False))
+
+        def start(ends: Column, k: Column) -> Column:
+            return F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+
+        whole = let(_ends(lines, hashes, window, divisor), lambda ends: F.transform(
+            ends, lambda end, k: span(start(ends, k), end - start(ends, k), True)))
+        return F.concat(F.filter(whole, lambda s: s["lines"] >= min_lines), pairs, singles)
+
+    def unit(lines: Column, hashes: Column, s: Column) -> Column:
+        fields = [s["pos"].alias("pos"), s["lines"].alias("lines"), s["chunk"].alias("chunk"),
+                  F.xxhash64(s["chunk"], F.slice(hashes, s["pos"] + 1, s["lines"])).alias("hash")]
+        if with_digest:
+            fields.append(F.unhex(F.sha2(F.array_join(F.slice(lines, s["pos"] + 1, s["lines"]), "\n").cast("binary"), 256))
+                          .alias("digest"))
+        return F.struct(*fields)
+
+    return let(F.split(text, "\n"), lambda lines: let(_hashed(lines), lambda hashes: F.transform(
+        spans(lines, hashes), lambda s: unit(lines, hashes, s))))
+
+
+def repeated_units(docs: DataFrame, order_by: str = "doc_id", text: str = "text", row: str = "row",
+                   window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, run_words: int = RUN_WORDS,
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(row, line, chunk): the lines (from 0) of the units that occurred at an earlier place, and whether a
+    chunk covers them. ``row`` is a unique number per row of ``docs``."""
+    source = docs.where(F.col(text).isNotNull()).select(
+        F.col(row).alias("row"), F.col(order_by).alias("order"), F.col(text).cast("string").alias("text"))
+
+    def exploded(with_digest: bool) -> DataFrame:
+        return source.select("row", "order", F.explode(units(
+            F.col("text"), with_digest, window, divisor, min_lines, run_words)).alias("unit")).select("row", "order", "unit.*")
+
+    hashes = exploded(False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    hashes = bounded(written(hashes, "run-hashes"), broadcast_rows)
+    found = exploded(True).join(hashes, "hash", "left_semi").select(
+        "row", "pos", "lines", "chunk", "hash", "digest",
+        F.struct(F.col("order").isNull().alias("none"), "order", "row", "pos").alias("place"))
+    found = written(found, "run-candidates")
+    key = ["hash", "digest", "chunk"]
+    first = written(found.groupBy(*key).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").drop("n"), "run-first")
+    again = found.join(first, key).where("place != first")
+    return again.select("row", "chunk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("lines") - 1)).alias(
+        "line")).groupBy("row", "line").agg(F.max("chunk").alias("chunk"))
+
+
+def remove_runs(docs: DataFrame, order_by: str = "doc_id", text: str = "text", window: int = WINDOW,
+                divisor: int = DIVISOR, min_lines: int = MIN_LINES, run_words: int = RUN_WORDS,
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the runs of lines that occurred at an earlier place, and with a column ``n_removed`` of
+    the number of their lines (named as in :func:`remove_repeated`). ``docs`` must read alike each time."""
+    row, gone, cut = (free_name(docs, x) for x in ("row__", "gone__", "cut__"))
+    numbered = docs.select("*", F.monotonically_increasing_id().alias(row))
+    again = written(repeated_units(numbered, order_by, text, row, window, divisor, min_lines, run_words, broadcast_rows),
+                    "run-lines")
+    by_row = again.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("line", "chunk"))).alias(gone))
+    if again.count() <= broadcast_rows:         # counted in lines, so the arrays are bounded as well
+        by_row = F.broadcast(by_row)
+
+    def removed(lines: Column, at: Column) -> Column:
+        """The lines of the runs that go; ``at`` has all repeated ones in order."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k == 0) | (
+            F.get(at, k)["line"] != F.get(at, k - 1)["line"] + 1))
+        runs = let(starts, lambda starts_: F.transform(starts_, lambda start, k: F.slice(
+            at, start + 1, F.coalesce(F.get(starts_, k + 1), F.size(at)) - start)))
+        goes = F.filter(runs, lambda run: F.exists(run, lambda x: x["chunk"]) | (F.aggregate(
+            run, F.lit(0), lambda n, x: n + _words(F.get(lines, x["line"]))) >= run_words))
+        return F.transform(F.flatten(goes), lambda x: x["line"])
+
+    def cleaned(lines: Column, lost: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)       # by hash, in order
+        return F.struct(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n").alias("text"),
+                        F.size(lost).alias("n"))
+
+    joined = numbered.join(by_row, row, "left").withColumn(cut, F.when(F.col(gone).isNotNull(), let(
+        F.split(F.col(text).cast("string"), "\n"), lambda lines: let(
+            removed(lines, F.col(gone)), lambda lost: cleaned(lines, lost)))))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.col(cut)["text"])
+    return joined.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns),
+                         F.coalesce(F.col(cut)["n"], F.lit(0)).cast("long").alias(free_name(docs, "n_removed")))

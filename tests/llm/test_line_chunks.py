@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 import xxhash
 
 from graphtables.llm import line_chunks as lc
+from graphtables.llm.catalog import op10_line_chunks
 from tests.llm.samples import awkward_texts, bag, frame
 
 
@@ -80,3 +82,70 @@ def test_name_clash_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a\nb", 9)], "doc_id long, text string, n_removed int")
     assert lc.remove_repeated(docs).columns == ["doc_id", "text", "n_removed", "n_removed_"]
     assert lc.remove_repeated(frame(spark, [])).collect() == []
+
+
+def plain_runs(rows):
+    """As ``plain``, of :func:`line_chunks.remove_runs`; third, the number of lines removed."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if t is None:
+            out.append((i, None, 0))
+            continue
+        lines, at, units = t.split("\n"), 0, []
+        for c in plain_chunks(t):
+            units += [(at, len(c), True)] * (len(c) >= 2)
+            at += len(c)
+        units += [(k, 2, False) for k in range(len(lines) - 1)]
+        units += [(k, 1, False) for k, x in enumerate(lines) if len(words(x)) >= lc.RUN_WORDS]
+        again, of_chunk = set(), set()
+        for k, n, chunk in sorted(units):
+            key = (chunk, tuple(lines[k:k + n]))
+            if key in seen:
+                again |= set(range(k, k + n))
+                of_chunk |= set(range(k, k + n)) if chunk else set()
+            seen.add(key)
+        gone, run = set(), []
+        for k in range(len(lines) + 1):
+            if k in again:
+                run.append(k)
+                continue
+            if of_chunk & set(run) or sum(len(words(lines[x])) for x in run) >= lc.RUN_WORDS:
+                gone |= set(run)
+            run = []
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return out
+
+
+def words(line):
+    return re.findall("[^\x20\x09-\x0D]+", line)
+
+
+@pytest.mark.parametrize("broadcast_rows", [lc.BROADCAST_ROWS, 0])
+def test_runs_by_brute_force(spark, scratch, broadcast_rows):
+    frame(spark, rows()).write.parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    cleaned = lc.remove_runs(docs, broadcast_rows=broadcast_rows)
+    assert cleaned.columns == [*docs.columns, "n_removed"]
+    expected = plain_runs(rows())
+    assert bag((r.doc_id, r.text, r.n_removed) for r in cleaned.collect()) == bag(expected)
+    for (_, a, _), (_, b, _) in zip(expected, plain(rows())):
+        assert a is None or len(a) <= len(b)            # whatever chunks remove, runs remove
+    assert lc.remove_runs(frame(spark, [])).collect() == []
+
+
+def test_op10_removes_whole_shared_passages(spark, scratch):
+    """Passages of six lines, most of them without a whole inner chunk, and a long line alone."""
+    docs, own = [], {}
+    for p in range(20):
+        passage = [f"passage {p} line {k} has a few more words" for k in range(6)]
+        for copy in range(2):
+            i = 2 * p + copy
+            head, tail = f"head {i}", f"tail {i}"
+            docs.append((i, "\n".join([head, *passage, tail])))
+            own[i] = docs[-1][1] if copy == 0 else f"{head}\n{tail}"
+    alone = "one line alone of more than ten words that two texts share"
+    docs += [(100, f"before\n{alone}\nafter"), (101, f"other\n{alone}\nrest"), (102, "short line\nx"), (103, "short line\ny")]
+    own |= {100: docs[-4][1], 101: "other\nrest", 102: docs[-2][1], 103: docs[-1][1]}
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_chars) for r in op10_line_chunks(spark, scratch).collect()}
+    assert got == {i: (t.count("\n") - own[i].count("\n"), len(own[i])) for i, t in docs}
