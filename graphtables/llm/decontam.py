@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphtables._workers import ship_with_tasks
-from graphtables.llm.common import texts, written
+from graphtables.llm.common import free_name, texts, written
 from graphtables.llm.fm_index import FIRST, SEPARATOR, FMIndex
 
 WINDOW = 10
@@ -41,6 +41,7 @@ WINDOW = 10
 SHARD_WORDS = 1 << 20
 #: distinct windows that go to the tasks at a time
 BLOCK_WINDOWS = 200_000
+SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
@@ -152,6 +153,14 @@ def spans_of(documents: list[bytes | None], block: PhraseBlock,
     return [(n, merged(spans), found) for n, spans, found in out]
 
 
+def _joined(old: pa.Array, new: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    return [merged([(s["begin"], s["end"]) for s in a] + b) for a, b in zip(old.to_pylist(), new)]
+
+
+def _span_array(spans: list[list[tuple[int, int]]], kind: pa.DataType) -> pa.Array:
+    return pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], kind)
+
+
 def _blocks(found: DataFrame, block_windows: int) -> list[DataFrame]:
     blocks = max(1, math.ceil(found.count() / block_windows))
     return [found.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k) for k in range(blocks)]
@@ -164,9 +173,8 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     (ids of the items with an occurring window, sorted)."""
     found = written(phrases(items, item_id, item_text, window), "decontam-phrases")
     item_type = found.schema["items"].dataType
-    span_type = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(span_type).alias("spans"), F.array().cast(item_type).alias("items"))
+                      F.array().cast(SPANS).alias("spans"), F.array().cast(item_type).alias("items"))
     for part in _blocks(found, block_windows):
         out = _pass(out, part)
     return out.drop("text")
@@ -186,13 +194,12 @@ def _pass(docs: DataFrame, part: DataFrame) -> DataFrame:
             cache.append(PhraseBlock(found))
         for batch in batches:
             result = spans_of(list(texts(batch.column(1))), cache[0])
-            spans = [merged([(s["begin"], s["end"]) for s in old] + new)
-                     for old, (_, new, _) in zip(batch.column(3).to_pylist(), result)]
+            spans = _joined(batch.column(3), [new for _, new, _ in result])
             ids = [sorted(set(old).union(*(items[k] for k in hit)))
                    for old, (_, _, hit) in zip(batch.column(4).to_pylist(), result)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([n for n, _, _ in result], pa.int64()),
-                 pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], batch.column(3).type),
+                 _span_array(spans, batch.column(3).type),
                  pa.array(ids, batch.column(4).type)], names=names)
 
     return docs.mapInArrow(run, docs.schema)
@@ -212,17 +219,21 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                  item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with every occurrence of a phrase cut out of its text; all else unchanged.
 
-    With several blocks a later one sees the texts as the earlier ones left them, so a
-    window that an earlier cut already broke is cut no further."""
+    Every block searches the whole texts; its spans join those found so far, and the last
+    one cuts, so the number of blocks does not change the result."""
     found = written(phrases(items, item_id, item_text, window), "decontam-phrases")
-    out, at = docs, docs.columns.index(text)
-    for part in _blocks(found, block_windows):
+    spans, at = free_name(docs, "spans__"), docs.columns.index(text)
+    out = docs.withColumn(spans, F.array().cast(SPANS))
+    blocks = _blocks(found, block_windows)
+    for k, part in enumerate(blocks, 1):
         block = docs.sparkSession.sparkContext.broadcast([bytes(r["phrase"]) for r in part.select("phrase").collect()])
-        out = _cut(out, block, at)
-    return out
+        out = _marked(out, block, at, cut=k == len(blocks))
+    return out.drop(spans)
 
 
-def _cut(docs: DataFrame, block, at: int) -> DataFrame:
+def _marked(docs: DataFrame, block, at: int, cut: bool) -> DataFrame:
+    """One block of phrases against all texts (column ``at``): its spans join those in the last
+    column or, if ``cut``, are cut out of the texts with them."""
     cache: list[PhraseBlock] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +241,13 @@ def _cut(docs: DataFrame, block, at: int) -> DataFrame:
             cache.append(PhraseBlock(block.value))
         for batch in batches:
             old = list(texts(batch.column(at)))
-            new = [without_spans(t, spans) if spans else t for t, (_, spans, _) in zip(old, spans_of(old, cache[0]))]
-            kind = batch.column(at).type
+            spans = _joined(batch.columns[-1], [new for _, new, _ in spans_of(old, cache[0])])
             columns = list(batch.columns)
-            columns[at] = pa.array(new, pa.binary()).cast(kind) if len(new) else columns[at]
+            if cut and old:
+                new = [without_spans(t, s) if s else t for t, s in zip(old, spans)]
+                columns[at] = pa.array(new, pa.binary()).cast(columns[at].type)
+            elif old:
+                columns[-1] = _span_array(spans, columns[-1].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

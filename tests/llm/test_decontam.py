@@ -112,3 +112,19 @@ def test_no_items_and_no_texts(spark):
     assert bag((r.id, r.n_words, r.spans, r["items"]) for r in found) == bag((i, len(words(t)), [], []) for i, t in rows)
     assert decontam.find_spans(frame(spark, []), none).collect() == []
     assert bag(r.text for r in decontam.remove_spans(frame(spark, rows), none).collect()) == bag(t for _, t in rows)
+
+
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_removed_spans_are_those_of_one_block(spark, block):
+    """However the windows of a passage are dealt to blocks, all its words go."""
+    docs, items = case()
+    docs = [(i, t if t is None or len(t) < 20_000 else t[:4000]) for i, t in docs]
+    items = items if block > 1 else [(1, " ".join(f"w{k}" for k in range(12)))]
+    docs = docs + [(600, "before " + " ".join(f"w{k}" for k in range(12)) + " after")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    cut = decontam.remove_spans(frame(spark, docs), table, block_windows=block)
+    whole = decontam.remove_spans(frame(spark, docs), table)
+    got = bag((r.doc_id, r.text) for r in cut.collect())
+    assert got == bag((r.doc_id, r.text) for r in whole.collect())
+    if block == 1:
+        assert (600, "before  after") in got
