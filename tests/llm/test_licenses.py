@@ -46,3 +46,25 @@ def test_every_notice_matches_itself(spark):
 def test_empty_table(spark):
     docs = frame(spark, []).withColumnRenamed("id", "path")
     assert licenses.scan(docs).collect() == []
+
+
+def test_standard_headers_and_short_texts(spark):
+    """Each is nearer to its own licence than to the notices of its relatives."""
+    gnu = ("# This {0} is free software{3} you can redistribute it and/or\n# modify it under the terms of the GNU {1}\n"
+           "# as published by the Free Software Foundation{4} either\n# version {2} of the License, or (at your option) any later version.\n#\n"
+           "# This {0} is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY.  See the GNU {1} for more details.")
+    general = "General Public License"
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    one_line = {name: text for name, text in licenses.TEMPLATES if name in ("MIT", "ISC", "BSD-2-Clause")}
+    texts = [
+        ("GPL-2.0", gnu.format("program", general, 2, ";", ";")), ("GPL-3.0", gnu.format("program", general, 3, ":", ",")),
+        ("AGPL-3.0", gnu.format("program", f"Affero {general}", 3, ":", ",")),
+        ("LGPL-2.1", gnu.format("library", f"Lesser {general}", "2.1", ";", ";")),
+        ("LGPL-3.0", gnu.format("library", f"Lesser {general}", 3, ":", ",")),
+        ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+        ("CC-BY-SA-4.0", cc.format("Attribution-ShareAlike")), ("CC-BY-NC-ND-4.0", cc.format("Attribution-NonCommercial-NoDerivatives")),
+        ("CC-BY-4.0", cc.format("Attribution")), *one_line.items(),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is")]
+    assert len(one_line["MIT"]) > 900 and len(one_line["ISC"]) > 600 and len(one_line["BSD-2-Clause"]) > 1100
+    got = {r.id: r.license for r in licenses.scan(files(spark, [(n, None, t) for n, (_, t) in enumerate(texts)])).collect()}
+    assert got == {n: name for n, (name, _) in enumerate(texts)}
