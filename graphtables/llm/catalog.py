@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, katz, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
+from graphtables.llm import conversations, decontam, katz, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -95,6 +95,12 @@ def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged ``conversations``: faults, cheapest edits and digest of the repaired rows of each."""
+    rows = conversations.damaged(table(spark, d, "conversations"))
+    return conversations.summaries(conversations.repair(rows, present="present")).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_variants": op1_simhash_variants,
     "op2_credential_links": op2_credential_links,
@@ -106,4 +112,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_chunks": op10_line_chunks,
+    "op13_conversation_repair": op13_conversation_repair,
 }
