@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import conversations, decontam, katz, licenses, line_chunks, packing, quality, secrets, simhash, tokens, warc
+from graphtables.llm import alignment, conversations, decontam, katz, licenses, line_chunks, packing, quality, secrets, simhash, suffixes, tokens, warc
 from graphtables.llm.oracle import ORACLE  # noqa: F401
 from graphtables.sources.tables import table
 
@@ -95,6 +95,24 @@ def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_spill_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Links of every document's tokens between two tokenizers, and their corpus-wide counts."""
+    import public_tokenizers
+
+    found = alignment.align(table(spark, d, "documents"), public_tokenizers.path(alignment.A_FILE),
+                            public_tokenizers.path(alignment.B_FILE))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        "groups_sha256")
+
+
+def op12_suffix_sort(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier."""
+    found = suffixes.remove_repeats(table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
     """The damaged ``conversations``: faults, cheapest edits and digest of the repaired rows of each."""
     rows = conversations.damaged(table(spark, d, "conversations"))
@@ -112,5 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_chunks": op10_line_chunks,
+    "op11_spill_alignment": op11_spill_alignment,
+    "op12_suffix_sort": op12_suffix_sort,
     "op13_conversation_repair": op13_conversation_repair,
 }
