@@ -29,9 +29,10 @@ import json
 import math
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from pyspark.sql import types as T
 
 from graphtables._workers import ship_with_tasks
 from graphtables.llm.common import pack, unpack, written
+from graphtables.llm.tokens import numbering
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: bytes of text of a run
@@ -52,11 +54,15 @@ SLICE_PAIRS = 400_000
 FAN_IN = 1000
 #: entries that a cursor of the merge holds
 CURSOR = 4096
-#: pieces that a task remembers
-REMEMBERED = 300_000
+#: pieces that a task remembers beyond a run
+REMEMBERED = 450_000
+#: links of a group that are listed one by one
+LARGE_GROUP = 4096
 
 _SHIFT = 20                             # a pair is A's id above 20 bits of B's
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: pieces whose pre-tokens are their groups: a line break, Latin letters after a blank or none, ASCII signs (not the apostrophe)
+_PLAIN = re.compile(r"(\n)?([ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,7 +74,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, and the groups of a piece of text."""
+    """Both tokenizers, and what a task has learnt of pieces of text: each has a number, and by that its measures."""
 
     def __init__(self, a_definition: str, b_model: bytes):
         import sentencepiece
@@ -93,110 +99,173 @@ class Pair:
                      and not pre.get("add_prefix_space")
                      and not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
                      and b"".join(self.b_bytes[i] for i in self.b.encode("a  b\n c \n")) == b" a  b\n c \n")
-        self.known: dict[str, tuple | None] = {}
+        self.spelled = {b: c for c, b in alphabet.items()}
+        known = range(max(self.a_bytes) + 1)
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in known], np.int64)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # an id of A then B, in the middle of its side of a group and at its end
+        self.written = [f"{i}{x}" for i in known for x in ",|"] + [f"{i}{x}" for i in range(len(pieces)) for x in ",;"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = numbering()               # of a piece
+        self.pair_number = numbering()          # of a pair of ids
+        self.measures = array("q")              # of each piece: tokens of A and B, groups, links; -1s if it is not spelled
+        self.groups: list[str] = []             # its groups as text
+        self.ends = array("q", [0])             # its pairs end here
+        self.pairs, self.times = array("q"), array("q")
 
     def pieces(self, text: str) -> list[str]:
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Tokenizes and aligns the pieces that are not known yet."""
-        new = [p for p in pieces if p not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            a = self.a.encode_batch_fast(some, add_special_tokens=False)
+    def numbers(self, text: str) -> np.ndarray:
+        cut = self.pieces(text)
+        return np.fromiter(map(self.number.__getitem__, cut), np.int64, len(cut))
+
+    def _a_ids(self, pieces: list[str]) -> list[list[int]]:
+        """A's ids of each piece. Where the pre-tokens are plain to see they go to the model as it spells them, which
+        takes a third of the time; other pieces go to the whole tokenizer."""
+        out: list = [None] * len(pieces)
+        rest = []
+        tokenize, spelled, blank = self.a.model.tokenize, self.spelled, self.spelled[32]
+        for k, piece in enumerate(pieces):
+            plain = _PLAIN.fullmatch(piece) if self.cuts else None
+            if plain is None:
+                rest.append(k)
+                continue
+            ids = []
+            for part in plain.groups():
+                if part:
+                    part = part.replace(" ", blank) if part.isascii() and part != "\n" else (
+                        part.encode().decode("latin-1").translate(spelled))
+                    ids += [t.id for t in tokenize(part)]
+            out[k] = ids
+        for k, found in zip(rest, self.a.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
+
+    def learn(self) -> None:
+        """Tokenizes and aligns the pieces that have a number and no measures yet."""
+        new = list(islice(self.number, len(self.groups), None))
+        for at in range(0, len(new), 16_384):
+            some = new[at:at + 16_384]
             b = self.b.encode([p[1:] if p[0] == " " else p for p in some], num_threads=1)
-            for piece, one, two in zip(some, a, b):
-                self.known[piece] = self._aligned(piece, one.ids, two if piece[0] == " " else two[1:])
-
-    def _aligned(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links, groups as text, pairs, times) of a piece."""
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        spelled = piece.encode()
-        if b"".join(of_a) != spelled or b"".join(of_b) != spelled:
-            return None
-        text, links, n_links = [], Counter(), 0
-        i = j = start_a = start_b = end_a = end_b = 0
-        while i < len(a):
-            end_a += len(of_a[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(of_b[j])
-                j += 1
-            if end_a == end_b:
-                some, others = a[start_a:i], b[start_b:j]
-                start_a, start_b = i, j
-                text.append(",".join(map(str, some)) + "|" + ",".join(map(str, others)))
-                n_links += len(some) * len(others)
-                if len(some) == len(others) == 1:
-                    links[some[0] << _SHIFT | others[0]] += 1
-                else:
-                    times = Counter(others)
-                    for x, n in Counter(some).items():
-                        for y, m in times.items():
-                            links[x << _SHIFT | y] += n * m
-        return len(a), len(b), len(text), n_links, ";".join(text), tuple(links), tuple(links.values())
+            self._align(some, self._a_ids(some), [two if piece[0] == " " else two[1:] for piece, two in zip(some, b)])
+
+    def _align(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        """Lays the tokens of many pieces, one piece after another, over their bytes."""
+        texts_ = [p.encode() for p in pieces]
+        n = np.array([len(t) for t in texts_], np.int64)
+        whole = n > 0
+        sides = []
+        for ids, spelling, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            of = np.repeat(np.arange(len(pieces)), [len(x) for x in ids])
+            whole &= np.bincount(of, size[flat], minlength=len(pieces)).astype(np.int64) == n
+            if not whole.all() or b"".join(map(spelling.__getitem__, flat.tolist())) != b"".join(texts_):
+                whole &= np.array([b"".join(map(spelling.__getitem__, x)) == t for x, t in zip(ids, texts_)], bool)
+            sides.append((flat, of, size))
+        (a_ids, a_of), (b_ids, b_of) = ((f[whole[o]], o[whole[o]]) for f, o, _ in sides)
+        ends_a, ends_b = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)     # the end of every piece among them
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        of = np.empty(len(common), np.int64)
+        of[group_a] = a_of                                              # the piece of each group
+        count = len(pieces)
+        measure = np.stack([np.bincount(a_of, minlength=count), np.bincount(b_of, minlength=count),
+                            np.bincount(of, minlength=count), np.bincount(of, n_a * n_b, minlength=count).astype(np.int64)], 1)
+        measure[~whole] = -1
+        self.measures.extend(measure.ravel().tolist())
+        self._write_groups(count, a_ids, group_a, a_of, b_ids, group_b, b_of)
+        self._link(count, of, n_a, n_b, a_ids, b_ids)
+
+    def _write_groups(self, count: int, a_ids, group_a, a_of, b_ids, group_b, b_of) -> None:
+        """Each group as ``a1,a2|b1``, and a piece's groups joined by ``;``."""
+        last_a = np.append(group_a[1:] != group_a[:-1], True) if len(group_a) else np.zeros(0, bool)
+        last_b = np.append(group_b[1:] != group_b[:-1], True) if len(group_b) else np.zeros(0, bool)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        word = np.concatenate([2 * a_ids + last_a, 2 * (b_ids + len(self.a_size)) + last_b])[order]
+        of = np.concatenate([a_of, b_of])[order]
+        words = list(map(self.written.__getitem__, word.tolist()))
+        ends = np.cumsum(np.bincount(of, minlength=count)).tolist()
+        start = 0
+        for end in ends:
+            self.groups.append("".join(words[start:end])[:-1])
+            start = end
+
+    def _link(self, count: int, of, n_a, n_b, a_ids, b_ids) -> None:
+        """The pairs of each piece: all of a group's A tokens with all of its B tokens."""
+        start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        links = n_a * n_b
+        large = links > LARGE_GROUP         # a group may be as long as a text: its distinct ids only
+        small = np.flatnonzero(~large)
+        row = np.repeat(small, links[small])
+        k = np.arange(len(row)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+        codes = [a_ids[start_a[row] + k // n_b[row]] << _SHIFT | b_ids[start_b[row] + k % n_b[row]]]
+        pieces, times = [of[row]], [np.ones(len(row), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            x, n = np.unique(a_ids[start_a[g]:start_a[g] + n_a[g]], return_counts=True)
+            y, m = np.unique(b_ids[start_b[g]:start_b[g] + n_b[g]], return_counts=True)
+            codes.append((x[:, None] << _SHIFT | y).ravel())
+            times.append((n[:, None] * m).ravel())
+            pieces.append(np.full(len(codes[-1]), of[g]))
+        piece, code, often = (np.concatenate(x) for x in (pieces, codes, times))
+        if len(pieces) > 1:
+            order = np.argsort(piece, kind="stable")
+            piece, code, often = piece[order], code[order], often[order]
+        distinct, at = np.unique(code, return_inverse=True)
+        numbers = np.fromiter(map(self.pair_number.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        base = len(self.pairs)
+        self.pairs.extend(numbers[at].tolist())
+        self.times.extend(often.tolist())
+        self.ends.extend((base + np.cumsum(np.bincount(piece, minlength=count))).tolist())
 
 
 def _run(documents: list[str | None], pair: Pair) -> dict:
     """The columns of a run but its name and ids."""
-    cut = [pair.pieces(t) if t else [] for t in documents]
-    distinct = set(chain.from_iterable(cut))
-    if len(pair.known) > REMEMBERED:
-        pair.known.clear()
-    pair.learn(distinct)
-    known = pair.known
-    number, measures, groups = {}, [], []
-    pairs: list[int] = []
-    times: list[int] = []
-    ends = [0]
-    counts, digests, entries, texts_of = np.zeros((len(documents), 4), np.int64), [], [], []
-    for d, pieces in enumerate(cut):
-        if not pieces or any(known[p] is None for p in pieces):
+    if len(pair.groups) > REMEMBERED:
+        pair.forget()
+    numbers = [pair.numbers(t) if t else None for t in documents]
+    pair.learn()
+    groups = pair.groups
+    measure = np.array(pair.measures, np.int64).reshape(-1, 4)
+    counts, digests, entries, of_doc = np.zeros((len(documents), 4), np.int64), [], [], []
+    for d, ids in enumerate(numbers):
+        if ids is None or (measure[ids, 0] < 0).any():
             digests.append("")
             continue
-        ids = []
-        for p in pieces:
-            n = number.get(p)
-            if n is None:
-                n = number[p] = len(measures)
-                entry = known[p]
-                measures.append(entry[:4])
-                groups.append(entry[4])
-                pairs.extend(entry[5])
-                times.extend(entry[6])
-                ends.append(len(pairs))
-            ids.append(n)
-        digests.append(hashlib.sha256(";".join([groups[n] for n in ids]).encode()).hexdigest())
-        found, often = np.unique(np.array(ids, np.int64), return_counts=True)
-        entries.append(found)
-        texts_of.append((d, often))
+        digests.append(hashlib.sha256(";".join(map(groups.__getitem__, ids.tolist())).encode()).hexdigest())
+        found, often = np.unique(ids, return_counts=True)
+        entries.append((found, often))
+        of_doc.append(d)
     if not entries:
         none = pack(np.zeros(0, np.int64))
         return {"counts": counts, "digests": digests, "pairs": none, "docs": none, "rec_docs": none, "rec_times": none, "n": 0}
-    piece = np.concatenate(entries)
-    doc = np.concatenate([np.full(len(o), d, np.int64) for d, o in texts_of])
-    often = np.concatenate([o for _, o in texts_of])
-    measure = np.array(measures, np.int64)
+    piece, often = (np.concatenate(x) for x in zip(*entries))
+    doc = np.repeat(np.array(of_doc, np.int64), [len(f) for f, _ in entries])
     for k in range(4):
         counts[:, k] = np.bincount(doc, measure[piece, k] * often, minlength=len(documents))
-    # pair-document records: each piece of a document gives its pairs
-    ends_ = np.array(ends, np.int64)
-    all_pairs, all_times = np.array(pairs, np.int64), np.array(times, np.int64)
-    codes, place = np.unique(all_pairs, return_inverse=True)
-    size = (ends_[1:] - ends_[:-1])[piece]
-    at = np.repeat(ends_[piece] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    key = place[at] * len(documents) + np.repeat(doc, size)
-    weight = all_times[at] * np.repeat(often, size)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
+    # pair-document records: each piece of a document gives its pairs, A's side first, then B's, then the document
+    codes = np.fromiter(pair.pair_number, np.int64, len(pair.pair_number))
+    order = np.argsort(codes)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    ends = np.array(pair.ends, np.int64)
+    size = ends[piece + 1] - ends[piece]
+    at = np.repeat(ends[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    key = rank[np.array(pair.pairs, np.int64)[at]] * len(documents) + np.repeat(doc, size)
+    weight = np.array(pair.times, np.int64)[at] * np.repeat(often, size)
+    by = np.argsort(key)
+    key, weight = key[by], weight[by]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, weight = key[starts], np.add.reduceat(weight, starts)
-    of_pair, of_doc = np.divmod(key, len(documents))
+    of_pair, of_doc_ = np.divmod(key, len(documents))
     first = np.concatenate([[True], of_pair[1:] != of_pair[:-1]])
-    step = np.where(first, of_doc, np.diff(of_doc, prepend=0))
-    return {"counts": counts, "digests": digests, "pairs": pack(np.diff(codes, prepend=0)),
-            "docs": pack(np.bincount(of_pair, minlength=len(codes))), "rec_docs": pack(step), "rec_times": pack(weight),
-            "n": len(codes)}
+    step = np.where(first, of_doc_, np.diff(of_doc_, prepend=0))
+    mine = np.flatnonzero(first)
+    return {"counts": counts, "digests": digests, "pairs": pack(np.diff(codes[order][of_pair[mine]], prepend=0)),
+            "docs": pack(np.diff(mine, append=len(of_pair))), "rec_docs": pack(step), "rec_times": pack(weight), "n": len(mine)}
 
 
 _RUN = ("run string, n bigint, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "

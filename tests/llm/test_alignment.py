@@ -92,14 +92,22 @@ def test_cut_texts_and_whole_texts_have_the_same_tokens():
     with open(A, encoding="utf-8") as f, open(B, "rb") as g:
         pair = alignment.Pair(f.read(), g.read())
     assert pair.cuts
-    for (_, text), groups in zip(rows_(), plain_groups([t for _, t in rows_()])):
-        pieces = pair.pieces(text) if text else []
-        pair.learn(set(pieces))
-        found = [pair.known[p] for p in pieces]
-        whole = None if not pieces or None in found else ";".join(f[4] for f in found)
+    numbers = [pair.numbers(t) if t else None for _, t in rows_()]
+    pair.learn()
+    for (_, text), ids, groups in zip(rows_(), numbers, plain_groups([t for _, t in rows_()])):
+        spelled = ids is not None and all(pair.measures[4 * k] >= 0 for k in ids.tolist())
+        whole = ";".join(pair.groups[k] for k in ids.tolist()) if spelled else None
         assert whole == (groups and ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)), text[:50]
 
 
+def test_a_task_forgets_pieces(spark, monkeypatch):
+    """Pieces learnt again in a later run, and groups whose links are counted by distinct ids."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 3)
+    got = alignment.align(frame(spark, rows_(), 1), A, B, run_bytes=3000)
+    assert bag(tuple(r) for r in got.collect()) == bag(plain_align(rows_()))
+
+
 def test_a_tokenizer_whose_texts_stay_whole(spark, scratch):
     definition = json.loads(open(A, encoding="utf-8").read())
     definition["normalizer"] = {"type": "NFC"}
