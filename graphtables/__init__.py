@@ -22,3 +22,4 @@ from graphtables.operators.graph import (  # noqa: F401
 from graphtables.operators.rank import rank, rank_step_drop, rank_step_retain  # noqa: F401
 from graphtables.sources.edges import edges_from, parse_edges, read_edges  # noqa: F401
 from graphtables.plans.loop import RankLoop  # noqa: F401,E402
+from graphtables.plans.durable import DurableRankLoop  # noqa: F401,E402

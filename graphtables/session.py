@@ -83,3 +83,45 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that :func:`shared_path` named."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    hadoop, store = _file_system(spark, path)
+    return store.exists(hadoop)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none where there is no folder."""
+    hadoop, store = _file_system(spark, path)
+    if not store.exists(hadoop):
+        return []
+    return sorted(status.getPath().getName() for status in store.listStatus(hadoop))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place, then renamed."""
+    hadoop, store = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(hadoop.getParent(), f".{hadoop.getName()}-{uuid.uuid4().hex}")
+    out = store.create(beside)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not store.rename(beside, hadoop):
+        store.delete(beside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop, store = _file_system(spark, path)
+    stream = store.open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
