@@ -18,6 +18,9 @@ from graphtables.functions.columns import (
     message_position,
     pack_message,
     position,
+    position_is_dst,
+    position_is_src,
+    source_id_contribution,
 )
 from graphtables.operators.rank import apply_damping, contrib_final, retain_all
 from graphtables.operators.skew import split_join
@@ -42,6 +45,51 @@ def routing_table(edges: DataFrame) -> DataFrame:
             .agg(F.bool_or("e.is_src").alias("is_src"), F.bool_or("e.is_dst").alias("is_dst")))
 
 
+def routing_from_messages(edges: DataFrame, vertex_partitions: int) -> DataFrame:
+    """G3 in the original's two steps: ``vertex_id, message``, placed by vertex.
+
+    An edge partition's vertices are found inside it, once each, with their positions; each becomes one packed
+    INT, and the messages are shuffled once, by vertex, into ``vertex_partitions`` partitions, where they stay. Edges
+    that lie placed by ``edge_partition`` need no other exchange."""
+    ends = edges.select("edge_partition", F.explode(F.array(
+        F.struct(F.col("src_id").alias("vertex_id"), position(F.lit(True), F.lit(False)).alias("position")),
+        F.struct(F.col("dst_id").alias("vertex_id"), position(F.lit(False), F.lit(True)).alias("position")))).alias("e"))
+    local = ends.groupBy("edge_partition", F.col("e.vertex_id").alias("vertex_id")).agg(
+        F.bit_or("e.position").alias("position"))
+    return local.select("vertex_id", pack_message("edge_partition", "position").alias("message")).repartition(
+        int(vertex_partitions), "vertex_id")
+
+
+def routing_of_messages(messages: DataFrame) -> DataFrame:
+    """The flat routing table that packed messages hold; their placement stays."""
+    at = message_position("message")
+    return messages.select(message_partition("message").alias("edge_partition"), "vertex_id",
+                           position_is_src(at).alias("is_src"), position_is_dst(at).alias("is_dst"))
+
+
+def ship_along(messages: DataFrame, ranks: DataFrame, edge_partitions: int) -> DataFrame:
+    """J2 from placed messages: the ranks each edge partition needs as a source, ``edge_partition, id, rank``, placed by
+    edge partition. Messages and ranks placed alike by vertex meet where they lie, so this is one exchange."""
+    flat = routing_filter(routing_of_messages(messages), True, False)
+    return (flat.join(ranks.hint("shuffle_hash"), flat["vertex_id"] == ranks["id"])
+            .select("edge_partition", "id", "rank").repartitionById(int(edge_partitions), "edge_partition"))
+
+
+def placed_partials(edges: DataFrame, shipped: DataFrame, contribution: str = "rank") -> DataFrame:
+    """J3 -> A2 inside each edge partition: ``edge_partition, id, partial``.
+
+    ``edges`` are collapsed and, like ``shipped``, placed by edge partition, so neither the join nor the sums
+    exchange rows (with ``spark.sql.requireAllClusterKeysForCoPartition`` off). ``contribution="source_id"``: the literal
+    second program, which ships the ranks as well and then does not read them."""
+    s = shipped.select(F.col("edge_partition").alias("s_ep"), "id", "rank").hint("shuffle_hash")
+    at = (edges["edge_partition"] == s["s_ep"]) & (edges["src_id"] == s["id"])
+    if contribution == "rank":
+        joined, value = edges.join(s, at), edge_contribution("weight", "rank")
+    else:
+        joined, value = edges.join(s, at, "left"), source_id_contribution("src_id", "weight")
+    return joined.groupBy("edge_partition", F.col("dst_id").alias("id")).agg(F.sum(value).alias("partial"))
+
+
 def routing_messages(routing: DataFrame) -> DataFrame:
     """Pack position and partition into one INT and unpack them again.
 

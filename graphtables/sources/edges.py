@@ -10,7 +10,9 @@ programs), ``mode="permissive"`` drops it and reports it in a rejects table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphtables.functions.columns import EDGE_WEIGHT, edge_partition_of, modulo_partition
@@ -21,25 +23,32 @@ from graphtables.session import shared_path
 ID_PATTERN = r"^[+-]?[0-9]+$"
 COMMENT_PREFIX = "#"
 FIELD_SEPARATOR = "\t"
+#: bytes of a block, what an edge partition of a text scan is
+BLOCK_BYTES = 128 << 20
+#: files whose first block numbers are broadcast; more are joined by shuffle
+BROADCAST_FILES = 100_000
+
+
+#: a line whose ids have at most 18 digits, so that they fit whatever they are: one test for nearly all lines
+PLAIN_LINE = r"^[+-]?[0-9]{1,18}\t[+-]?[0-9]{1,18}(\t|$)"
 
 
-def _id_field(parts: Column, i: int) -> tuple[Column, Column]:
-    """(parsed id, is-valid flag) of field ``i``; overflow and junk both give invalid."""
+def _id_field(parts: Column, i: int) -> Column:
+    """Field ``i`` as an id; null for overflow and junk."""
     raw = F.get(parts, i)
-    parsed = F.when(raw.rlike(ID_PATTERN), raw.try_cast("bigint"))
-    return parsed, parsed.isNotNull()
+    return F.when(raw.rlike(ID_PATTERN), raw.try_cast("bigint"))
 
 
-def _parsed(lines: DataFrame, column: str) -> DataFrame:
+def _data_lines(lines: DataFrame, column: str) -> DataFrame:
     v = F.col(column)
-    data = lines.filter(v.isNull() | ~v.startswith(COMMENT_PREFIX))
-    # limit 3: fields 0 and 1 stay intact, the ignored tail is not split further
-    parts = F.split(v, FIELD_SEPARATOR, 3)
-    src, src_ok = _id_field(parts, 0)
-    dst, dst_ok = _id_field(parts, 1)
-    ok = F.coalesce(src_ok & dst_ok, F.lit(False))
-    return data.select(v.alias("line"), src.alias("src_id"), dst.alias("dst_id"), ok.alias("ok"),
-                       *(c for c in lines.columns if c == "edge_partition"))
+    return lines.filter(v.isNull() | ~v.startswith(COMMENT_PREFIX))
+
+
+def _well_formed(v: Column) -> Column:
+    """Whether a data line is an edge. Fields are cut and cast here for lines with long ids only."""
+    parts = F.split(v, FIELD_SEPARATOR, 3)      # limit 3: the ignored tail is not split further
+    long_ids = _id_field(parts, 0).isNotNull() & _id_field(parts, 1).isNotNull()
+    return F.when(v.rlike(PLAIN_LINE), F.lit(True)).otherwise(F.coalesce(long_ids, F.lit(False)))
 
 
 def parse_edges(lines: DataFrame, mode: str = "failfast", column: str = "value") -> DataFrame:
@@ -50,20 +59,23 @@ def parse_edges(lines: DataFrame, mode: str = "failfast", column: str = "value")
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode!r}")
-    ok = F.col("ok")
+    v = F.col(column)
+    ok = _well_formed(v)
     if mode == "failfast":
         # in the filter, not in the id columns: those may be pruned (count(), sum(weight))
-        err = F.raise_error(F.concat(F.lit("malformed edge line: "),
-                                     F.coalesce(F.col("line"), F.lit("<null>"))))
+        err = F.raise_error(F.concat(F.lit("malformed edge line: "), F.coalesce(v, F.lit("<null>"))))
         ok = F.when(ok, F.lit(True)).otherwise(err.cast("boolean"))
-    return _parsed(lines, column).filter(ok).select(
-        "src_id", "dst_id", F.lit(EDGE_WEIGHT).alias("weight"),
-        *(c for c in lines.columns if c == "edge_partition"))
+    rest = F.substring_index(v, FIELD_SEPARATOR, 2)
+    return _data_lines(lines, column).filter(ok).select(
+        F.substring_index(v, FIELD_SEPARATOR, 1).try_cast("bigint").alias("src_id"),
+        F.substring_index(rest, FIELD_SEPARATOR, -1).try_cast("bigint").alias("dst_id"),
+        F.lit(EDGE_WEIGHT).alias("weight"), *(c for c in lines.columns if c == "edge_partition"))
 
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that ``mode="permissive"`` drops (extension): ``line STRING``."""
-    return _parsed(lines, column).filter(~F.col("ok")).select("line")
+    v = F.col(column)
+    return _data_lines(lines, column).filter(~_well_formed(v)).select(v.alias("line"))
 
 
 def read_edge_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -86,6 +98,56 @@ def read_split_edges(spark: SparkSession, path: str | list[str], mode: str = "fa
     return spark.read.parquet(stored)
 
 
+@contextmanager
+def block_splits(spark: SparkSession, block_bytes: int = BLOCK_BYTES):
+    """Within it, file scans are cut at multiples of ``block_bytes`` and nowhere else, whatever the number of cores: what a
+    split is then depends on the files alone, as with the original's input splits."""
+    settings = {"spark.sql.files.maxPartitionBytes": str(block_bytes), "spark.sql.files.openCostInBytes": str(block_bytes),
+                "spark.sql.files.minPartitionNum": "1"}
+    saved = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def with_block(lines: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The lines of a text scan with ``file`` and ``block``: the number of the ``block_bytes`` bytes of the file that the line's
+    split lies in. A line keeps both in every plan, retry and session whose splits do not cross blocks (sizes
+    that divide ``block_bytes``, as under :func:`block_splits`); a split that does raises an error."""
+    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    block = F.floor(start / block_bytes)
+    crosses = F.floor((start + F.greatest(length, F.lit(1)) - 1) / block_bytes) != block
+    number = F.when(crosses, F.raise_error(F.concat(
+        F.lit("a split crosses blocks; use block_splits: "), F.col("_metadata.file_path"))).cast("int")).otherwise(block.cast("int"))
+    return lines.select("*", F.col("_metadata.file_path").alias("file"), number.alias("block"))
+
+
+def block_offsets(spark: SparkSession, path: str | list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``file, first``: the number of each file's first block when the blocks of all files are numbered in the order of
+    their paths. One row a file that is not empty, from the listing alone (the files are not read); the running sum is over
+    that list, which the driver has made."""
+    files = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.ceil(F.col("_metadata.file_size") / block_bytes).cast("int").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
+
+
+def read_block_edges(spark: SparkSession, path: str | list[str], mode: str = "failfast",
+                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The edge table with the block of its line as ``edge_partition``. Nothing is stored: the number is read off
+    the scan (:func:`with_block`), so it is the same whenever the plan runs."""
+    lines = with_block(read_edge_lines(spark, path), block_bytes)
+    first = block_offsets(spark, path, block_bytes)
+    if first.count() <= BROADCAST_FILES:
+        first = F.broadcast(first)
+    numbered = lines.join(first, "file").select("value", (F.col("first") + F.col("block")).cast("int").alias("edge_partition"))
+    return parse_edges(numbered, mode=mode)
+
+
 def edges_from(df: DataFrame, src: str | Column = "src_id", dst: str | Column = "dst_id",
                weight: str | Column | None = None) -> DataFrame:
     """Edge table from any DataFrame. Rows with a null endpoint are dropped, since a

@@ -1,5 +1,6 @@
 """Plan checks of the round loop: one key shuffle per round, bounded broadcast."""
 
+import pytest
 from graphtables.operators.rank import rank
 from graphtables.plans.loop import RankLoop
 from graphtables.sources.tables import nation_trade_edges, part_supplier_edges
@@ -115,11 +116,53 @@ def test_routed_loop(spark):
     as_written = RoutedLoop(ep, contribution="source_id").run(2)
     assert _ranks(as_written) == _ranks(rank(e, 2, contribution="source_id", missing="retain"))
     assert _ranks(RoutedLoop(ep).run(0)) == {r["id"]: 1.0 for r in as_written.collect()}
+    assert set(_ranks(RoutedLoop(ep, contribution="source_id", vertex_partitions=3).run(0)).values()) == {1.0}
     one = ep.withColumn("edge_partition", F.lit(0))
     assert _ranks(RoutedLoop(one).run(2)) == _ranks(rank(e, 2, missing="retain"))
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("contribution", ["rank", "source_id"])
+def test_a_routed_round_has_two_exchanges(spark, contribution):
+    """The shipped ranks by edge partition, the partial sums by vertex; the kept tables stay where they are."""
+    from graphtables.functions.columns import edge_partition_of
+    from graphtables.plans.routed import RoutedLoop
+
+    e = part_supplier_edges(spark, SF_SMALL)
+    ep = e.withColumn("edge_partition", edge_partition_of("src_id", "dst_id", 9))
+    for partitions in (None, 5):
+        loop = RoutedLoop(ep, contribution=contribution, vertex_partitions=partitions)
+        loop.run(3).unpersist()
+        for found in loop.round_exchanges:
+            assert len(found) == 2 and sum("passthrough" in x and "edge_partition" in x for x in found) == 1, found
+            assert sum("hashpartitioning(id" in x and f", {partitions or 8})" in x for x in found) == 1, found
+    spark.catalog.clearCache()
+
+
+def test_routed_edges_lie_by_partition_in_order(spark):
+    from graphtables.functions.columns import edge_partition_of
+    from graphtables.operators.layout import partition_order
+    from graphtables.plans.routed import RoutedLoop
+
+    seen = {}
+
+    class Watched(RoutedLoop):
+        def _keep(self, stage, df):
+            kept = super()._keep(stage, df)
+            if stage == "build edges":
+                seen["order"] = partition_order(kept, ["src_id", "dst_id"]).collect()
+                seen["at"] = {(r["edge_partition"], r["p"]) for r in kept.select(
+                    "edge_partition", F.spark_partition_id().alias("p")).distinct().collect()}
+            return kept
+
+    from pyspark.sql import functions as F
+
+    ep = part_supplier_edges(spark, SF_SMALL).withColumn("edge_partition", edge_partition_of("src_id", "dst_id", 6))
+    Watched(ep).run(1).unpersist()
+    assert all(r["ordered"] for r in seen["order"]) and seen["at"] == {(p, p) for p in range(6)}
+    spark.catalog.clearCache()
+
+
 def test_lazy_plan_splits_a_hot_source(spark):
     # a third of all edges leave vertex 0: the lazy plan joins them by broadcast
     from pyspark.sql import functions as F
