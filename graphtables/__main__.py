@@ -5,7 +5,8 @@
 
 PROGRAM picks the variant: ``dataframe`` (= R5, the first program as written),
 ``lowlevel`` (= R7, the second program as written, with its routing tables built over the
-input splits, whose number ``--partitions`` does not change), or one of ``R5 R6 R7 R8``.
+blocks of the input; ``--partitions`` are its vertex partitions, 200 as in the original), or one of ``R5 R6 R7 R8``.
+With ``--state DIR`` the rounds are kept there, and a later call continues after the last finished one.
 Each stage prints ``<stage>: <ms> ms`` like the original programs; with
 ``--output`` the final ranks are written as parquet (the originals only count
 them).
@@ -18,9 +19,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from graphtables.plans.durable import DurableRankLoop
 from graphtables.plans.loop import RankLoop
 from graphtables.plans.routed import RoutedLoop
-from graphtables.sources.edges import read_edges, read_split_edges
+from graphtables.sources.edges import BLOCK_BYTES, block_splits, read_block_edges, read_edges
 
 VARIANTS = {
     "R5": dict(init="incidence", missing="drop"),
@@ -37,20 +39,31 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("iters", type=int)
     ap.add_argument("path")
     ap.add_argument("--output", help="write the final ranks as parquet here")
-    ap.add_argument("--partitions", type=int, help="partitions of the round loop")
+    ap.add_argument("--partitions", type=int, help="partitions of the round loop; of lowlevel, of its vertices (200)")
+    ap.add_argument("--state", help="folder of a resumable loop (not for lowlevel)")
+    ap.add_argument("--block-bytes", type=int, default=BLOCK_BYTES, help="bytes of an edge partition of lowlevel")
     ap.add_argument("--checkpoint-every", type=int, default=10)
     ap.add_argument("--mode", choices=["failfast", "permissive"], default="failfast")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("graphtables").getOrCreate()
     variant = VARIANTS[PROGRAMS.get(args.program, args.program)]
+    if args.program == "lowlevel" and args.state:
+        ap.error("--state is for the other programs")
     if args.program == "lowlevel":
-        loop = RoutedLoop(read_split_edges(spark, args.path, mode=args.mode), contribution="source_id",
-                          checkpoint_every=args.checkpoint_every)
+        edges = read_block_edges(spark, args.path, args.mode, args.block_bytes)
+        loop = RoutedLoop(edges, contribution="source_id", checkpoint_every=args.checkpoint_every,
+                          vertex_partitions=args.partitions or 200)
+        with block_splits(spark, args.block_bytes):
+            ranks = loop.run(args.iters)
+    elif args.state:
+        loop = DurableRankLoop(spark, args.state, read_edges(spark, args.path, mode=args.mode),
+                               partitions=args.partitions, **variant)
+        ranks = loop.run(args.iters)
     else:
         loop = RankLoop(read_edges(spark, args.path, mode=args.mode), partitions=args.partitions,
                         checkpoint_every=args.checkpoint_every, **variant)
-    ranks = loop.run(args.iters)
+        ranks = loop.run(args.iters)
     print(loop.timer.report())
     print(f"ranks: {ranks.count()} rows")
     if args.output:

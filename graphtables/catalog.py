@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtables.functions.columns import edge_partition_of
-from graphtables.operators import keyed, layout, rank as rk, routing as rt
+from graphtables.operators import bitmaps, generate, keyed, layout, numbering, rank as rk, routing as rt
 from graphtables.operators.graph import (
     collapse_edges,
     endpoints,
@@ -29,17 +29,21 @@ from graphtables.operators.graph import (
     vertex_ids,
     vertices,
 )
+from graphtables.operators.upsert import StoredKeyed
+from graphtables.plans.durable import DurableRankLoop
 from graphtables.plans.loop import RankLoop
 from graphtables.plans.routed import RoutedLoop
 from graphtables.session import checkpoint_dir, discard, shared_path
 from graphtables.sources.edges import (
+    block_offsets,
+    block_splits,
     parse_edges,
-    read_edge_lines,
+    read_block_edges,
     read_edges,
-    read_split_edges,
     rejected_lines,
     write_edges,
 )
+from graphtables.sources.stored import bucket_placement, open_graph, store_graph
 from graphtables.sources.tables import (
     customer_geo_edges,
     nation_trade_edges,
@@ -48,6 +52,7 @@ from graphtables.sources.tables import (
     user_succession_edges,
 )
 
+BLOCK = 1 << 14     # bytes of a block of the text queries
 NUM_EP = 4          # edge partitions of the routing queries
 NUM_EP_SIZES = 6    # partition domain of routing_sizes: 4 and 5 stay empty
 
@@ -118,16 +123,44 @@ def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _kept_copy(spark.read.parquet(out), src, out, out + "-progress")
 
 
+def _tg1_text(spark: SparkSession, d: str) -> str:
+    """TG1 as text lines in the folder of a path: eight files, by the source modulo 8, each sorted by (source, destination)."""
+    path = shared_path(spark, "tg1-blocks")
+    e = part_supplier_edges(spark, d).select(F.pmod("src_id", F.lit(8)).alias("part"), "src_id", "dst_id")
+    (e.repartition(8, "part").sortWithinPartitions("part", "src_id", "dst_id")
+     .select("part", F.concat_ws("\t", "src_id", "dst_id").alias("value")).write.partitionBy("part").text(path))
+    return path
+
+
 def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
-    """S6 as the original, stored: TG1 as text, its edges with the index of their input split;
-    per edge how many rows it has, and whether all split indices are below the number of splits."""
-    path = shared_path(spark, "tg1-splits")
-    write_edges(part_supplier_edges(spark, d), path)
-    splits = read_edge_lines(spark, path).select(F.spark_partition_id().alias("p")).distinct().count()
-    edges = read_split_edges(spark, path)
-    out = edges.groupBy("src_id", "dst_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("edge_partition").between(0, splits - 1)).alias("in_range"))
-    return _kept_copy(out, path)
+    """S6 on TG1 as text, its edges with the block of their line; per edge how many rows it has, and whether
+    all block numbers are below the number of blocks."""
+    path = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK):
+        blocks = block_offsets(spark, path, BLOCK).agg(F.max("first")).first()[0] + 1
+        edges = read_block_edges(spark, path, block_bytes=BLOCK)
+        last = edges.where(F.col("edge_partition") >= blocks).select("edge_partition").distinct().count()
+        out = edges.groupBy("src_id", "dst_id").agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and(F.col("edge_partition").between(0, blocks + last - 1)).alias("in_range"))
+        return _kept_copy(out, path)
+
+
+def block_groups(spark: SparkSession, d: str) -> DataFrame:
+    """What lies in each block of TG1 as text: rows, and distinct sources."""
+    path = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK):
+        edges = read_block_edges(spark, path, block_bytes=BLOCK)
+        return _kept_copy(edges.groupBy("edge_partition").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("src_id").alias("sources")), path)
+
+
+def rank_routed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """R2 over the blocks of a text scan, 3 rounds on TG1 (= R8)."""
+    path = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK):
+        out = _loop_ranks(RoutedLoop(read_block_edges(spark, path, block_bytes=BLOCK)), 3)
+    discard(spark, path)
+    return out
 
 
 def _mixed_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -252,8 +285,8 @@ def rank_unique_drop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_source_id(spark: SparkSession, d: str) -> DataFrame:
-    """R7 on TG1, 3 rounds."""
-    return _ranks_out(rk.rank(part_supplier_edges(spark, d), 3, contribution="source_id",
+    """R7 on TG1: the table of every round from the first on (the loop's query runs three)."""
+    return _ranks_out(rk.rank(part_supplier_edges(spark, d), 1, contribution="source_id",
                               missing="retain"))
 
 
@@ -520,6 +553,131 @@ def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return loop.metrics().select("stage", "rows", (F.col("ms") > 0).alias("timed"))
 
 
+# ---- stored tables and loops ---------------------------------------------------------------------
+
+def _from_state(spark: SparkSession, edges: DataFrame, first: int, rounds: int, **options) -> DataFrame:
+    """``first`` rounds by one loop; another one, which knows the state alone, does the rest."""
+    state = shared_path(spark, "loop-state")
+    DurableRankLoop(spark, state, edges, **options).run(first)
+    later = DurableRankLoop(spark, state)
+    return _kept_copy(_ranks_out(later.run(rounds)), state)
+
+
+def rank_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """R8 on TG1, one round, then continued to 3 from the stored state (= rank_unique_retain)."""
+    return _from_state(spark, part_supplier_edges(spark, d), 1, 3, missing="retain")
+
+
+def rank_resumed_hot(spark: SparkSession, d: str) -> DataFrame:
+    """The same on TG4 reversed with P = 64: every nation's edges are stored apart (= rank_hot_sources)."""
+    return _from_state(spark, reverse_edges(customer_geo_edges(spark, d)), 2, 3, missing="retain", partitions=64)
+
+
+def rank_resumed_incidence(spark: SparkSession, d: str) -> DataFrame:
+    """R5 on TG3, layout and round 0 by one loop, 3 rounds by another (= rank_incidence_drop)."""
+    return _from_state(spark, user_succession_edges(spark, d), 1, 3, init="incidence")
+
+
+def resumed_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The finished rounds of a dropping loop on TG3 that was continued after round 1, with their rows."""
+    state = shared_path(spark, "loop-state")
+    DurableRankLoop(spark, state, user_succession_edges(spark, d)).run(1)
+    later = DurableRankLoop(spark, state)
+    later.run(3)
+    return _kept_copy(later.rounds().select("round", "rows", F.lit(later.started_at).alias("started_at")), state)
+
+
+def stage_rows_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of stage_rows, counted by the writes of the resumable loop."""
+    state = shared_path(spark, "loop-state")
+    loop = DurableRankLoop(spark, state, part_supplier_edges(spark, d), partitions=8)
+    loop.run(3)
+    loop.discard_state()
+    return loop.metrics().select("stage", "rows")
+
+
+def stored_edge_join(spark: SparkSession, d: str) -> DataFrame:
+    """TG1 and its vertices stored by source and by id, opened again and joined where they lie; sums by destination."""
+    path = shared_path(spark, "tg1-stored")
+    store_graph(part_supplier_edges(spark, d), path)
+    e, v = open_graph(spark, path)
+    joined = e.join(v.hint("shuffle_hash"), e["src_id"] == v["id"]).select(
+        F.col("dst_id").alias("id"), (F.col("weight") * F.col("rank")).alias("contrib"))
+    return _kept_copy(rk.contrib_sum(joined).select("id", _r6("total_contrib")), path)
+
+
+def stored_placement(spark: SparkSession, d: str) -> DataFrame:
+    """What the files of the stored edges and vertices of TG1 hold: rows, whether each key lies in one file, and whether
+    there are at most as many files as buckets."""
+    path = shared_path(spark, "tg1-stored")
+    store_graph(part_supplier_edges(spark, d), path, 16)
+    parts = [bucket_placement(spark, f"{path}/{name}").select(
+        F.lit(name).alias("stored"), "rows", "placed", (F.col("buckets") <= 16).alias("bounded")) for name in ("edges", "vertices")]
+    return _kept_copy(parts[0].unionByName(parts[1]), path)
+
+
+# ---- dense numbers, bitmaps, messages, generated rows ------------------------------------------------
+
+def vertex_slots(spark: SparkSession, d: str) -> DataFrame:
+    """A5, G1: the vertices of TG1 numbered over 200 parts, without gaps."""
+    return numbering.vertex_slots(vertex_ids(part_supplier_edges(spark, d)), 200)
+
+
+def slot_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A5: TG3 (ids collapsed) between the slots of its vertices over 200 parts."""
+    e = user_succession_edges(spark, d)
+    return numbering.slot_edges(e, numbering.vertex_slots(vertex_ids(e), 200)).select("src_id", "dst_id", _r6("weight"))
+
+
+def _tg1_bitmaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = part_supplier_edges(spark, d)
+    return bitmaps.id_bitmap(e, "src_id"), bitmaps.id_bitmap(e, "dst_id")
+
+
+def bitmap_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """K1, K2 as bitmaps: how many sources and destinations TG1 has, how many ids are either, and both."""
+    src, dst = _tg1_bitmaps(spark, d)
+    sets = {"sources": src, "destinations": dst, "either": bitmaps.bitmap_union(src, dst),
+            "both": bitmaps.bitmap_intersection(src, dst)}
+    parts = [bitmaps.bitmap_size(s).select(F.lit(name).alias("ids"), "n") for name, s in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def bitmap_union(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the ids of the united bitmaps of TG1 (= id_union)."""
+    return bitmaps.bitmap_ids(bitmaps.bitmap_union(*_tg1_bitmaps(spark, d)))
+
+
+def bitmap_membership(spark: SparkSession, d: str) -> DataFrame:
+    """K2: the ids in both bitmaps of TG1 (= id_membership)."""
+    return bitmaps.bitmap_ids(bitmaps.bitmap_intersection(*_tg1_bitmaps(spark, d)))
+
+
+def _keyed_upsert(how: str) -> Query:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        ev = table(spark, d, "events").select(
+            F.col("user_id").alias("key"), F.pmod(F.col("event_id"), F.lit(16)).cast("bigint").alias("value"),
+            F.col("event_id").alias("seq"))
+        path = shared_path(spark, "keyed")
+        stored = StoredKeyed(spark, path, how=how, seq="seq" if how == "last" else None, parts=16)
+        for k in range(3):
+            stored.merge(ev.where(F.pmod("seq", F.lit(3)) == k), f"batch-{k}")
+        return _kept_copy(stored.table(), path)
+    q.__doc__ = f"K4 on a stored table: two merges after the first, events by id modulo 3, merge = {how}."
+    return q
+
+
+def routing_by_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The routing table of TG1 built inside its edge partitions, as packed messages placed by vertex, and unpacked."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rt.routing_of_messages(rt.routing_from_messages(_tg1_ep(spark, d), n))
+
+
+def edge_endpoints_function(spark: SparkSession, d: str) -> DataFrame:
+    """U1 on TG3 by a caller's function (= edge_endpoints)."""
+    return generate.endpoints_by_function(user_succession_edges(spark, d))
+
+
 def rank_two_way_hub(spark: SparkSession, d: str) -> DataFrame:
     """R8 on TG4 united with its reverse, 3 rounds, P = 64: every nation is a hot source and a hot
     destination, so a plan that copied contributions to salts would multiply its rows."""
@@ -599,4 +757,22 @@ QUERIES: dict[str, Query] = {
     "rank_loop_hot_sources": rank_loop_hot_sources,
     "stage_rows": stage_rows,
     "stage_metrics": stage_metrics,
+    "block_groups": block_groups,
+    "rank_routed_blocks": rank_routed_blocks,
+    "rank_resumed": rank_resumed,
+    "rank_resumed_hot": rank_resumed_hot,
+    "rank_resumed_incidence": rank_resumed_incidence,
+    "resumed_rounds": resumed_rounds,
+    "stage_rows_observed": stage_rows_observed,
+    "stored_edge_join": stored_edge_join,
+    "stored_placement": stored_placement,
+    "vertex_slots": vertex_slots,
+    "slot_edges": slot_edges,
+    "bitmap_sizes": bitmap_sizes,
+    "bitmap_union": bitmap_union,
+    "bitmap_membership": bitmap_membership,
+    "keyed_upsert_sum": _keyed_upsert("sum"),
+    "keyed_upsert_last": _keyed_upsert("last"),
+    "routing_by_messages": routing_by_messages,
+    "edge_endpoints_function": edge_endpoints_function,
 }

@@ -128,6 +128,9 @@ _SHIP = ("s AS (SELECT rt.edge_partition, r.id, r.rank FROM rt JOIN r8 r ON rt.v
 _KEYED = "SELECT user_id AS key, {agg} AS value FROM events GROUP BY user_id"
 _POS = "(CASE WHEN is_src THEN 1 ELSE 0 END + CASE WHEN is_dst THEN 2 ELSE 0 END)"
 
+_SLOTS = ("SELECT id, row_number() OVER (ORDER BY ((id % 200) + 200) % 200, id) - 1 AS slot "
+          f"FROM ({VERTICES}) v")
+
 ORACLE: dict[str, str] = {
     "edge_parse": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
     "edge_file_roundtrip": f"SELECT src_id, dst_id, weight FROM ({TG1}) g",
@@ -248,4 +251,43 @@ ORACLE: dict[str, str] = {
     "rank_loop_incidence": rank_sql("TG3", 3, init="incidence"),
     "rank_loop_checkpointed": rank_sql("TG1", 3, missing="retain"),
     "rank_loop_source_id": rank_sql("TG1", 3, missing="retain", contribution="source_id"),
+    "rank_routed_blocks": rank_sql("TG1", 3, missing="retain"),
+    "block_groups": _with(_e("TG1"),
+                          "l AS (SELECT src_id % 8 AS part, src_id, dst_id, "
+                          "length(src_id::VARCHAR || chr(9) || dst_id::VARCHAR) + 1 AS len FROM e)",
+                          "o AS (SELECT part, src_id, sum(len) OVER (PARTITION BY part ORDER BY src_id, dst_id "
+                          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len AS pos FROM l)",
+                          "f AS (SELECT part, sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first "
+                          "FROM (SELECT part, greatest(1, ceil(sum(len) / 16384.0)) AS n FROM l GROUP BY part))") + (
+        # a line belongs to the split in which the line break before it lies
+        "SELECT CAST(coalesce(first, 0) + CASE WHEN pos = 0 THEN 0 ELSE (pos - 1) // 16384 END AS INTEGER) AS edge_partition, "
+        "count(*) AS n, count(DISTINCT src_id) AS sources FROM o JOIN f USING (part) GROUP BY 1"),
+    "rank_resumed": rank_sql("TG1", 3, missing="retain"),
+    "rank_resumed_hot": rank_sql("TG4R", 3, missing="retain"),
+    "rank_resumed_incidence": rank_sql("TG3", 3, init="incidence"),
+    "resumed_rounds": _with(rank_ctes(TG3, 3)[0]) + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS round, CAST(count(*) AS BIGINT) AS rows, CAST(1 AS INTEGER) AS started_at FROM r{i}"
+        for i in (1, 2, 3)),
+    "stored_edge_join": _with(_e("TG1")) + (
+        "SELECT dst_id AS id, round(SUM(weight * 1.0::DOUBLE), 6) AS total_contrib FROM e GROUP BY dst_id"),
+    "stored_placement": _with(_e("TG1")) + (
+        "SELECT 'edges' AS stored, count(*) AS rows, true AS placed, true AS bounded FROM (SELECT DISTINCT src_id, dst_id FROM e) c "
+        f"UNION ALL SELECT 'vertices', count(*), true, true FROM ({VERTICES}) v"),
+    "vertex_slots": _with(_e("TG1")) + _SLOTS,
+    "slot_edges": _with(_e("TG3"), f"s AS ({_SLOTS})") + (
+        "SELECT a.slot AS src_id, b.slot AS dst_id, round(SUM(weight), 6) AS weight FROM e "
+        "JOIN s a ON e.src_id = a.id JOIN s b ON e.dst_id = b.id GROUP BY ALL"),
+    "bitmap_sizes": _with(_e("TG1")) + (
+        "SELECT 'sources' AS ids, count(DISTINCT src_id) AS n FROM e UNION ALL SELECT 'destinations', count(DISTINCT dst_id) FROM e "
+        f"UNION ALL SELECT 'either', count(*) FROM ({VERTICES}) v "
+        "UNION ALL SELECT 'both', count(DISTINCT src_id) FROM e WHERE src_id IN (SELECT dst_id FROM e)"),
+    "bitmap_union": _with(_e("TG1")) + VERTICES,
+    "bitmap_membership": _with(_e("TG1")) + (
+        "SELECT DISTINCT src_id AS id FROM e WHERE src_id IN (SELECT dst_id FROM e)"),
+    "keyed_upsert_sum": _KEYED.format(agg="CAST(SUM(event_id % 16) AS BIGINT)"),
+    "keyed_upsert_last": _KEYED.format(agg="ARG_MAX(event_id % 16, event_id)"),
+    "routing_by_messages": _with(routing_ctes()) + "SELECT * FROM rt",
+    "edge_endpoints_function": _with(_e("TG3")) + ENDPOINTS,
 }
+
+ORACLE["stage_rows_observed"] = ORACLE["stage_rows"]

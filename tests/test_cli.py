@@ -39,6 +39,20 @@ def test_cli_permissive_skips_bad_lines(spark, scratch, capsys):
     assert got == {1: 1.0, 2: 1.0, 3: 1.0}
 
 
+def test_cli_continues_a_stored_loop(spark, scratch, capsys):
+    path, state = os.path.join(scratch, "f1.tsv"), os.path.join(scratch, "state")
+    with open(path, "w") as f:
+        f.write("1\t2\n2\t3\n3\t1\n1\t2\n3\t3\n4\t1\n3\t5\n")
+    assert main(["R8", "2", path, "--state", state, "--partitions", "3"]) == 0
+    capsys.readouterr()
+    out = os.path.join(scratch, "ranks")
+    assert main(["R8", "3", path, "--state", state, "--output", out]) == 0
+    text = capsys.readouterr().out
+    assert "iteration 3:" in text and "iteration 2:" not in text and "build edges" not in text
+    got = {r["id"]: round(r["rank"], 6) for r in spark.read.parquet(out).collect()}
+    assert got == {1: 3.07825, 2: 3.295, 3: 5.7515, 4: 0.15, 5: 2.95075}
+
+
 def test_spark_submit_runs_both_programs(spark, scratch):
     """The documented launch command, in a process of its own."""
     import subprocess
