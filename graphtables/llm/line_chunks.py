@@ -16,9 +16,12 @@ A chunk is removed only if it is shared whole, so :func:`remove_repeated` leaves
 passage has outside its inner boundaries. :func:`remove_runs` removes every shared run:
 beside the chunks it indexes each window of two lines, whatever the boundaries, and each line of ``RUN_WORDS``
 words. A line goes if a chunk, window or line that covers it already occurred (equal 64-bit hash, then equal
-SHA-256), and if the run of such lines around it has ``RUN_WORDS`` words or holds a repeated chunk. An
+bytes), and if the run of such lines around it has ``RUN_WORDS`` words or holds a repeated chunk. An
 equal line stays at an earlier place for each line that goes.
 
+Rows are numbered once, in a written table that every later step reads: a number that is computed again
+follows the splits of the files, not the rows.
+
 A null text stays null; the empty text is one empty line, never removed. A text may
 lose all its chunks: its row stays, with an empty text. Repeated rows are later
 occurrences of their first. Extra columns stay unchanged; no rows give no rows.
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtables.llm.common import bounded, free_name, let, written
+from graphtables.operators.skew import split_join
 
 WINDOW = 2
 DIVISOR = 3
@@ -104,9 +108,9 @@ def remove_repeated(docs: DataFrame, order_by: str = "doc_id", text: str = "text
                     divisor: int = DIVISOR, min_lines: int = MIN_LINES,
                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without the chunks to be removed, and with a column ``n_removed`` of their
-    number (``n_removed_`` and so on where ``docs`` has such a column). ``docs`` must read alike each time."""
+    number (``n_removed_`` and so on where ``docs`` has such a column)."""
     row, gone, cut = (free_name(docs, x) for x in ("row__", "gone__", "cut__"))
-    numbered = docs.select("*", F.monotonically_increasing_id().alias(row))
+    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "chunk-rows")
     removed = repeated_chunks(numbered, order_by, text, row, window, divisor, min_lines, broadcast_rows)
     removed = written(removed, "chunk-removals")
     by_row = removed.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
@@ -125,9 +129,9 @@ def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def units(text: Column, with_digest: bool, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+def units(text: Column, with_text: bool, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
           run_words: int = RUN_WORDS) -> Column:
-    """Array of (pos: first line, from 0; lines; chunk: whether it is one; hash, and the SHA-256 if asked for):
+    """Array of (pos: first line, from 0; lines; chunk: whether it is one; hash, and its text if asked for):
     the chunks of ``min_lines`` lines, every two lines and every line of ``run_words`` words of a text."""
     def spans(lines: Column, hashes: Column) -> Column:
         def span(pos: Column, n: Column, chunk: bool) -> Column:
@@ -148,9 +152,8 @@ def units(text: Column, with_digest: bool, window: int = WINDOW, divisor: int =
     def unit(lines: Column, hashes: Column, s: Column) -> Column:
         fields = [s["pos"].alias("pos"), s["lines"].alias("lines"), s["chunk"].alias("chunk"),
                   F.xxhash64(s["chunk"], F.slice(hashes, s["pos"] + 1, s["lines"])).alias("hash")]
-        if with_digest:
-            fields.append(F.unhex(F.sha2(F.array_join(F.slice(lines, s["pos"] + 1, s["lines"]), "\n").cast("binary"), 256))
-                          .alias("digest"))
+        if with_text:
+            fields.append(F.array_join(F.slice(lines, s["pos"] + 1, s["lines"]), "\n").alias("text"))
         return F.struct(*fields)
 
     return let(F.split(text, "\n"), lambda lines: let(_hashed(lines), lambda hashes: F.transform(
@@ -165,20 +168,35 @@ def repeated_units(docs: DataFrame, order_by: str = "doc_id", text: str = "text"
     source = docs.where(F.col(text).isNotNull()).select(
         F.col(row).alias("row"), F.col(order_by).alias("order"), F.col(text).cast("string").alias("text"))
 
-    def exploded(with_digest: bool) -> DataFrame:
+    def exploded(with_text: bool) -> DataFrame:
         return source.select("row", "order", F.explode(units(
-            F.col("text"), with_digest, window, divisor, min_lines, run_words)).alias("unit")).select("row", "order", "unit.*")
+            F.col("text"), with_text, window, divisor, min_lines, run_words)).alias("unit")).select(
+            "row", "unit.*", F.struct(F.col("order").isNull().alias("none"), "order", "row", F.col("unit.pos").alias("pos"))
+            .alias("place"))
 
     hashes = exploded(False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     hashes = bounded(written(hashes, "run-hashes"), broadcast_rows)
-    found = exploded(True).join(hashes, "hash", "left_semi").select(
-        "row", "pos", "lines", "chunk", "hash", "digest",
-        F.struct(F.col("order").isNull().alias("none"), "order", "row", "pos").alias("place"))
-    found = written(found, "run-candidates")
-    key = ["hash", "digest", "chunk"]
-    first = written(found.groupBy(*key).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").drop("n"), "run-first")
-    again = found.join(first, key).where("place != first")
+    # bytes are compared by the grouping; a task sends each text once, however often it has it
+    met = written(exploded(True).join(hashes, "hash", "left_semi").groupBy("hash", "chunk", "text").agg(
+        F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "run-texts")
+    by_hash = met.groupBy("hash", "chunk").agg(
+        F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("first").alias("first"))
+    # of a hash with one text an equal hash is an equal text; the others are told apart by their bytes
+    alone = written(by_hash.where("texts = 1 and n > 1").select(
+        F.col("hash").alias("of"), F.col("chunk").alias("kind"), "first"), "run-first")
+    several = written(by_hash.where("texts > 1").select("hash", "chunk"), "run-clashes")
+    found = exploded(False).select("row", "pos", "lines", "chunk", "hash", "place")
+    if alone.count() <= broadcast_rows:
+        first = F.broadcast(alone)
+        again = found.join(first, (F.col("hash") == F.col("of")) & (F.col("chunk") == F.col("kind")))
+    else:
+        again = split_join(found.join(hashes, "hash", "left_semi"), alone, ["hash", "chunk"], ["of", "kind"])
+    if not several.isEmpty():
+        clashing = exploded(True).join(several, ["hash", "chunk"], "left_semi")
+        again = again.select("row", "pos", "lines", "chunk", "place", "first").unionByName(clashing.join(
+            met.join(several, ["hash", "chunk"], "left_semi").select("hash", "chunk", "text", "first"),
+            ["hash", "chunk", "text"]).select("row", "pos", "lines", "chunk", "place", "first"))
+    again = again.where("place != first")
     return again.select("row", "chunk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("lines") - 1)).alias(
         "line")).groupBy("row", "line").agg(F.max("chunk").alias("chunk"))
 
@@ -187,9 +205,9 @@ def remove_runs(docs: DataFrame, order_by: str = "doc_id", text: str = "text", w
                 divisor: int = DIVISOR, min_lines: int = MIN_LINES, run_words: int = RUN_WORDS,
                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without the runs of lines that occurred at an earlier place, and with a column ``n_removed`` of
-    the number of their lines (named as in :func:`remove_repeated`). ``docs`` must read alike each time."""
+    the number of their lines (named as in :func:`remove_repeated`)."""
     row, gone, cut = (free_name(docs, x) for x in ("row__", "gone__", "cut__"))
-    numbered = docs.select("*", F.monotonically_increasing_id().alias(row))
+    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "run-rows")
     again = written(repeated_units(numbered, order_by, text, row, window, divisor, min_lines, run_words, broadcast_rows),
                     "run-lines")
     by_row = again.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("line", "chunk"))).alias(gone))

@@ -78,6 +78,32 @@ def test_different_chunks_of_equal_hash_stay(spark, monkeypatch):
     assert bag((r.doc_id, r.text, r.n_removed) for r in got) == [(1, "a\nb\nc\nd", 0), (2, "", 1), (3, "e\nf\ng\nh", 0)]
 
 
+def test_different_runs_of_equal_hash_stay(spark, monkeypatch):
+    """With one hash for all units, bytes alone decide, broadcast or shuffled."""
+    docs = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh"), (4, "x\n" + "w " * 12), (5, "y\n" + "w " * 12)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(lc.F, "xxhash64", lambda *c: lc.F.lit(1).cast("long"))
+    for rows in (lc.BROADCAST_ROWS, 0):
+        got = lc.remove_runs(table, broadcast_rows=rows).collect()
+        assert bag((r.doc_id, r.text, r.n_removed) for r in got) == bag(
+            [(1, docs[0][1], 0), (2, "", 4), (3, docs[2][1], 0), (4, docs[3][1], 0), (5, "y", 1)])
+
+
+@pytest.mark.parametrize("remove", [lc.remove_runs, lc.remove_repeated])
+def test_results_do_not_follow_the_file_splits(spark, scratch, remove):
+    """Built under one split size, run under another."""
+    frame(spark, rows() * 3).repartition(2).write.option("parquet.block.size", 4096).parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    expected = bag(tuple(r) for r in remove(docs).collect())
+    cleaned = remove(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert bag(tuple(r) for r in cleaned.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r.n_removed > 0 for r in cleaned.collect()) > 30
+
+
 def test_name_clash_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a\nb", 9)], "doc_id long, text string, n_removed int")
     assert lc.remove_repeated(docs).columns == ["doc_id", "text", "n_removed", "n_removed_"]
