@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphtables._workers import ship_with_tasks
-from graphtables.llm.common import bounded, texts, written
+from graphtables.llm.common import bounded, free_name, texts, written
+from graphtables.operators.skew import split_join
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -135,9 +136,10 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket: int =
     parts = segments(max_distance)
     rest = {p: segments(max_distance, BITS - p[1]) for p in parts}
     number = F.shiftright("key", 32)
-    # spread before the explode, which makes 64 rows of one: Spark sizes tasks and joins by what goes in
+    # spread before the explode, which makes 64 rows of one: Spark sizes tasks and joins by what goes in. By another
+    # expression than ``distinct`` has, which would make it no exchange of its own
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select("fp").distinct().repartition(tasks, "fp").select(
+    keyed = fps.select("fp").distinct().repartition(tasks, F.xxhash64("fp")).select(
         "fp", F.explode(variants(F.col("fp"), parts)).alias("key"))
     large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket).select("key"),
                     "simhash-large")
@@ -169,7 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(least, "u")
+        # a centre may have any number of neighbours; such ones meet their one row of ``least`` by broadcast
+        moved = split_join(both, least.select(F.col("u").alias("centre"), "m"), ["u"], ["centre"])
         keep = F.col("v") > F.col("u") if large else F.lit(True)
         out = moved.where(keep).select(F.col("m").alias("a"), F.col("v").alias("b"))
         if not large:
@@ -202,8 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = rooted.join(named, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    # many to one, and a root or a fingerprint may have a third of all rows
+    by_fp = split_join(rooted, named.select(F.col("root").alias("of_root"), "component"), ["root"], ["of_root"])
+    by_fp = written(by_fp.select(F.col("fp").alias("of_fp"), "component"), "simhash-components")
+    return split_join(fps, by_fp, ["fp"], ["of_fp"]).select("id", "fp", "component")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -213,13 +218,14 @@ def fingerprint_hex(fp: Column) -> Column:
 def keep_one(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
              shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` less all rows of a component but the first by (``order_by``, position); all columns
-    unchanged. ``docs`` must be a table that reads alike each time (a written one)."""
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("row__"))
+    unchanged. Rows are numbered once, in a written table: a number that is computed again follows the splits of the files."""
+    row = free_name(docs, "row__")
+    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "simhash-rows")
     keyed = numbered.select(F.struct(F.col(order_by).isNull().alias("none"), F.col(order_by).alias("order"),
-                                     F.col("row__").alias("row")).alias("rank"), F.col(text).alias("text"))
+                                     F.col(row).alias("row")).alias("rank"), F.col(text).alias("text"))
     classes = near_duplicates(keyed, "rank", "text", shingle_words, max_distance)
-    drops = written(classes.where("id != component").select(F.col("id.row").alias("row__")), "simhash-drops")
-    return numbered.join(bounded(drops, BROADCAST_ROWS), "row__", "left_anti").drop("row__")
+    drops = written(classes.where("id != component").select(F.col("id.row").alias(row)), "simhash-drops")
+    return numbered.join(bounded(drops, BROADCAST_ROWS), row, "left_anti").drop(row)
 
 
 ship_with_tasks(__name__)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphtables.llm import simhash
+from graphtables.llm import catalog, simhash
 from tests.llm.samples import awkward_texts, bag, frame
 
 
@@ -88,6 +88,36 @@ def test_keep_one_leaves_a_row_of_each_component(spark, scratch):
     assert bag(roots[plain_fingerprint(r.text)] for r in kept.collect()) == bag(set(roots.values()))
 
 
+def test_keep_one_does_not_follow_the_file_splits(spark, scratch):
+    """Built under one split size, run under another."""
+    frame(spark, awkward_texts() * 3).repartition(2).write.option("parquet.block.size", 4096).parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    n = simhash.keep_one(docs).count()
+    kept = simhash.keep_one(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert kept.count() == n < docs.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_keys_are_spread_before_they_are_made(spark):
+    """The exchange before the explode is one of its own."""
+    table = spark.createDataFrame([(f,) for f in range(200)], "fp long")
+    plan = simhash.links(table)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_op1_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    roots, least = plain_components(fps.values()), {}
+    for i in sorted(fps):
+        least.setdefault(roots[fps[i]], i)
+    got = [tuple(r) for r in catalog.op1_simhash_variants(spark, "/root/testdata/sf0.001").collect()]
+    assert bag(got) == bag((i, f"{f:016x}", least[roots[f]]) for i, f in fps.items())
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.keep_one(frame(spark, [])).collect() == []
