@@ -8,9 +8,10 @@ backwards through its wavelet-tree ranks, locate the occurrences by sampled suff
 positions, and merge their spans per text. Texts longer than a shard are cut into
 pieces that overlap by the longest phrase less one word.
 
-Phrases are distinct windows, dealt by hash into blocks of a bounded expected number;
-each block goes to the tasks with one pass over the texts, so no block's size grows
-with the benchmark. The usual benchmark is one block.
+Phrases are distinct windows, dealt by hash into blocks of a bounded expected number. The driver holds one block at a
+time: it goes to the tasks with one pass over the texts, whose hits are written before the next block is
+read, so neither the driver's nor the tasks' share grows with the benchmark. The usual benchmark is one block. Only
+phrases travel this way; which items have a phrase is joined to what was found, by phrase number.
 
 Null or wordless texts have no words and no hits; null or wordless items have no
 phrases; an empty benchmark hits nothing; an empty table gives no rows. Equal windows of several items count for each; repeated rows
@@ -60,7 +61,7 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
 
 
 def phrases(items: DataFrame, id_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(phrase, item ids) per distinct window, a phrase being its words joined by blanks."""
+    """(phrase, item) per window of each item, each once; a phrase is its words joined by blanks."""
     source = items.select(F.col(id_col).alias("item"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("phrase", T.BinaryType()), source.schema[0]])
 
@@ -72,7 +73,13 @@ def phrases(items: DataFrame, id_col: str = "item_id", text: str = "text", windo
                 [pa.array([w for _, w in found], pa.binary()),
                  batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))], names=["phrase", "item"])
 
-    return source.mapInArrow(run, schema).groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return source.mapInArrow(run, schema).distinct()
+
+
+def listed_phrases(pairs: DataFrame) -> DataFrame:
+    """(number, phrase): the distinct phrases, numbered once and written."""
+    return written(pairs.select("phrase").distinct().select(F.monotonically_increasing_id().alias("number"), "phrase"),
+                   "decontam-phrases")
 
 
 class PhraseBlock:
@@ -153,56 +160,92 @@ def spans_of(documents: list[bytes | None], block: PhraseBlock,
     return [(n, merged(spans), found) for n, spans, found in out]
 
 
-def _joined(old: pa.Array, new: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    return [merged([(s["begin"], s["end"]) for s in a] + b) for a, b in zip(old.to_pylist(), new)]
-
-
 def _span_array(spans: list[list[tuple[int, int]]], kind: pa.DataType) -> pa.Array:
     return pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], kind)
 
 
-def _blocks(found: DataFrame, block_windows: int) -> list[DataFrame]:
-    blocks = max(1, math.ceil(found.count() / block_windows))
-    return [found.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k) for k in range(blocks)]
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
+                      T.StructField("numbers", T.ArrayType(T.LongType()))])
 
 
-def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
-               item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-               block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, spans (merged, in words, end exclusive), items
-    (ids of the items with an occurring window, sorted)."""
-    found = written(phrases(items, item_id, item_text, window), "decontam-phrases")
-    item_type = found.schema["items"].dataType
-    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast(SPANS).alias("spans"), F.array().cast(item_type).alias("items"))
-    for part in _blocks(found, block_windows):
-        out = _pass(out, part)
-    return out.drop("text")
-
-
-def _pass(docs: DataFrame, part: DataFrame) -> DataFrame:
-    """One block of phrases against all texts; its spans and items join those found so far."""
-    rows = part.collect()                           # at most about BLOCK_WINDOWS windows
-    block = docs.sparkSession.sparkContext.broadcast(
-        ([bytes(r["phrase"]) for r in rows], [r["items"] for r in rows]))
-    names = docs.columns
-    cache: list[PhraseBlock] = []
+def _pass(docs: DataFrame, block, hits_only: bool) -> DataFrame:
+    """One block of phrases against all texts (the last column): the other columns, and FOUND."""
+    schema = T.StructType([*docs.schema.fields[:-1], *FOUND.fields])
+    kept = len(docs.columns) - 1
+    cache: list[tuple[PhraseBlock, list[int]]] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, items = block.value
         if not cache:
-            cache.append(PhraseBlock(found))
+            numbers, found = block.value
+            cache.append((PhraseBlock(found), numbers))
+        phrases_, numbers = cache[0]
+        span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            result = spans_of(list(texts(batch.columns[-1])), phrases_)
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], pa.array([n for n, _, _ in result], pa.int64()),
+                 _span_array([s for _, s, _ in result], span_type),
+                 pa.array([[numbers[k] for k in sorted(hit)] for _, _, hit in result], pa.list_(pa.int64()))],
+                names=schema.names)
+            yield out.filter(pa.array([bool(s) for _, s, _ in result], pa.bool_())) if hits_only else out
+
+    return docs.mapInArrow(run, schema)
+
+
+def _blocks(listed: DataFrame, block_windows: int) -> int:
+    return max(1, math.ceil(listed.count() / block_windows))
+
+
+def _sent(listed: DataFrame, blocks: int, k: int):
+    """Block ``k`` as a broadcast: at most about ``block_windows`` phrases."""
+    rows = listed.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).collect()
+    return listed.sparkSession.sparkContext.broadcast(([r["number"] for r in rows], [bytes(r["phrase"]) for r in rows]))
+
+
+def _hits(rows: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
+    """(row, spans, numbers) of the rows with hits, over all blocks, each with a pass of its own that is written before the
+    next begins. ``rows``: row, text, a written table."""
+    parts = None
+    for k in range(blocks):
+        block = _sent(listed, blocks, k)
+        part = written(_pass(rows, block, True), "decontam-hits")
+        block.destroy()
+        parts = part if parts is None else parts.unionAll(part)
+    grouped = parts.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"),
+                                       F.flatten(F.collect_list("numbers")).alias("numbers"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            result = spans_of(list(texts(batch.column(1))), cache[0])
-            spans = _joined(batch.column(3), [new for _, new, _ in result])
-            ids = [sorted(set(old).union(*(items[k] for k in hit)))
-                   for old, (_, _, hit) in zip(batch.column(4).to_pylist(), result)]
+            spans = [merged([(s["begin"], s["end"]) for s in one]) for one in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([n for n, _, _ in result], pa.int64()),
-                 _span_array(spans, batch.column(3).type),
-                 pa.array(ids, batch.column(4).type)], names=names)
+                [batch.column(0), _span_array(spans, batch.column(1).type), batch.column(2)], names=batch.schema.names)
+
+    return grouped.mapInArrow(join, grouped.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+
+def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
+               item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+               block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, spans (merged, in words, end exclusive), items
+    (ids of the items with an occurring window, sorted)."""
+    pairs = written(phrases(items, item_id, item_text, window), "decontam-pairs")
+    listed = listed_phrases(pairs)
+    blocks = _blocks(listed, block_windows)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if blocks == 1:
+        found = written(_pass(source, _sent(listed, 1, 0), False).withColumn("row", F.monotonically_increasing_id()), "decontam-found")
+    else:
+        rows = written(source.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "decontam-rows")
+        hits = _hits(rows.select("row", "text"), listed, blocks)
+        counted = _pass(rows, listed.sparkSession.sparkContext.broadcast(([], [])), False).select("row", "id", "n_words")
+        found = written(counted.join(hits, "row", "left"), "decontam-found")
+    # the items of what was found: many rows may have one phrase, and many items
+    of_row = found.select("row", F.explode("numbers").alias("number")).join(listed, "number").join(
+        pairs.where("item is not null"), "phrase")
+    by_row = of_row.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    none = F.array().cast(T.ArrayType(pairs.schema["item"].dataType))
+    return found.join(by_row, "row", "left").select(
+        "id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", none).alias("items"))
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -219,35 +262,36 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                  item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with every occurrence of a phrase cut out of its text; all else unchanged.
 
-    Every block searches the whole texts; its spans join those found so far, and the last
-    one cuts, so the number of blocks does not change the result."""
-    found = written(phrases(items, item_id, item_text, window), "decontam-phrases")
-    spans, at = free_name(docs, "spans__"), docs.columns.index(text)
-    out = docs.withColumn(spans, F.array().cast(SPANS))
-    blocks = _blocks(found, block_windows)
-    for k, part in enumerate(blocks, 1):
-        block = docs.sparkSession.sparkContext.broadcast([bytes(r["phrase"]) for r in part.select("phrase").collect()])
-        out = _marked(out, block, at, cut=k == len(blocks))
-    return out.drop(spans)
-
-
-def _marked(docs: DataFrame, block, at: int, cut: bool) -> DataFrame:
-    """One block of phrases against all texts (column ``at``): its spans join those in the last
-    column or, if ``cut``, are cut out of the texts with them."""
+    All blocks search the whole texts, and their merged spans are cut once, so the number of blocks does not
+    change the result."""
+    listed = listed_phrases(phrases(items, item_id, item_text, window))
+    blocks, at = _blocks(listed, block_windows), docs.columns.index(text)
+    if blocks == 1:
+        return _cut(docs, at, _sent(listed, 1, 0))
+    row, spans = free_name(docs, "row__"), free_name(docs, "spans__")
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "decontam-rows")
+    hits = _hits(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), listed, blocks)
+    hits = hits.select(F.col("row").alias(row), F.col("spans").alias(spans))
+    return _cut(rows.join(hits, row, "left").select(*docs.columns, spans), at, None).drop(spans)
+
+
+def _cut(docs: DataFrame, at: int, block) -> DataFrame:
+    """The texts (column ``at``) without their spans: those in the last column or, of a block, those that it finds."""
     cache: list[PhraseBlock] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.append(PhraseBlock(block.value))
+        if block is not None and not cache:
+            cache.append(PhraseBlock(block.value[1]))
         for batch in batches:
             old = list(texts(batch.column(at)))
-            spans = _joined(batch.columns[-1], [new for _, new, _ in spans_of(old, cache[0])])
+            if cache:
+                spans = [s for _, s, _ in spans_of(old, cache[0])]
+            else:
+                spans = [[(s["begin"], s["end"]) for s in one or ()] for one in batch.columns[-1].to_pylist()]
             columns = list(batch.columns)
-            if cut and old:
+            if old:
                 new = [without_spans(t, s) if s else t for t, s in zip(old, spans)]
                 columns[at] = pa.array(new, pa.binary()).cast(columns[at].type)
-            elif old:
-                columns[-1] = _span_array(spans, columns[-1].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

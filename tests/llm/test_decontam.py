@@ -128,3 +128,50 @@ def test_removed_spans_are_those_of_one_block(spark, block):
     assert got == bag((r.doc_id, r.text) for r in whole.collect())
     if block == 1:
         assert (600, "before  after") in got
+
+
+def test_the_driver_holds_one_block_at_a_time(spark, monkeypatch):
+    """Fifty blocks: what is collected and broadcast does not grow with the benchmark."""
+    sizes, open_ = [], []
+    whole = decontam._sent
+
+    class Watched:
+        def __init__(self, block):
+            self.block = block
+            open_.append(self)
+
+        value = property(lambda self: self.block.value)
+
+        def destroy(self):
+            open_.remove(self)
+            self.block.destroy()
+
+        def __reduce__(self):
+            return (lambda block: block, (self.block,))
+
+    def sent(listed, blocks, k):
+        assert not open_
+        block = whole(listed, blocks, k)
+        sizes.append(len(block.value[0]))
+        return Watched(block)
+
+    monkeypatch.setattr(decontam, "_sent", sent)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(60)) for _ in range(40)]
+    items = [(i, t[:150]) for i, t in enumerate(texts)]
+    n = len({tuple(words(t)[k:k + 10]) for _, t in items for k in range(len(words(t)) - 9)})
+    docs = [(i, f"x {t} y") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_spans(frame(spark, docs), table, block_windows=-(-n // 50)).collect()
+    assert len(sizes) == 50 and sum(sizes) == n and max(sizes) < n / 5 and not open_
+    got = [(r.id, sorted(k for s in r.spans for k in range(s.begin, s.end)), r["items"]) for r in found]
+    assert bag(got) == bag((i, sorted(h), x) for i, _, h, x, _ in plain(docs, items))
+
+
+def test_a_phrase_that_all_items_have(spark):
+    """Its items are joined to what was found; none of them travels with the phrase."""
+    boiler = " ".join(f"notice{k}" for k in range(10))
+    items = [(i, f"{boiler} own{i} words") for i in range(3000)]
+    docs = [(1, f"a {boiler} b"), (2, "nothing"), (3, f"{boiler} own7 words")]
+    found = decontam.find_spans(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.id: len(r["items"]) for r in found} == {1: 3000, 2: 0, 3: 3000}
