@@ -42,6 +42,8 @@ MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
 #: records of a file; a reader task holds one file
 RECORDS_PER_FILE = 2000
+#: compressed bytes that a gzip member is fed with at a time
+STEP = 1 << 14
 #: repeated digests up to this number are broadcast, more are joined by shuffle
 BROADCAST_DIGESTS = 100_000
 
@@ -104,14 +106,19 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
 
 
 def inflate(content: bytes) -> bytes:
-    """The bytes of a gzip file of any number of members; other bytes unchanged."""
+    """The bytes of a gzip file of any number of members; other bytes unchanged. A member is fed in steps, so that what
+    follows it is not copied again for each of them."""
     if content[:2] != b"\x1f\x8b":
         return content
-    out = []
-    while content:
+    out, at, rest = [], 0, memoryview(content)
+    while at < len(content):
         member = zlib.decompressobj(wbits=31)
-        out.append(member.decompress(content))
-        content = member.unused_data
+        while not member.eof and at < len(content):
+            step = rest[at:at + STEP]
+            out.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
     return b"".join(out)
 
 
@@ -191,8 +198,9 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per record of the archives below ``path``: id, type, payload size and
-    digest (of a response: of the bytes read), the id it refers to, file and offset."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    digest (of a response: of the bytes read), the id it refers to, file and offset. Every file is an archive, whatever
+    its name, plain or gzip, of one member or one a record; names that begin with a dot or an underscore are not read."""
+    files = spark.read.format("binaryFile").load(path)
     found = files.select("path", "content").mapInArrow(_scan, CANDIDATE)
     records = written(reachable(found), "warc-records")
     broken = records.where("not whole").select("path").distinct().count()

@@ -67,6 +67,32 @@ def test_broken_chain_raises(spark, scratch):
         warc.read_warc(spark, f"{scratch}/w")
 
 
+def test_archives_of_any_name_and_of_a_member_a_record(spark, scratch):
+    """20,000 gzip members in x.warc.gz, and a plain archive."""
+    import gzip
+    import os
+    import time
+
+    records = [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(str(k))}\r\n\r\n{k}\r\n\r\n".encode()
+               for k in range(20_000)]
+    os.makedirs(f"{scratch}/w")
+    members = b"".join(gzip.compress(r, 1) for r in records)
+    with open(f"{scratch}/w/x.warc.gz", "wb") as f:
+        f.write(members)
+    with open(f"{scratch}/w/y.warc", "wb") as f:
+        f.write(FAKE.encode() * 3)
+    with open(f"{scratch}/w/_note", "w") as f:
+        f.write("no archive")
+    began = time.perf_counter()
+    assert warc.inflate(members) == b"".join(records)
+    assert time.perf_counter() - began < 5
+    got = warc.read_warc(spark, f"{scratch}/w").collect()
+    assert len(got) == 20_003
+    assert {r.page: r.payload_bytes for r in got if r.page is not None} == {k: len(str(k)) for k in range(20_000)}
+    with pytest.raises(ValueError, match="cut off"):
+        warc.inflate(members[:-5])
+
+
 def test_jump_on_random_chains():
     rng = np.random.default_rng(3)
     for _ in range(200):
