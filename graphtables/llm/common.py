@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtables._workers import ship_with_tasks
-from graphtables.session import shared_path
+from graphtables.session import discard, shared_path
 
 
 def texts(column: pa.Array) -> Iterator[bytes | None]:
@@ -21,10 +22,30 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield v.as_py()
 
 
+#: the lists of those who delete what is written meanwhile
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`written` wrote within it. Results that read them must be written
+    or collected before."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that
     every executor can reach, computed once however often it is used."""
     path = shared_path(df.sparkSession, name)
+    for paths in _OPEN:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
