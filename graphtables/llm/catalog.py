@@ -31,7 +31,7 @@ def op2_credential_links(spark: SparkSession, d: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"),
                         n(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
-                        secrets.span_text(F.col("spans")).alias("spans"))
+                        secrets.span_text(F.col("spans")).alias("spans"), secrets.link_text(F.col("links")).alias("links"))
 
 
 def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +84,10 @@ def op8_quality_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's words and end token packed into bins of the permitted lengths."""
-    return packing.pack(table(spark, d, "documents"))
+    """Every document's tokens and end token packed into bins of the permitted lengths."""
+    import public_tokenizers
+
+    return packing.pack_tokens(table(spark, d, "documents"), public_tokenizers.path(tokens.TOKENIZER))
 
 
 def op10_line_chunks(spark: SparkSession, d: str) -> DataFrame:

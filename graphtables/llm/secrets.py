@@ -121,15 +121,50 @@ def link_parts(parts: DataFrame, kinds: tuple[Kind, ...] = KINDS, reach: int = R
         seen.where(~F.col("covered") & complemented).select("row", "kind", "start", "end"))
 
 
+def credential_links(reported: DataFrame, kinds: tuple[Kind, ...] = KINDS, reach: int = REACH) -> DataFrame:
+    """The credentials that reported parts make up: (row, kind, start, end, kind2, start2, end2) of each identifier or
+    endpoint and each secret whose scopes meet and that do not overlap. An interval join as above; a pair passes at the first
+    cell that both are listed under."""
+    role = F.element_at(F.array(*(F.lit(k.role) for k in kinds)), F.col("kind") + 1)
+
+    def cell(at: Column) -> Column:
+        return F.floor(at / reach)
+
+    first = cell(F.greatest(F.col("start") - reach, F.lit(0)))
+    owners = reported.where(role != "secret").select("row", "kind", "start", "end", first.alias("first"), F.explode(
+        F.sequence(first, cell(F.col("end") + reach))).alias("cell"))
+    found = reported.where(role == "secret").select(
+        "row", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1))).alias("cell"),
+        F.col("kind").alias("kind2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
+    met = owners.join(found, ["row", "cell"]).where(F.col("cell") == F.greatest("first", cell(F.col("start2"))))
+    return met.where("start2 < end + {0} and end2 > start - {0} and (start2 >= end or end2 <= start)".format(reach)).select(
+        "row", "kind", "start", "end", "kind2", "start2", "end2")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kinds: tuple[Kind, ...] = KINDS,
          reach: int = REACH) -> DataFrame:
-    """One row per row of ``docs``: id and spans, an array of (start, kind, end) in that order,
-    kind being its place in ``kinds``."""
+    """One row per row of ``docs``: id, spans, an array of (start, kind, end) in that order, kind being its place in
+    ``kinds``, and links, an array of (start, kind, end, start2, kind2, end2): which identifier or endpoint goes with which secret."""
     rows, parts = find_parts(docs, id_col, text, kinds)
-    spans = link_parts(parts, kinds, reach).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    return rows.join(spans, "row", "left").select("id", F.coalesce("spans", F.array().cast(
-        spans.schema["spans"].dataType)).alias("spans"))
+    reported = written(link_parts(parts, kinds, reach), "secret-spans")
+    spans = reported.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    links = credential_links(reported, kinds, reach).groupBy("row").agg(F.sort_array(F.collect_list(
+        F.struct("start", "kind", "end", "start2", "kind2", "end2"))).alias("links"))
+
+    def or_none(name: str, table: DataFrame) -> Column:
+        return F.coalesce(name, F.array().cast(table.schema[name].dataType)).alias(name)
+
+    return rows.join(spans, "row", "left").join(links, "row", "left").select("id", or_none("spans", spans), or_none("links", links))
+
+
+def link_text(links: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """``kind:start:end>kind:start:end`` of each link, joined by commas."""
+    names = F.array(*(F.lit(k.name) for k in kinds))
+
+    def part(x: Column, end: str) -> Column:
+        return F.concat_ws(":", F.element_at(names, x[f"kind{end}"] + 1), x[f"start{end}"].cast("string"), x[f"end{end}"].cast("string"))
+
+    return F.array_join(F.transform(links, lambda x: F.concat_ws(">", part(x, ""), part(x, "2"))), ",")
 
 
 def span_text(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:

@@ -1,7 +1,10 @@
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from graphtables.llm import packing
+from graphtables.llm import packing, tokens
 from graphtables.llm.common import written
-from tests.llm import test_decontam, test_line_chunks, test_packing, test_quality, test_simhash
+from tests.llm import test_decontam, test_line_chunks, test_quality, test_simhash
 from tests.llm.samples import bag, frame
 
 
@@ -19,7 +22,7 @@ def test_stages_by_brute_force(spark, scratch):
         return [(i, t) for i, t in rows if test_quality.plain(t)[-1]]
 
     def deduped(rows):
-        return [(i, t) for i, t, _ in test_line_chunks.plain(rows)]
+        return [(i, t) for i, t, _ in test_line_chunks.plain_runs(rows)]
 
     def unique(rows):
         fps = {i: test_simhash.plain_fingerprint(t) for i, t in rows}
@@ -49,8 +52,10 @@ def test_stages_by_brute_force(spark, scratch):
             assert current.columns == columns
             assert bag((r.doc_id, r.text, r.n_chars) for r in current.collect()) == bag((i, t, len(t)) for i, t in rows), name
     packed = current.collect()
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    sizes = [(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows]
     assert bag((r.doc_id, r.start) for r in packed) == bag(
-        (i, s) for i, t in rows for s in range(0, test_packing.words(t), max(packing.LENGTHS)))
+        (i, s) for i, n in sizes for s in range(0, n, max(packing.LENGTHS)))
     assert len({name for name, _ in corpus_pipeline.STAGES}) == 5
     assert corpus_pipeline.run(spark, scratch).count() == len(packed)
 

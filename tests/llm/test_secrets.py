@@ -1,6 +1,7 @@
 import re
 
 from graphtables.llm import secrets
+from graphtables.llm.catalog import op2_credential_links
 from tests.llm.samples import awkward_texts, bag, frame
 
 SECRET_TEXTS = [
@@ -50,6 +51,53 @@ def test_spans_by_brute_force(spark):
     assert by_id[207] == [] and by_id[208] == [] and len(by_id[206]) == 1       # weak parts alone, and linked
 
 
+def plain_links(spans, reach=secrets.REACH):
+    role = [k.role for k in secrets.KINDS]
+    return sorted((s, n, e, s2, n2, e2) for s, n, e in spans for s2, n2, e2 in spans
+                  if role[n] != "secret" == role[n2] and s2 < e + reach and e2 > s - reach and (s2 >= e or e2 <= s))
+
+
+def many_credentials():
+    """Configurations of several parts, near and far from one another, in texts of many cells."""
+    import random
+    rng = random.Random(8)
+    make = [lambda k: f"AKIA{k:016d}", lambda k: f"secret_key = 'v{k:08d}x'", lambda k: f"user_id: u{k}", lambda k: f"https://h{k}.example/p",
+            lambda k: f"{k:016x}"[:15] + "a1", lambda k: f"{k:028x}"]
+    return [(3000 + i, " ".join(rng.choice(make)(rng.randint(0, 9999)) + rng.choice([" ", "\n", " é " * rng.randint(1, 200)])
+                                for _ in range(rng.randint(2, 40)))) for i in range(60)]
+
+
+def test_links_by_brute_force(spark):
+    rows = SECRET_TEXTS + many_credentials() + awkward_texts()
+    got = [(r.id, [tuple(s) for s in r.spans], [tuple(x) for x in r.links]) for r in secrets.scan(frame(spark, rows)).collect()]
+    expected = [(i, plain_spans(t), plain_links(plain_spans(t))) for i, t in rows]
+    assert bag(got) == bag(expected)
+    assert sum(len(x) for *_, x in expected) > 300 and sum(not x for *_, x in expected) > 30
+    kinds = {(n, n2) for *_, x in expected for _, n, _, _, n2, _ in x}
+    assert {n for n, _ in kinds} == {1, 4, 5} and {n2 for _, n2 in kinds} >= {0, 2, 3}
+
+
+def test_op2_query(spark, scratch):
+    import hashlib
+
+    rows = [(i, t) for i, t in SECRET_TEXTS + many_credentials() if i is not None]
+    frame(spark, rows).write.parquet(f"{scratch}/documents.parquet")
+    names = [k.name for k in secrets.KINDS]
+
+    def written(spans):
+        return ",".join(f"{names[n]}:{s}:{e}" for s, n, e in spans)
+
+    expected = []
+    for i, t in rows:
+        spans = plain_spans(t)
+        base = [x for x in spans if x[1] < 3]
+        expected.append((i, *(sum(x[1] == n for x in spans) for n in range(3)), hashlib.sha256(written(base).encode()).hexdigest(),
+                         written(spans), ",".join(f"{written([x[:3]])}>{written([x[3:]])}" for x in plain_links(spans))))
+    got = op2_credential_links(spark, scratch)
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "links"]
+    assert bag(tuple(r) for r in got.collect()) == bag(expected)
+
+
 def test_base_matches_are_the_contract_s(spark):
     text = SECRET_TEXTS[1][1]
     spans = secrets.scan(frame(spark, [(1, text)])).select(secrets.span_text("spans")).first()[0]
