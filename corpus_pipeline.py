@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm import decontam, line_chunks, packing, quality, simhash
+from graphtables.llm import decontam, line_chunks, packing, quality, simhash, tokens
+from graphtables.llm.common import temporary_tables
 from graphtables.session import discard, shared_path
 from graphtables.sources.tables import table
 
@@ -25,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out multi-line chunks that an earlier document, or the text itself, already has."""
-    return _measured(line_chunks.remove_repeated(docs).select(*docs.columns))
+    """Cuts out runs of lines that an earlier document, or the text itself, already has."""
+    return _measured(line_chunks.remove_runs(docs).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin, offset and length of every document's pieces."""
-    return packing.pack(docs)
+    """The bin, offset and length of every document's pieces, in tokens."""
+    import public_tokenizers
+
+    return packing.pack_tokens(docs, public_tokenizers.path(tokens.TOKENIZER))
 
 
 STAGES = [
@@ -58,11 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again; what a
-    stage has read is deleted once its own result is written."""
+    stage has read, and what it wrote on the way, is deleted once its own result is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)
