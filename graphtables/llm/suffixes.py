@@ -219,7 +219,7 @@ def _runs(docs: DataFrame, depth: int, gram: int, ties: bool, run_bytes: int) ->
             digits, times = np.unique(digit[~again], return_counts=True)
             record = {"run": f"{TaskContext.get().partitionId()}.{number}", "ids": pack(np.array([d[1] for d in held], np.int64)),
                       "nulls": pack(np.array([d[0] for d in held], np.int64)), "ties": pack(np.array([d[2] for d in held], np.int64)),
-                      "sizes": pack(sizes), "data": zstandard.ZstdCompressor(level=3).compress(data),
+                      "sizes": pack(sizes), "data": zstandard.ZstdCompressor(level=6).compress(data),
                       "digits": _pack_digits(digits), "times": pack(times), "n": len(digits)}
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_pylist([record], schema=arrow)
@@ -290,7 +290,7 @@ def _later_passes(runs: DataFrame, flags: DataFrame, radixes: int, small_groups:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         start, n, digit = strips(np.frombuffer(data, np.uint8), bounds, depth, gram)
         again = repeated_strips(data, start, n, digit, depth)
-        digits = _digits(row)
+        digits = np.unique(digit[~again])           # as the run's row has them, which need not travel again
         flag = np.zeros(len(digits), np.uint8)
         order = np.argsort((digits % np.uint64(radixes)).astype(np.int64), kind="stable")
         answered = sorted(zip(answers["radix"].to_pylist(), answers["flags"].to_pylist()))
@@ -377,7 +377,8 @@ def _later_passes(runs: DataFrame, flags: DataFrame, radixes: int, small_groups:
             out.append({"run": rows[r]["run"], "starts": pack(a), "ends": pack(b)})
         return pa.Table.from_pylist(out, schema=answer)
 
-    sent = written(runs.groupBy("run").cogroup(flags.groupBy("run")).applyInArrow(ship, shipped), "suffix-strips", "none")
+    texts = runs.select("run", "ids", "nulls", "ties", "sizes", "data")
+    sent = written(texts.groupBy("run").cogroup(flags.groupBy("run")).applyInArrow(ship, shipped), "suffix-strips", "none")
     own = sent.where("radix = -1").select("run", F.col("places").alias("starts"), F.col("sizes").alias("ends"))
     return own.unionAll(sent.where("radix >= 0").groupBy("radix").applyInArrow(sort, gone))
 
@@ -414,7 +415,8 @@ def _cut(runs: DataFrame, gone: DataFrame, depth: int) -> DataFrame:
             out.append({"id": None if nulls[d] else ids[d], "n_bytes": b - a, "spans": spans, "kept": b"".join(kept)})
         return pa.Table.from_pylist(out, schema=arrow)
 
-    return runs.groupBy("run").cogroup(gone.groupBy("run")).applyInArrow(run, schema)
+    texts = runs.select("run", "ids", "nulls", "sizes", "data")
+    return texts.groupBy("run").cogroup(gone.groupBy("run")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM,
