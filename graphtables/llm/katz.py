@@ -374,7 +374,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: Co
             n[at] = unpack(r["counts"])
             mass[heads] = np.frombuffer(r["lower"])
             few[:, heads] = unpack(r["few"]).reshape(K, -1)
-        for k in np.flatnonzero(b.count > part_tokens).tolist():
+        for k in np.unique(h[b.count[h] > part_tokens]).tolist():       # the end, as frequent as texts, is no h
             mass[k], few[:, k] = frequent[int(b.id[k])]
         left = ((1 - d[1:K + 1]) * np.arange(1, K + 1)) @ few           # the count mass that discounting leaves at h
         known = b.count > 0

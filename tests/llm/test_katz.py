@@ -77,6 +77,12 @@ def test_scores_by_brute_force(spark, sizes):
     check(spark, rows, **sizes)
 
 
+def test_more_texts_than_a_part_has_tokens(spark):
+    """The end and the start are then as frequent as words that are split over parts."""
+    rows = [(i, t if t is None or len(t) < 5000 else t[:3000]) for i, t in awkward_texts()]
+    check(spark, rows, block_bytes=3000, part_words=40, part_tokens=20)
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1)
     check(spark, [(held, "a b"), (held, None)])
