@@ -42,6 +42,7 @@ from graphtables.sources.edges import (
     read_edges,
     rejected_lines,
     write_edges,
+    write_sorted_edges,
 )
 from graphtables.sources.stored import bucket_placement, open_graph, store_graph
 from graphtables.sources.tables import (
@@ -126,9 +127,8 @@ def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def _tg1_text(spark: SparkSession, d: str) -> str:
     """TG1 as text lines in the folder of a path: eight files, by the source modulo 8, each sorted by (source, destination)."""
     path = shared_path(spark, "tg1-blocks")
-    e = part_supplier_edges(spark, d).select(F.pmod("src_id", F.lit(8)).alias("part"), "src_id", "dst_id")
-    (e.repartition(8, "part").sortWithinPartitions("part", "src_id", "dst_id")
-     .select("part", F.concat_ws("\t", "src_id", "dst_id").alias("value")).write.partitionBy("part").text(path))
+    rows = table(spark, d, "lineitem").count()
+    write_sorted_edges(part_supplier_edges(spark, d), path, F.pmod("src_id", F.lit(8)), 8, rows)
     return path
 
 

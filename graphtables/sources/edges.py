@@ -10,11 +10,16 @@ programs), ``mode="permissive"`` drops it and reports it in a rejects table
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtables._workers import ship_with_tasks
 from graphtables.functions.columns import EDGE_WEIGHT, edge_partition_of, modulo_partition
 from graphtables.session import shared_path
 
@@ -27,6 +32,8 @@ FIELD_SEPARATOR = "\t"
 BLOCK_BYTES = 128 << 20
 #: files whose first block numbers are broadcast; more are joined by shuffle
 BROADCAST_FILES = 100_000
+#: lines that one task sorts, about
+SORT_ROWS = 500_000
 
 
 #: a line whose ids have at most 18 digits, so that they fit whatever they are: one test for nearly all lines
@@ -163,12 +170,12 @@ def edges_from(df: DataFrame, src: str | Column = "src_id", dst: str | Column =
             .filter(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()))
 
 
-def edge_lines(edges: DataFrame, extra: str | Column | None = None) -> DataFrame:
-    """Edge table -> text lines ``src<TAB>dst[<TAB>extra]`` (``value STRING``)."""
+def edge_lines(edges: DataFrame, extra: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Edge table -> text lines ``src<TAB>dst[<TAB>extra]`` (``value STRING``), after the columns ``keep``."""
     fields = [F.col("src_id").cast("string"), F.col("dst_id").cast("string")]
     if extra is not None:
         fields.append((F.col(extra) if isinstance(extra, str) else extra).cast("string"))
-    return edges.select(F.concat_ws(FIELD_SEPARATOR, *fields).alias("value"))
+    return edges.select(*keep, F.concat_ws(FIELD_SEPARATOR, *fields).alias("value"))
 
 
 def write_edges(edges: DataFrame, path: str, header: str | None = None,
@@ -182,6 +189,32 @@ def write_edges(edges: DataFrame, path: str, header: str | None = None,
     lines.write.mode(mode).text(path)
 
 
+def write_sorted_edges(edges: DataFrame, path: str, part: Column, parts: int, rows: int) -> None:
+    """Write an edge table of about ``rows`` rows as text, for each value of ``part`` (0 .. ``parts`` - 1) one file in a folder
+    of that name, sorted by (source, destination).
+
+    Tasks of about ``SORT_ROWS`` lines sort them and join what follows one another to runs; the task that writes a
+    file has its runs to order, not its lines. Copies of an edge are dealt by their row, so they may lie in several tasks."""
+    lines = edge_lines(edges.select(part.cast("int").alias("part"), "src_id", "dst_id",
+                                    F.monotonically_increasing_id().alias("row")), keep=("part", "src_id", "dst_id", "row"))
+    order = ["part", "src_id", "dst_id", "row"]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for n in pc.value_counts(batch.column(0)).field("counts").to_pylist():      # sorted: a run of each part
+                one = batch.slice(first, n)
+                first += n
+                joined = pc.binary_join(pa.LargeListArray.from_arrays([0, n], one.column(4)), "\n")
+                yield pa.RecordBatch.from_arrays([*(one.column(k).slice(0, 1) for k in range(4)), joined.cast(pa.string())],
+                                                 names=[*order, "value"])
+
+    tasks = max(1, math.ceil(rows / SORT_ROWS))
+    joined = lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(runs, lines.schema)
+    (joined.repartitionById(parts, "part").sortWithinPartitions(*order).select("part", "value")
+     .write.partitionBy("part").text(path))
+
+
 def with_split_partition(lines: DataFrame) -> DataFrame:
     """S6 as the original: ``edge_partition`` = index of the input split.
 
@@ -204,3 +237,6 @@ def with_edge_partition(edges: DataFrame, n: int, by: str = "edge") -> DataFrame
     if by == "src":
         return edges.withColumn("edge_partition", modulo_partition("src_id", n))
     raise ValueError("by must be 'edge' or 'src'")
+
+
+ship_with_tasks(__name__)

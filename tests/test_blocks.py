@@ -1,5 +1,6 @@
 """Edge partitions that are blocks of the text: the same in every plan."""
 
+import glob
 import random
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphtables.operators.rank import rank
 from graphtables.plans.routed import RoutedLoop
-from graphtables.sources.edges import block_offsets, block_splits, parse_edges, read_block_edges, read_edges
+from graphtables.sources import edges as edge_sources
+from graphtables.sources.edges import block_offsets, block_splits, edges_from, parse_edges, read_block_edges, read_edges
 
 BLOCK = 4096
 
@@ -67,6 +69,22 @@ def test_ranks_over_blocks(spark, scratch):
     got.unpersist()
 
 
+def test_sorted_files_from_many_tasks(spark, scratch, monkeypatch):
+    """One file a part whatever number of tasks sorts it, copies and absent parts included."""
+    monkeypatch.setattr(edge_sources, "SORT_ROWS", 100)
+    rng = random.Random(2)
+    rows = [(rng.randint(-50, 50) * 3, rng.randint(-9, 999)) for _ in range(1500)] + [(6, 7)] * 700
+    edges = edges_from(spark.createDataFrame([*rows, (None, 1)], "src_id long, dst_id long").repartition(5))
+    path = f"{scratch}/sorted"
+    edge_sources.write_sorted_edges(edges, path, F.pmod("src_id", F.lit(6)), 6, len(rows))
+    for part in range(6):
+        files = glob.glob(f"{path}/part={part}/*.txt")
+        expected = "".join(f"{s}\t{d}\n" for s, d in sorted(r for r in rows if r[0] % 6 == part))
+        assert [open(f).read() for f in files] == ([expected] if expected else [])
+    edge_sources.write_sorted_edges(edges.where("false"), path + "-none", F.pmod("src_id", F.lit(6)), 6, 0)
+    assert not glob.glob(path + "-none/part=*")
+
+
 def test_a_line_is_tested_once(spark):
     """One pattern in the filter for ordinary lines, no pattern where the ids are cut out."""
     lines = spark.createDataFrame([("1\t2",)], "value string")
