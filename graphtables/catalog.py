@@ -13,6 +13,7 @@ TG2 nation -> nation, TG3 user succession, TG4 customer -> nation -> region.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ from graphtables.plans.loop import RankLoop
 from graphtables.plans.routed import RoutedLoop
 from graphtables.session import checkpoint_dir, discard, shared_path
 from graphtables.sources.edges import (
+    SORT_ROWS,
     block_offsets,
     block_splits,
     parse_edges,
@@ -124,19 +126,20 @@ def edge_stream_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _kept_copy(spark.read.parquet(out), src, out, out + "-progress")
 
 
-def _tg1_text(spark: SparkSession, d: str) -> str:
-    """TG1 as text lines in the folder of a path: eight files, by the source modulo 8, each sorted by (source, destination)."""
+def _tg1_text(spark: SparkSession, d: str) -> tuple[str, int]:
+    """TG1 as text lines in the folder of a path: eight files, by the source modulo 8, each sorted by (source, destination);
+    and the number of tasks that read it."""
     path = shared_path(spark, "tg1-blocks")
     rows = table(spark, d, "lineitem").count()
     write_sorted_edges(part_supplier_edges(spark, d), path, F.pmod("src_id", F.lit(8)), 8, rows)
-    return path
+    return path, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / SORT_ROWS))
 
 
 def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     """S6 on TG1 as text, its edges with the block of their line; per edge how many rows it has, and whether
     all block numbers are below the number of blocks."""
-    path = _tg1_text(spark, d)
-    with block_splits(spark, BLOCK):
+    path, tasks = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK, tasks):
         blocks = block_offsets(spark, path, BLOCK).agg(F.max("first")).first()[0] + 1
         edges = read_block_edges(spark, path, block_bytes=BLOCK)
         last = edges.where(F.col("edge_partition") >= blocks).select("edge_partition").distinct().count()
@@ -147,8 +150,8 @@ def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def block_groups(spark: SparkSession, d: str) -> DataFrame:
     """What lies in each block of TG1 as text: rows, and distinct sources."""
-    path = _tg1_text(spark, d)
-    with block_splits(spark, BLOCK):
+    path, tasks = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK, tasks):
         edges = read_block_edges(spark, path, block_bytes=BLOCK)
         return _kept_copy(edges.groupBy("edge_partition").agg(
             F.count(F.lit(1)).alias("n"), F.count_distinct("src_id").alias("sources")), path)
@@ -156,8 +159,8 @@ def block_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_routed_blocks(spark: SparkSession, d: str) -> DataFrame:
     """R2 over the blocks of a text scan, 3 rounds on TG1 (= R8)."""
-    path = _tg1_text(spark, d)
-    with block_splits(spark, BLOCK):
+    path, tasks = _tg1_text(spark, d)
+    with block_splits(spark, BLOCK, tasks):
         out = _loop_ranks(RoutedLoop(read_block_edges(spark, path, block_bytes=BLOCK)), 3)
     discard(spark, path)
     return out

@@ -106,11 +106,15 @@ def read_split_edges(spark: SparkSession, path: str | list[str], mode: str = "fa
 
 
 @contextmanager
-def block_splits(spark: SparkSession, block_bytes: int = BLOCK_BYTES):
+def block_splits(spark: SparkSession, block_bytes: int = BLOCK_BYTES, tasks: int | None = None):
     """Within it, file scans are cut at multiples of ``block_bytes`` and nowhere else, whatever the number of cores: what a
-    split is then depends on the files alone, as with the original's input splits."""
+    split is then depends on the files alone, as with the original's input splits. ``tasks``: how many read the
+    splits, about, where there are more splits (default: one a split); a task then reads several, each by itself, and
+    shuffles have as many partitions."""
     settings = {"spark.sql.files.maxPartitionBytes": str(block_bytes), "spark.sql.files.openCostInBytes": str(block_bytes),
                 "spark.sql.files.minPartitionNum": "1"}
+    if tasks is not None:
+        settings |= {"spark.sql.files.maxPartitionNum": str(tasks), "spark.sql.shuffle.partitions": str(tasks)}
     saved = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():

@@ -69,6 +69,15 @@ def test_ranks_over_blocks(spark, scratch):
     got.unpersist()
 
 
+def test_few_tasks_read_many_blocks(spark, scratch):
+    where = _write(scratch)
+    with block_splits(spark, BLOCK, tasks=4):
+        edges = read_block_edges(spark, scratch, block_bytes=BLOCK)
+        got = {r["src_id"]: r["edge_partition"] for r in edges.collect()}
+        assert edges.rdd.getNumPartitions() <= 5
+    assert got == where and len(set(where.values())) > 8
+
+
 def test_sorted_files_from_many_tasks(spark, scratch, monkeypatch):
     """One file a part whatever number of tasks sorts it, copies and absent parts included."""
     monkeypatch.setattr(edge_sources, "SORT_ROWS", 100)
