@@ -1,6 +1,6 @@
 """The second program's loop with its own stages and placements.
 
-* **edges**: collapsed per partition, edge partition ``p`` in Spark partition ``p`` (L4), sorted by (source,
+* **edges**: collapsed per partition, edge partition ``p`` in Spark partition ``p`` (L4; modulo their number), sorted by (source,
   destination) inside (L3);
 * **routing tables**: packed messages built inside the edge partitions and shuffled once, by vertex, where they stay (G3);
 * **vertices**: the routing tables' ids, placed as those are, in ``vertex_partitions`` partitions (G1, L5).
@@ -14,6 +14,8 @@ its rounds ship the ranks as well, and their times include it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +29,17 @@ from graphtables.plans.loop import _LOOP_CONF, _session_conf
 from graphtables.plans.metrics import StageTimer
 from graphtables.session import checkpoint_dir
 
+#: collapsed edges of a Spark partition, on average, from which on more edge partitions than ``vertex_partitions`` share one
+PLACED_ROWS = 500_000
+
 
 class RoutedLoop:
     """``edges``: ``src_id, dst_id, weight, edge_partition``; every vertex is kept.
 
     ``vertex_partitions`` (default: the session's shuffle partitions; the original has 200) and
-    ``edge_partitions`` (default: the greatest in use and one) are the numbers of placed partitions."""
+    ``edge_partitions`` (default: the greatest in use and one) are the numbers of placed partitions. By default, of more edge
+    partitions than ``vertex_partitions`` and than the edges fill, several lie in a Spark partition, each whole
+    (``p`` in ``p`` modulo their number): small blocks need no task each."""
 
     def __init__(self, edges: DataFrame, contribution: str = "rank", reset: float = RESET, damping: float = DAMPING,
                  initial: float = INITIAL_RANK, checkpoint_every: int = 10,
@@ -63,8 +70,10 @@ class RoutedLoop:
         collapsed = self.edges.groupBy("edge_partition", "src_id", "dst_id").agg(F.sum("weight").alias("weight")).persist(self.level)
         self._kept.append(collapsed)
         try:
-            n_edge = max(1, self.edge_partitions or edge_partition_count(collapsed).first()["n"])
             n_vertex = int(self.vertex_partitions or self.spark.conf.get("spark.sql.shuffle.partitions"))
+            n_edge = max(1, self.edge_partitions or edge_partition_count(collapsed).first()["n"])
+            if not self.edge_partitions and n_edge > n_vertex:
+                n_edge = min(n_edge, max(n_vertex, math.ceil(collapsed.count() / PLACED_ROWS)))
             settings = {**_LOOP_CONF, "spark.sql.shuffle.partitions": str(n_vertex),
                         # edges and shipped ranks meet on (partition, source), both placed by partition alone
                         "spark.sql.requireAllClusterKeysForCoPartition": "false"}

@@ -78,6 +78,20 @@ def test_few_tasks_read_many_blocks(spark, scratch):
     assert got == where and len(set(where.values())) > 8
 
 
+def test_many_blocks_share_placed_partitions(spark, scratch):
+    """Rounds whose tasks follow the edges, not the number of blocks; still two exchanges each."""
+    _write(scratch)
+    with block_splits(spark, 512):
+        edges = read_block_edges(spark, scratch, block_bytes=512)
+        loop = RoutedLoop(edges, vertex_partitions=3)
+        got = loop.run(2)
+    assert [len(x) for x in loop.round_exchanges] == [2, 2]
+    assert all(", 3)" in e for x in loop.round_exchanges for e in x), loop.round_exchanges
+    expected = rank(read_edges(spark, scratch), 2, missing="retain")
+    assert {r["id"]: round(r["rank"], 9) for r in got.collect()} == {r["id"]: round(r["rank"], 9) for r in expected.collect()}
+    got.unpersist()
+
+
 def test_sorted_files_from_many_tasks(spark, scratch, monkeypatch):
     """One file a part whatever number of tasks sorts it, copies and absent parts included."""
     monkeypatch.setattr(edge_sources, "SORT_ROWS", 100)
