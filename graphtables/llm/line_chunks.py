@@ -61,8 +61,16 @@ def _ends(lines: Column, hashes: Column, window: int, divisor: int) -> Column:
         F.pmod(_rolled(hashes, i, window), F.lit(divisor).cast("long")) == 0))
 
 
+def _full(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.xxhash64(line))
+
+
+def _reduced(full: Column) -> Column:
+    return F.transform(full, lambda h: F.pmod(h, F.lit(MODULUS).cast("long")))
+
+
 def _hashed(lines: Column) -> Column:
-    return F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(MODULUS).cast("long")))
+    return _reduced(_full(lines))
 
 
 def chunks(text: Column, with_text: bool, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
@@ -133,7 +141,7 @@ def units(text: Column, with_text: bool, window: int = WINDOW, divisor: int = DI
           run_words: int = RUN_WORDS) -> Column:
     """Array of (pos: first line, from 0; lines; chunk: whether it is one; hash, and its text if asked for):
     the chunks of ``min_lines`` lines, every two lines and every line of ``run_words`` words of a text."""
-    def spans(lines: Column, hashes: Column) -> Column:
+    def spans(lines: Column, full: Column) -> Column:
         def span(pos: Column, n: Column, chunk: bool) -> Column:
             return F.struct(pos.alias("pos"), n.alias("lines"), F.lit(chunk).alias("chunk"))
 
@@ -145,19 +153,19 @@ def units(text: Column, with_text: bool, window: int = WINDOW, divisor: int = DI
         def start(ends: Column, k: Column) -> Column:
             return F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
 
-        whole = let(_ends(lines, hashes, window, divisor), lambda ends: F.transform(
+        whole = let(let(_reduced(full), lambda hashes: _ends(lines, hashes, window, divisor)), lambda ends: F.transform(
             ends, lambda end, k: span(start(ends, k), end - start(ends, k), True)))
         return F.concat(F.filter(whole, lambda s: s["lines"] >= min_lines), pairs, singles)
 
-    def unit(lines: Column, hashes: Column, s: Column) -> Column:
+    def unit(lines: Column, full: Column, s: Column) -> Column:     # of all 64 bits: reduced hashes of many lines clash
         fields = [s["pos"].alias("pos"), s["lines"].alias("lines"), s["chunk"].alias("chunk"),
-                  F.xxhash64(s["chunk"], F.slice(hashes, s["pos"] + 1, s["lines"])).alias("hash")]
+                  F.xxhash64(s["chunk"], F.slice(full, s["pos"] + 1, s["lines"])).alias("hash")]
         if with_text:
             fields.append(F.array_join(F.slice(lines, s["pos"] + 1, s["lines"]), "\n").alias("text"))
         return F.struct(*fields)
 
-    return let(F.split(text, "\n"), lambda lines: let(_hashed(lines), lambda hashes: F.transform(
-        spans(lines, hashes), lambda s: unit(lines, hashes, s))))
+    return let(F.split(text, "\n"), lambda lines: let(_full(lines), lambda full: F.transform(
+        spans(lines, full), lambda s: unit(lines, full, s))))
 
 
 def repeated_units(docs: DataFrame, order_by: str = "doc_id", text: str = "text", row: str = "row",

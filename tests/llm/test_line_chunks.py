@@ -89,6 +89,17 @@ def test_different_runs_of_equal_hash_stay(spark, monkeypatch):
             [(1, docs[0][1], 0), (2, "", 4), (3, docs[2][1], 0), (4, docs[3][1], 0), (5, "y", 1)])
 
 
+def test_units_hash_by_all_bits(spark):
+    """Lines that are equal modulo the rolling hash's prime, as some of many lines are, do not clash as units."""
+    lines = spark.range(200_000).select(lc.F.concat_ws(" ", *[lc.F.col("id").cast("string")] * lc.RUN_WORDS).alias("line"))
+    reduced = lines.select("line", lc.F.get(lc._hashed(lc.F.array("line")), lc.F.lit(0)).alias("h"))
+    equal = reduced.groupBy("h").agg(lc.F.collect_list("line").alias("lines")).where("size(lines) > 1").select(
+        lc.F.explode("lines").alias("line"))
+    n, distinct = equal.select(lc.F.explode(lc.units(lc.F.col("line"), False)).alias("u")).agg(
+        lc.F.count(lc.F.lit(1)), lc.F.count_distinct("u.hash")).first()
+    assert n == distinct >= 2
+
+
 @pytest.mark.parametrize("remove", [lc.remove_runs, lc.remove_repeated])
 def test_results_do_not_follow_the_file_splits(spark, scratch, remove):
     """Built under one split size, run under another."""
