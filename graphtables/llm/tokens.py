@@ -23,10 +23,11 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,28 +57,33 @@ class PreTokens:
             raise ValueError("only plain special strings are known here")
         by_length = sorted((t.content for t in added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
-        self._plain(json.loads(definition)["pre_tokenizer"])
+        self.definition, self.ready = definition, False
 
-    def _plain(self, pre_tokenizer: dict) -> None:
-        """Prepares ``split`` for chunks of plain characters, ASCII and Latin letters with marks: of
-        each, the library says once how it normalises and how it spells its bytes. They do
-        not combine with one another, so a chunk of them is normalised by character."""
+    def _plain(self) -> None:
+        """Prepares ``split`` and ``split_all`` for chunks of plain characters, ASCII and Latin letters with
+        marks: of each, the library says once how it normalises and how it spells its bytes. They do
+        not combine with one another, so chunks of them are normalised by character."""
         import regex
 
+        pre_tokenizer = json.loads(self.definition)["pre_tokenizer"]
         split = next((x for x in pre_tokenizer.get("pretokenizers", [pre_tokenizer]) if x["type"] == "Split"), None)
         self.pattern = regex.compile(split["pattern"]["Regex"]) if split else None
+        self.lines = regex.compile(split["pattern"]["Regex"] + "|\n") if split else None
         self.normal: dict[int, str] = {}
         self.spelled: dict[int, str] = {}
         for c in map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x180))):
             n = self.tokenizer.normalizer.normalize_str(c)
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(n)]
-            if self.pattern and len(n) == 1 and len(pieces) == 1 and self.pattern.findall(n) == [n]:
+            if self.pattern and len(n) == 1 and len(pieces) == 1 and self.lines.findall(f"{n}\n{n}") == [n, "\n", n]:
                 self.normal[ord(c)], self.spelled[ord(n)] = n, pieces[0]
-        plain = "".join(map(chr, self.normal))
-        self.only_plain = re.compile(f"[{re.escape(plain)}]+").fullmatch if plain else (lambda text: None)
+        self.plain = f"[{re.escape(''.join(map(chr, self.normal)))}]+" if self.normal else "[^\\s\\S]"
+        self.only_plain = re.compile(self.plain).fullmatch
+        self.ready = True
 
     def split(self, chunk: bytes) -> list[str]:
         """The pre-tokens of a chunk without ASCII white space."""
+        if not self.ready:
+            self._plain()
         if chunk.isalpha():                 # ASCII letters only: one lower-case pre-token
             return [chunk.lower().decode()]
         out: list[str] = []
@@ -93,6 +99,35 @@ class PreTokens:
                 out += [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
+    def split_all(self, chunks: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pre-tokens, their numbers, and where each chunk's begin among these and how many
+        they are): as ``split``, but plain chunks are normalised and matched together, one to a line."""
+        if not self.ready:
+            self._plain()
+        plain = pc.match_substring_regex(chunks, f"^{self.plain}$")
+        if self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(chunks, self.special.pattern)))
+        number_of, plain_ones = numbering(), chunks.filter(plain)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain_ones)], pa.int32()), plain_ones),
+                              pa.scalar("\n", plain_ones.type))[0].as_py()
+        met = numbering()
+        met["\n"]                                   # number 0
+        found = self.lines.findall(text.translate(self.normal)) if text else []
+        numbers = np.fromiter(map(met.__getitem__, found), np.int64, len(found))
+        spelled = "\n".join(islice(met, 1, None)).translate(self.spelled).split("\n") if len(met) > 1 else []
+        number = np.fromiter(chain([0], map(number_of.__getitem__, spelled)), np.int64, len(met))
+        ends = np.append(np.flatnonzero(numbers == 0), len(numbers))[:len(plain_ones)]
+        n_plain = np.diff(ends, prepend=-1) - 1
+        others = [[number_of[p] for p in self.split(c)] for c in texts(chunks.filter(pc.invert(plain)))]
+        plain = plain.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[plain], sizes[~plain] = n_plain, [len(p) for p in others]
+        flat = np.concatenate([number[numbers[numbers > 0]], np.fromiter(chain.from_iterable(others), np.int64)])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return list(number_of), flat, starts, sizes
+
     def pieces(self, pre_token: str) -> int:
         return 1 if pre_token.startswith(_SPECIAL) else len(self.tokenizer.model.tokenize(pre_token))
 
@@ -104,26 +139,18 @@ def numbering() -> defaultdict:
 
 def frequencies(documents: list[bytes | None], pre: PreTokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(distinct pre-tokens, entries per document, their pre-token numbers, their frequencies)."""
-    chunk_of, chunks, times, where = numbering(), [], [], []
-    for number, text in enumerate(documents):
-        words = (text or b"").split()
-        ids, n = np.unique(np.fromiter(map(chunk_of.__getitem__, words), np.int64, len(words)), return_counts=True)
-        chunks.append(ids)
-        times.append(n)
-        where.append(np.full(len(ids), number))
-    number_of = numbering()
-    parts = [[number_of[p] for p in pre.split(c)] for c in chunk_of]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    chunk, n, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (chunks, times, where))
+    lists = pc.ascii_split_whitespace(pa.array(documents, pa.large_binary()).cast(pa.large_string()).fill_null(""))
+    doc = np.repeat(np.arange(len(documents)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    chunks = lists.flatten().dictionary_encode()
+    del lists
+    pre_tokens, flat, starts, sizes = pre.split_all(chunks.dictionary)
+    chunk = chunks.indices.to_numpy(zero_copy_only=False)
     spread = sizes[chunk]                       # each chunk becomes its pre-tokens
     inside = np.arange(int(spread.sum())) - np.repeat(np.cumsum(spread) - spread, spread)
-    token = flat[np.repeat(starts[chunk], spread) + inside]
-    width = max(1, len(number_of))
-    key, back = np.unique(np.repeat(doc, spread) * width + token, return_inverse=True)
-    total = np.bincount(back, weights=np.repeat(n, spread), minlength=len(key)).astype(np.int64)
-    return list(number_of), np.bincount(key // width, minlength=len(documents)), key % width, total
+    width = max(1, len(pre_tokens))
+    key = np.repeat(doc, spread) * width + flat[np.repeat(starts[chunk], spread) + inside]
+    key, total = np.unique(key, return_counts=True)
+    return pre_tokens, np.bincount(key // width, minlength=len(documents)), key % width, total
 
 
 def blocks(docs: DataFrame, definition: str, id_col: str, text: str, block_bytes: int) -> DataFrame:
